@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import common, token_files
+from tracewright.llm import common, minhash, suffix_dedup, token_files
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -13,6 +13,16 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_output(spark, common.documents(spark, sf_dir))
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(common.documents(spark, sf_dir), length=100).drop("kept_text")
+
+
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(common.documents(spark, sf_dir), k=3, numerator=85)
+
+
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_minhash": op2_minhash,
     "op8_token_output": op8_token_output,
 }
