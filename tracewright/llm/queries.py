@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracewright.llm import common, minhash, suffix_dedup, token_files
+from tracewright.llm import common, decontaminate, line_dedup, minhash, sentence_pieces, suffix_dedup, token_files
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -21,8 +22,24 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(common.documents(spark, sf_dir), k=3, numerator=85)
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.piece_digests(common.documents(spark, sf_dir))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(common.documents(spark, sf_dir))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_minhash": op2_minhash,
+    "op3_sentencepiece": op3_sentencepiece,
+    "op4_line_dedup": op4_line_dedup,
     "op8_token_output": op8_token_output,
+    "op10_decontamination": op10_decontamination,
 }

@@ -9,24 +9,23 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import repeat
+from collections.abc import Callable
+from itertools import chain, repeat
 
 import numpy as np
 
 from tracewright.llm import kernels as K
 
 _ODD = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|<\|")
-_MOST_KEPT = 1_000_000  # chunks remembered by a task before it starts afresh
+_MOST_KEPT = 600_000  # chunks remembered by a worker before it starts afresh
+_encoders: dict = {}
 
 
-class ByteEncoder:
-    """Holds one tokenizer and the ids of the chunks that this task has met."""
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+class ChunkCache:
+    """Ids of the distinct chunks that this worker has met; ``encode_many`` maps texts to (flat ids, counts)."""
 
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, encode_many: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = _MOST_KEPT):
+        self.encode_many, self.most = encode_many, most
         self._forget()
 
     def _forget(self) -> None:
@@ -35,31 +34,56 @@ class ByteEncoder:
         self.ends = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def lookup(self, hashes: np.ndarray, strings) -> tuple[np.ndarray, np.ndarray]:
-        """Start and length in ``self.ids`` of each distinct hash; ``strings(i)`` gives the text of the i-th where it is new."""
-        if len(self.place) > _MOST_KEPT:
+    def lookup(self, hashes: np.ndarray, text_of: Callable[[int], bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Start and length in ``self.ids`` of each distinct hash; ``text_of(i)`` gives the i-th chunk where it is new."""
+        if len(self.place) > self.most:
             self._forget()
         at = np.fromiter(map(self.place.get, hashes.tolist(), repeat(-1)), np.int64, len(hashes))
         new = np.flatnonzero(at < 0)
         if len(new):
-            found = self.tokenizer.encode_batch_fast([strings(i) for i in new.tolist()], add_special_tokens=False)
-            runs = [x.ids for x in found]
-            flat = np.fromiter((i for run in runs for i in run), np.int32)
+            flat, counts = self.encode_many([text_of(i) for i in new.tolist()])
             k = len(self.place)
             while len(self.ends) < k + len(new) + 1:
                 self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
             while len(self.ids) < self.used + len(flat):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
             self.ids[self.used : self.used + len(flat)] = flat
-            self.ends[k + 1 : k + 1 + len(new)] = self.used + np.cumsum(np.fromiter(map(len, runs), np.int64, len(runs)))
+            self.ends[k + 1 : k + 1 + len(new)] = self.used + np.cumsum(counts)
             self.used += len(flat)
             at[new] = np.arange(k, k + len(new))
             self.place.update(zip(hashes[new].tolist(), at[new].tolist(), strict=True))
         return self.ends[at], self.ends[at + 1] - self.ends[at]
 
-    def expand(self, first: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """The ids of consecutive chunks."""
-        return self.ids[runs_of(first, length)]
+    def encode(self, buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks that begin at ``starts``, one after another, and how many each chunk has."""
+        ends = np.append(starts[1:], len(buf))
+        raw = buf.tobytes()
+        uniq, where, back = np.unique(K.span_hash(K.byte_sums(buf), starts, ends), return_index=True, return_inverse=True)
+        first, length = self.lookup(uniq, lambda i: raw[starts[where[i]] : ends[where[i]]])
+        first, length = first[back], length[back]
+        return self.ids[runs_of(first, length)], length
+
+
+class ByteEncoder:
+    """One tokenizer of the ``tokenizers`` library behind a cache of chunks."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.cache = ChunkCache(self._encode_many)
+
+    @classmethod
+    def of(cls, path: str) -> ByteEncoder:
+        """The worker's encoder for this file: Spark reuses workers, so tasks share what was met before."""
+        if path not in _encoders:
+            _encoders[path] = cls(path)
+        return _encoders[path]
+
+    def _encode_many(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [x.ids for x in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), np.int32), np.fromiter(map(len, found), np.int64, len(found))
 
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, one after another, and how many each row has."""
@@ -72,16 +96,13 @@ class ByteEncoder:
         head[offs] = True
         head = head[:-1] | np.concatenate([[True], space[1:] & ~space[:-1]])
         starts = np.flatnonzero(head)
-        ends = np.append(starts[1:], len(buf))
+        ids, length = self.cache.encode(buf, starts)
         rows = np.searchsorted(offs, starts, "right") - 1
-        uniq, where, back = np.unique(K.span_hash(K.byte_sums(buf), starts, ends), return_index=True, return_inverse=True)
-        first, length = self.lookup(uniq, lambda i: raw[starts[where[i]] : ends[where[i]]].decode("utf-8", "replace"))
-        first, length = first[back], length[back]
         counts = np.bincount(rows, weights=length, minlength=n).astype(np.int64)
         odd = np.unique([int(np.searchsorted(offs, m.start(), "right")) - 1 for m in _ODD.finditer(raw)]).astype(np.int64)
         if not len(odd):
-            return self.expand(first, length), counts
-        plain = np.split(self.expand(first, length), np.cumsum(counts)[:-1])
+            return ids, counts
+        plain = np.split(ids, np.cumsum(counts)[:-1])
         whole = self.tokenizer.encode_batch_fast([raw[offs[r] : offs[r + 1]].decode("utf-8", "replace") for r in odd.tolist()], add_special_tokens=False)
         for r, x in zip(odd.tolist(), whole, strict=True):
             plain[r] = np.array(x.ids, np.int32)

@@ -33,7 +33,7 @@ def encode(docs: DataFrame, tokenizer_file: str | None = None, end_id: int = 2)
     """Token ids of each whole text, ranges of doc_ids in order; ``end_id`` closes each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ByteEncoder(tokenizer_file or common.tokenizer_path("byte_bpe_50k.json"))
+        encoder = ByteEncoder.of(tokenizer_file or common.tokenizer_path("byte_bpe_50k.json"))
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids_of = batch.column("doc_id")
