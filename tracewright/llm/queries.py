@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import common, decontaminate, line_dedup, minhash, sentence_pieces, suffix_dedup, token_files
+from tracewright.llm import common, decontaminate, line_dedup, minhash, quality, sentence_pieces, suffix_dedup, token_files
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -31,6 +31,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -40,6 +44,7 @@ QUERIES = {
     "op2_minhash": op2_minhash,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_line_dedup": op4_line_dedup,
+    "op6_quality": op6_quality,
     "op8_token_output": op8_token_output,
     "op10_decontamination": op10_decontamination,
 }
