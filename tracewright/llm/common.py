@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +56,17 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
+
+
+def keep_rows(docs: DataFrame, keep) -> DataFrame:
+    """Rows of ``docs``, with all columns, that pass a test; ``keep()`` makes the test once per task, and the test maps the
+    doc_id and text columns of one Arrow batch to booleans."""
+    at_id, at_text = docs.columns.index("doc_id"), docs.columns.index("text")
+
+    def run(batches):
+        chosen = keep()
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(chosen(batch.column(at_id), batch.column(at_text)), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -121,14 +121,25 @@ def _table(found: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "matched", "item_words"])
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+
+
+def _too_large(items: DataFrame) -> bool:
+    return (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > BROADCAST_BYTES
+
+
+def _collected(items: DataFrame) -> list[tuple[int, str]]:
+    """At most BROADCAST_BYTES of text; callers check."""
+    return sorted((r["item_id"], r["text"]) for r in items.collect())
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, seed: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, item_id, matched, item_words of every pair whose coverage reaches ``percent``."""
-    texts = common.id_text(docs)
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > BROADCAST_BYTES:
+    texts, items = common.id_text(docs), _items(benchmark)
+    if _too_large(items):
         return _joined_leaks(texts, items, seed, percent)
-    held = sorted((r["item_id"], r["text"]) for r in items.collect())  # at most BROADCAST_BYTES
+    held = _collected(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Items([i for i, _ in held], [t for _, t in held], seed)
@@ -186,3 +197,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, seed: int = 5, percent:
     best = found.groupBy("doc_id").agg(F.count_distinct("item_id").alias("n_items"), F.max(order).alias("best"))
     every = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"))
     return every.join(best, "doc_id", "left").select("doc_id", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), "best.item_id", "best.matched", "best.item_words", F.col("best").isNotNull().alias("contaminated"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, seed: int = 5, percent: int = 80) -> DataFrame:
+    """Rows of ``docs``, with all columns, that cover no test item to ``percent``."""
+    items = _items(benchmark)
+    if _too_large(items):
+        return docs.join(leaks(docs, benchmark, seed, percent).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    held = _collected(items)
+
+    def make():
+        known = Items([i for i, _ in held], [t for _, t in held], seed)
+
+        def test(_ids, texts):
+            good = np.ones(len(texts), bool)
+            for a, b, buf, offs in K.text_slices(texts):
+                for row, *_ in best_matches(known, np.arange(a, b), buf, offs, percent):
+                    good[row] = False
+            return good
+
+        return test
+
+    return common.keep_rows(docs, make)

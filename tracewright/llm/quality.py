@@ -211,3 +211,13 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_row
     model = fitted(docs, labels, max_rows)
     found = scores(docs, model)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = 6000) -> DataFrame:
+    """Rows of ``docs``, with all columns, whose text scores ``threshold`` or more."""
+    model = fitted(docs, labels, max_rows)
+
+    def test(_ids, texts):
+        return np.concatenate([model.score(buf, offs) >= threshold for _, _, buf, offs in K.text_slices(texts)])
+
+    return common.keep_rows(docs, lambda: test)
