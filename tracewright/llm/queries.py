@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import common, decontaminate, line_dedup, minhash, quality, sentence_pieces, suffix_dedup, token_files
+from tracewright.llm import common, decontaminate, language_model, line_dedup, minhash, quality, sentence_pieces, suffix_dedup, token_files
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -35,6 +35,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(common.documents(spark, sf_dir))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -46,5 +50,6 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op6_quality": op6_quality,
     "op8_token_output": op8_token_output,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_decontamination": op10_decontamination,
 }
