@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import common, decontaminate, language_model, line_dedup, minhash, quality, sentence_pieces, suffix_dedup, token_files
+from tracewright.llm import common, decontaminate, html_text, language_model, line_dedup, minhash, quality, search, sentence_pieces, suffix_dedup, token_files
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -31,6 +31,16 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.more_like_this(common.documents(spark, sf_dir))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    lines = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n")))
+    return found.select("page_id", F.char_length("text").cast("long").alias("n_chars"), lines.cast("long").alias("n_lines"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -48,7 +58,9 @@ QUERIES = {
     "op2_minhash": op2_minhash,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_line_dedup": op4_line_dedup,
+    "op5_topk_search": op5_topk_search,
     "op6_quality": op6_quality,
+    "op7_html_extraction": op7_html_extraction,
     "op8_token_output": op8_token_output,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_decontamination": op10_decontamination,
