@@ -24,8 +24,8 @@ def padded_ids(rows: DataFrame, order: list[str], name: str = "sample_id", start
 
 
 def normalized(text: Column) -> Column:
-    """Backslashes that begin no JSON escape are doubled; NUL and carriage returns go."""
-    doubled = F.regexp_replace(text, r'\\(?![\\/"bfnrtu])', r"\\\\\\\\")
+    """Backslashes not before n, t, r or a double quote are doubled; NUL and carriage returns go; null is empty."""
+    doubled = F.regexp_replace(F.coalesce(text, F.lit("")), r'\\(?![ntr"])', r"\\\\")
     return F.translate(doubled, "\x00\r", "")
 
 
@@ -45,7 +45,7 @@ def tagged(text: Column, tag: str) -> Column:
 
 def section(text: Column, header: str) -> Column:
     """Text under ``# header`` up to the next header."""
-    return F.trim(F.regexp_extract(text, rf"(?s)# {header}\s*\n(.*?)(?=\n# |\z)", 1))
+    return F.regexp_replace(F.regexp_extract(text, rf"(?s)# {header}\s*\n(.*?)(?=\n# |\z)", 1), r"^\s+|\s+$", "")
 
 
 def score(text: Column, name: str) -> Column:
