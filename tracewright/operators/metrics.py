@@ -58,10 +58,10 @@ def normal_status(status: Column, passed: Column) -> Column:
 
 def upper_median(rows: DataFrame, value: str) -> DataFrame:
     """The value at place floor(n / 2) + 1 of the ascending order, from counts per value."""
-    counts = rows.groupBy(value).agg(F.count("*").alias("n"))
+    counts = rows.groupBy(value).agg(F.count("*").alias("__n"))
     # Distinct values are few (turn counts), so the running sum over them is small.
-    placed = counts.select(value, F.sum("n").over(Window.orderBy(value)).alias("upto"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    return placed.where(F.col("upto") >= F.floor(F.col("total") / 2) + 1).agg(F.min(value).alias("upper_median"))
+    placed = counts.select(value, F.sum("__n").over(Window.orderBy(value)).alias("__upto"), F.sum("__n").over(Window.partitionBy()).alias("__total"))
+    return placed.where(F.col("__upto") >= F.floor(F.col("__total") / 2) + 1).agg(F.min(value).alias("upper_median"))
 
 
 def reward(checks: DataFrame, by: list[str], passed: Column) -> DataFrame:
