@@ -65,7 +65,9 @@ class PieceCodec:
         return _codecs[path]
 
     def edges(self, text: np.ndarray) -> np.ndarray:
-        """Table [position, length] of piece ids, -1 where no piece stands, from the sorted suffixes of ``text``."""
+        """Table [position, length] of piece ids, -1 where no piece stands, from the sorted suffixes of ``text``.
+
+        It is as wide as the longest piece that occurs."""
         n = len(text)
         padded = np.concatenate([text, np.full(KEY, 0xFF, np.uint8)])
         windows = np.lib.stride_tricks.sliding_window_view(padded, KEY)[:n]
@@ -74,7 +76,8 @@ class PieceCodec:
         keys = np.ascontiguousarray(windows[order]).view(f"S{KEY}").ravel()
         lo, hi = np.searchsorted(keys, self.low, "left"), np.searchsorted(keys, self.high, "right")
         found = np.flatnonzero(hi > lo)
-        table = np.full((n, self.longest + 1), -1, np.int32)
+        width = int(self.lengths[found].max(initial=1)) + 1
+        table = np.full((n, width), -1, np.int32)
         short = found[self.lengths[found] <= KEY]
         count = hi[short] - lo[short]
         table[order[runs_of(lo[short], count)], np.repeat(self.lengths[short], count)] = np.repeat(self.piece_ids[short], count)
@@ -107,29 +110,29 @@ class PieceCodec:
         sizes = np.bincount(unit, minlength=len(units)) - 1
         long = sizes > LONG
         done = [self._relax_long(table, starts[unit == u]) for u in np.flatnonzero(long).tolist()]
-        work = starts[~long[unit]]
+        work, unit = starts[~long[unit]], unit[~long[unit]]
         while len(work):
-            work, over = self._relax_round(table, work, stop)
+            work, unit, over = self._relax_round(table, work, unit)
             done.append(over)
         symbols = np.sort(np.concatenate(done)) if done else starts
         inner = text[symbols] != 0xFF
         length = np.diff(np.append(symbols, len(text)))[inner]
         symbols = symbols[inner]
-        ids = np.where(length <= self.longest, table[symbols, np.minimum(length, self.longest)], -1)
+        most = table.shape[1] - 1
+        ids = np.where(length <= most, table[symbols, np.minimum(length, most)], -1)
         count = np.where(ids >= 0, 1, length)
         out = self.byte_id[text[runs_of(symbols, count)]]
         out[(np.cumsum(count) - count)[ids >= 0]] = ids[ids >= 0]
         owner = np.searchsorted(stop, symbols, "left")
         return out, np.bincount(owner, weights=count, minlength=len(units)).astype(np.int64)
 
-    def _relax_round(self, table: np.ndarray, work: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _relax_round(self, table: np.ndarray, work: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Merge the best pair of each unit still at work; symbols of units without a pair are returned as finished."""
-        unit = np.searchsorted(stop, work, "left")
         end = np.append(work[2:], [0, 0])
         length = end - work
         pair = np.zeros(len(work), bool)
         pair[:-2] = unit[:-2] == unit[2:]  # the third entry is at most the unit's separator
-        pair &= length <= self.longest
+        pair &= length < table.shape[1]
         ids = np.full(len(work), -1, np.int32)
         ids[pair] = table[work[pair], length[pair]]
         rank = np.where(ids >= 0, self.rank[ids], np.int64(1) << 40)
@@ -140,7 +143,7 @@ class PieceCodec:
         keep = np.ones(len(work), bool)
         keep[(best[live] & ((1 << 22) - 1)) + 1] = False
         going = np.repeat(live, np.diff(np.append(firsts, len(work))))
-        return work[keep & going], work[~going]
+        return work[keep & going], unit[keep & going], work[~going]
 
     def _relax_long(self, table: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The same rule for one unit, its last start the separator, with a heap of candidate pairs."""
@@ -153,7 +156,7 @@ class PieceCodec:
             if j >= n:
                 return
             length = place[after[j]] - place[i]
-            if length <= self.longest and (found := int(table[place[i], length])) >= 0:
+            if length < table.shape[1] and (found := int(table[place[i], length])) >= 0:
                 heapq.heappush(heap, (int(self.rank[found]), i, j, length))
 
         for i in range(n):
