@@ -66,7 +66,7 @@ def index_vectors(n: int, seed: int, marks: int = 4) -> np.ndarray:
 def _histogram(bucket: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
     rows = len(first) - 1
     row = np.repeat(np.arange(rows), np.diff(first))
-    return np.bincount(row * size + bucket, minlength=rows * size).reshape(rows, size).astype(np.float32)
+    return np.bincount(row * size + bucket, minlength=rows * size).reshape(rows, size).astype(np.float64)
 
 
 def pooled(buf: np.ndarray, offs: np.ndarray, word_vectors: np.ndarray, form_vectors: np.ndarray, at_once: int = 256) -> np.ndarray:
@@ -81,7 +81,7 @@ def pooled(buf: np.ndarray, offs: np.ndarray, word_vectors: np.ndarray, form_vec
         row = np.repeat(np.arange(b - a), np.diff(f))
         total = lambda x: np.bincount(row, weights=x[s], minlength=b - a)[:, None] / n  # noqa: B023,E731
         counts = [np.log1p(np.diff(f))[:, None], total(size), total(again), (words > 0).sum(1)[:, None] / np.minimum(n, WORDS), words.max(1)[:, None] / n]
-        out[a:b] = np.hstack([words @ word_vectors / n, forms @ form_vectors / n, *counts])
+        out[a:b] = np.round(np.hstack([words @ word_vectors / n, forms @ form_vectors / n, *counts]), 5)
     return out
 
 
@@ -98,12 +98,12 @@ class Model:
     temperature: float
 
     def logits(self, features: np.ndarray) -> np.ndarray:
-        x = np.clip((features - self.mean) / self.scale, -8, 8)
+        x = np.clip((features - self.mean) / self.scale, -8, 8).astype(np.float64)
         return np.tanh(x @ self.w1 + self.b1) @ self.w2 + self.b2
 
     def score(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         logits = self.logits(pooled(buf, offs, self.word_vectors, self.form_vectors)).astype(np.float64)
-        return 1 / (1 + np.exp(-np.clip(logits / self.temperature, -40, 40)))
+        return np.round(1 / (1 + np.exp(-np.clip(logits / self.temperature, -40, 40))), 6)  # sums of other batches differ further down
 
 
 def _neighbour_vectors(bucket: np.ndarray, first: np.ndarray, index: np.ndarray, reach: int = 2) -> np.ndarray:
