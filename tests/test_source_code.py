@@ -1,0 +1,70 @@
+import json
+
+from pyspark.sql import functions as F
+
+from tracewright.functions import source_code as S
+
+SOURCE = '''
+import os
+
+class Other:
+    pass
+
+class Shop:
+    name: str
+    limit = 5
+
+    def __init__(self, items: Dict[str, int]):
+        self.items: Dict[str, int] = items
+        self.log = []
+
+    def buy(self, who: Optional[str], n=1, *rest, flag: bool = False, **more) -> Dict[str, Any]:
+        """Buy."""
+        self.items[who] = n
+        self.log.append(who)
+        self.check(who)
+        return {"success": True, "data": n}
+
+    def check(self, who):
+        if self.limit > 3:
+            return {"ok": 1}
+        return who
+'''
+
+
+def test_methods_and_states():
+    buy, check = S.methods(SOURCE, "Shop")
+    assert (buy["calls"], buy["reads"], buy["writes"]) == (["check"], ["check", "items", "log"], ["items", "log"])
+    assert [(p["name"], p["type"], p["default"], p["kind"]) for p in buy["parameters"]] == [
+        ("self", None, None, "positional-or-keyword"),
+        ("who", "Optional[str]", None, "positional-or-keyword"),
+        ("n", None, "1", "positional-or-keyword"),
+        ("rest", None, None, "vararg"),
+        ("flag", "bool", "False", "kwonly"),
+        ("more", None, None, "kwarg"),
+    ]
+    assert buy["returns"] == "Dict[str, Any]" and buy["doc"] == "Buy." and buy["source"].lstrip().startswith("def buy")
+    types = {s["state"]: s["type"] for s in S.states(SOURCE, "Shop")}
+    assert (types["name"], types["limit"], types["items"], types["log"]) == ("str", "int", "Dict[str, int]", "unknown")
+    assert check["reads"] == ["limit"] and S.methods("def broken(", "Shop") == [] and S.methods(None, "Shop") == []
+
+
+def test_returns_and_validity():
+    assert sorted(r["status"] for r in S.return_shapes(SOURCE)) == ["FAIL", "PASS", "WARN"]
+    assert S.parses(SOURCE) and not S.parses("def (") and not S.has_function(SOURCE) and S.has_function("def f(): pass")
+    assert S.class_name(SOURCE) == "Shop"
+
+
+def test_schemas():
+    assert S.json_schema("Optional[List[int]]") == ({"type": ["array", "null"], "items": {"type": "integer"}}, True)
+    made = S.tool_schema("f", "d", {"a": "str", "b": "Optional[int]", "c": "list", "d": "Custom", "e": "Any"})["function"]["parameters"]
+    assert made["required"] == ["a", "c", "d", "e"] and made["properties"]["c"] == {"type": "array", "items": {}} and made["properties"]["e"] == {}
+
+
+def test_as_table_functions(spark):
+    envs = spark.createDataFrame([(1, SOURCE, "Shop"), (2, "broken(", "X"), (3, None, "X")], "id long, src string, cls string")
+    rows = S.explode_methods(envs, "src", "cls", ["id"]).select("id", "method", F.size("parameters").alias("n")).collect()
+    assert sorted(tuple(r) for r in rows) == [(1, "buy", 6), (1, "check", 2)]
+    assert [r[0] for r in envs.orderBy("id").select(S.source_parses("src")).collect()] == [True, False, False]
+    schema = spark.range(1).select(S.tool_schemas(F.lit("f"), F.lit("d"), F.lit('{"a": "str"}')).alias("s")).first()["s"]
+    assert json.loads(schema)["function"]["parameters"]["required"] == ["a"]
