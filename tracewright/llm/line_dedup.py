@@ -1,11 +1,15 @@
 """Line de-duplication by a segment-partition edit join, in DataFrame functions only.
 
 A line goes if an earlier line (smaller doc_id, or same document and smaller line number) is within ``threshold`` edits of
-it. Equal lines are one class, known by two hashes and a length and pre-aggregated to its first place. Between classes,
-pairs come from a segment join: a line is split into threshold + 1 segments, so two lines within the threshold share one
-of them whole; longer or equal lines probe the segments of shorter or equal ones with the substrings that the
-multi-match-aware rule allows for each length and segment. Candidates are verified with Spark's banded ``levenshtein``, which stops
-beyond the threshold; a bit-parallel form written with SQL functions would be interpreted once per character.
+it. Equal lines are one class, known by two hashes and a length and pre-aggregated to its first place; only first places
+go on. Between them, pairs come from a segment join: a line is split into threshold + 1 segments, so two lines within the
+threshold share one of them whole; longer or equal lines probe the segments of shorter or equal ones with the
+substrings that the multi-match-aware rule allows for each length and segment.
+
+A line needs one witness only, so it is first compared with the earliest line of each of its keys; lines that these do not
+settle are then compared with all earlier lines of their keys. Candidates are verified with Spark's banded
+``levenshtein``, which stops beyond the threshold; a bit-parallel form written with SQL functions would be interpreted
+once per character.
 
 Lines shorter than ``min_chars`` take part as exact repeats only, since segments of a few letters are shared by
 unrelated lines.
@@ -13,7 +17,7 @@ unrelated lines.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.llm import common
@@ -28,28 +32,42 @@ def _segment(length: Column, i: int, threshold: int) -> tuple[Column, Column]:
     return (small * i + extra + 1).cast("int"), (small + F.when(F.lit(n - i) <= longer, 1).otherwise(0)).cast("int")
 
 
-def _key(text: Column, start: Column, size: Column, length: Column, i: int) -> Column:
-    return F.xxhash64(F.substring(text, start, size), length.cast("int"), F.lit(i))
-
+def _key(wide: Column, start: Column, size: Column, length: Column, i: int) -> Column:
+    """Hash of a piece of a line in UTF-32, where characters stand at fixed places."""
+    return F.xxhash64(F.substring(wide, (4 * (start - 1) + 1).cast("int"), (4 * size).cast("int")), length.cast("int"), F.lit(i))
 
-def _index_keys(line: Column, length: Column, threshold: int) -> Column:
-    return F.array(*[_key(line, *_segment(length, i, threshold), length, i) for i in range(threshold + 1)])
 
-
-def _probe_keys(line: Column, length: Column, threshold: int) -> Column:
-    """Substrings that may equal segment i of a line ``less`` characters shorter, by the multi-match-aware bounds."""
-    keys = []
+def _keys(wide: Column, length: Column, threshold: int) -> Column:
+    """Keys of a line: its own segments (``own``), and the substrings that may equal segment i of a line ``less``
+    characters shorter, by the multi-match-aware bounds."""
+    keys = [F.struct(_key(wide, *_segment(length, i, threshold), length, i).alias("key"), F.lit(True).alias("own")) for i in range(threshold + 1)]
     for less in range(threshold + 1):
         other = length - less
         for i in range(threshold + 1):
             start, size = _segment(other, i, threshold)
             left, right = i, threshold - i
             for shift in range(max(-left, less - right), min(left, less + right) + 1):
-                at = (start + shift).cast("int")
-                keys.append(F.when((at >= 1) & (at + size - 1 <= length), _key(line, at, size, other, i)))
+                at = start + shift
+                fits = (at >= 1) & (at + size - 1 <= length)
+                keys.append(F.struct(F.when(fits, _key(wide, at, size, other, i)).alias("key"), F.lit(False).alias("own")))
     return F.array(*keys)
 
 
+def _lines(texts: DataFrame, *others: str) -> DataFrame:
+    return texts.select("doc_id", *others, F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.trim("line") != "")
+
+
+def _close(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """Places t of the pairs (t, u) whose lines are within the threshold."""
+    places = pairs.select("t").union(pairs.select("u")).distinct()
+    wanted = places.groupBy(F.col("t.doc_id").alias("doc_id")).agg(F.collect_set("t.line_no").alias("wanted"))
+    found = _lines(texts.join(wanted, "doc_id"), "wanted").where(F.array_contains("wanted", F.col("line_no")))
+    found = found.select(F.struct("doc_id", "line_no").alias("place"), "line").distinct()
+    left = found.select(F.col("place").alias("t"), F.col("line").alias("line_t"))
+    right = found.select(F.col("place").alias("u"), F.col("line").alias("line_u"))
+    return pairs.join(left, "t").join(right, "u").where(F.levenshtein("line_t", "line_u", threshold) >= 0).select("t").distinct()
+
+
 def dedup_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 40) -> DataFrame:
     """Per document: doc_id, n_lines, n_removed, kept_text (remaining lines joined by line feeds).
 
@@ -59,30 +77,28 @@ def dedup_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 40) -> Dat
     result; other columns are ignored.
     """
     texts = common.id_text(docs)
-    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.trim("line") != "")
-    size = F.char_length("line")
-    keyed = lines.select("doc_id", "line_no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), size.alias("len"), F.when(size >= min_chars, F.col("line")).alias("line"))
-    classes = keyed.groupBy("h", "g", "len").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
-    classes = common.staged(classes, "line-classes")
-
-    # Keys are made per batch of lines, before any shuffle of text; repeats of a line fall together in the aggregation.
-    near = keyed.where("line is not null")
-    index = near.select("h", F.explode(_index_keys(F.col("line"), F.col("len"), threshold)).alias("key")).distinct()
-    probe = near.select(F.col("h").alias("probe"), F.explode(_probe_keys(F.col("line"), F.col("len"), threshold)).alias("key")).where("key is not null").distinct()
-    pairs = index.join(probe, "key").where("h <> probe").select(F.least("h", "probe").alias("a"), F.greatest("h", "probe").alias("b")).distinct()
-    pairs = common.staged(pairs, "line-pairs")
-
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(classes, "h")
-    wanted = ends.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_set("first.line_no").alias("wanted"))
-    found = texts.join(wanted, "doc_id").select("doc_id", "wanted", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.array_contains("wanted", F.col("line_no")))
-    found = found.select(F.xxhash64("line").alias("h"), F.struct("doc_id", "line_no").alias("first"), "line").distinct()
-    left = found.select(F.col("h").alias("a"), F.col("first").alias("first_a"), F.col("line").alias("line_a"))
-    right = found.select(F.col("h").alias("b"), F.col("first").alias("first_b"), F.col("line").alias("line_b"))
-    close = pairs.join(left, "a").join(right, "b").where(F.levenshtein("line_a", "line_b", threshold) >= 0)
-    later = close.select(F.greatest("first_a", "first_b").alias("first")).distinct()
-
-    repeats = keyed.select("doc_id", "line_no", "h", "g", "len").join(classes.where("n > 1"), ["h", "g", "len"]).where(F.struct("doc_id", "line_no") != F.col("first"))
-    gone = repeats.select("doc_id", "line_no").union(later.select("first.doc_id", "first.line_no"))
+    keyed = _lines(texts).select("doc_id", "line_no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), F.char_length("line").alias("len"))
+    classes = keyed.groupBy("h", "g", "len").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    repeats = keyed.join(classes, ["h", "g", "len"]).where(F.struct("doc_id", "line_no") != F.col("first"))
+    repeats = common.staged(repeats.groupBy("doc_id").agg(F.collect_set("line_no").alias("again")), "line-repeats")
+
+    length = F.char_length("line")
+    near = _lines(texts.join(repeats, "doc_id", "left"), "again").where((length >= min_chars) & ~F.coalesce(F.array_contains("again", F.col("line_no")), F.lit(False)))
+    wide = near.select(F.struct("doc_id", "line_no").alias("place"), F.encode("line", "UTF-32").alias("wide"), length.alias("len"))
+    rows = wide.select("place", F.inline(_keys(F.col("wide"), F.col("len"), threshold))).where("key is not null")
+    at = Window.partitionBy("key")
+    other = lambda f: F.when(F.col("own"), f(F.when(~F.col("own"), F.col("place"))).over(at)).otherwise(f(F.when(F.col("own"), F.col("place"))).over(at))
+    shared = rows.withColumn("lo", other(F.min)).withColumn("hi", other(F.max)).where((F.col("lo") != F.col("place")) | (F.col("hi") != F.col("place")))
+    shared = common.staged(shared.select("key", "own", "place", "lo"), "line-keys")
+
+    first = shared.where("lo < place").select(F.col("place").alias("t"), F.col("lo").alias("u")).distinct()
+    settled = common.staged(_close(first, texts, threshold), "line-settled")
+    open_rows = shared.where("lo < place").join(settled.withColumnRenamed("t", "place"), "place", "left_anti").select("key", "own", F.col("place").alias("t"), "lo")
+    against = shared.select("key", (~F.col("own")).alias("own"), F.col("place").alias("u"))
+    rest = open_rows.join(against, ["key", "own"]).where("u < t and u <> lo").select("t", "u").distinct().join(first, ["t", "u"], "left_anti")
+    later = settled.union(_close(common.staged(rest, "line-rest"), texts, threshold))
+
+    gone = repeats.select("doc_id", F.explode("again").alias("line_no")).union(later.select("t.doc_id", "t.line_no"))
     gone = gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
     every = F.split("text", "\n")
     none = F.array().cast("array<int>")

@@ -4,13 +4,14 @@ A document's set holds its distinct word shingles. Each register keeps the trunc
 one hash over the set, so sketches of parts merge by the maximum of each register. Runs of registers are the bands of
 a locality-sensitive index; for each candidate pair the similarity is estimated jointly from how many registers are
 greater, less or equal (maximum likelihood, with the set sizes known), and pairs that can reach the threshold are
-confirmed on their full sets.
-
-No group is expanded into all its pairs: equal sets are one class, each bucket is first compared with one pivot, and
-later rounds compare only members of one bucket that different components still hold, each against the pivots of the
-other components, until nothing is left to compare.
-
-With 80 registers in 20 bands of 4, a pair at similarity 0.85 shares no bucket with probability 4e-7, at 0.80 5e-5.
+confirmed on their full sets. There are as many bands as leave a pair at the threshold without a shared bucket once in a
+million.
+
+No group is expanded into all its pairs. Equal sets are one class. Each class is first compared with one pivot, the
+most typical member of its buckets (the one whose buckets are fullest), and what is confirmed is joined to components.
+Of the rest, only members of one bucket in different components matter, and a shingle that no other of them holds
+bounds what a member can share; who can still reach the threshold is compared in rounds, pivot by pivot, until nothing
+is left to compare.
 """
 
 from __future__ import annotations
@@ -27,17 +28,23 @@ from tracewright.llm import common
 from tracewright.llm import kernels as K
 from tracewright.llm.components import components
 
-REGISTERS, BANDS = 80, 20
+PER_BAND = 6
+MISSED = 1e-6
+EAGER = 32  # pairs per row of a bucket up to which one round compares them all
+MOST = 512  # registers that have a hash
 BASE, RATE, TOP = 1.02, 20.0, 32766  # spacing of the registers, rate of their exponentials, largest value
-_SALT = np.random.default_rng(7).integers(1, 1 << 62, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BAND_SALT = K.mix(np.arange(1, BANDS + 1, dtype=np.uint64))
+_SALT = np.random.default_rng(7).integers(1, 1 << 62, MOST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
 
+def n_bands(percent: int) -> int:
+    return min(MOST // PER_BAND, math.ceil(math.log(MISSED) / math.log(1 - (percent / 100) ** PER_BAND)))
 
-def registers(values: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+
+def registers(values: np.ndarray, firsts: np.ndarray, count: int) -> np.ndarray:
     """Registers of consecutive non-empty sets; ``firsts`` are the places where the sets begin. One row per set."""
-    out = np.empty((len(firsts), REGISTERS), np.int16)
+    out = np.empty((len(firsts), count), np.int16)
     scale = 2.0**-64
-    for i in range(REGISTERS):
+    for i in range(count):
         least = np.minimum.reduceat(values * _SALT[i], firsts)
         exponential = -np.log1p(-(least.astype(np.float64) + 0.5) * scale) / RATE
         out[:, i] = np.clip(np.floor(1 - np.log(exponential) / math.log(BASE)), 0, TOP)
@@ -45,17 +52,17 @@ def registers(values: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 
 
 def band_keys(regs: np.ndarray) -> np.ndarray:
-    keys = np.tile(_BAND_SALT, (len(regs), 1))
-    per = REGISTERS // BANDS
-    for j in range(per):
-        keys = K.mix(keys * np.uint64(0xD1342543DE82EF95) + regs[:, j::per].astype(np.uint64))
+    bands = regs.shape[1] // PER_BAND
+    keys = np.tile(K.mix(np.arange(1, bands + 1, dtype=np.uint64)), (len(regs), 1))
+    for j in range(PER_BAND):
+        keys = K.mix(keys * np.uint64(0xD1342543DE82EF95) + regs[:, j::PER_BAND].astype(np.uint64))
     return keys
 
 
 def estimate(regs_a: np.ndarray, regs_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, steps: int = 64) -> np.ndarray:
     """Maximum-likelihood similarity of each pair from its register comparisons and set sizes, on a grid."""
     more, less = (regs_a > regs_b).sum(1), (regs_a < regs_b).sum(1)
-    same = REGISTERS - more - less
+    same = regs_a.shape[1] - more - less
     u = n_a / (n_a + n_b)
     v = 1 - u
     most = np.minimum(u / v, v / u)
@@ -77,8 +84,8 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, k: int) -> list[np.ndarray]:
     return [np.unique(K.shingles(hashes[s:e], k)) for s, e in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """Per document: set size, two fingerprints of the whole set, band keys and registers (null without words)."""
+def sketches(docs: DataFrame, k: int, bands: int) -> DataFrame:
+    """Per document: set size, two fingerprints of the whole set, and registers (null without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,123 +94,183 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                 sizes = np.array([len(x) for x in sets], np.int64)
                 full = np.flatnonzero(sizes)
                 one, two = np.zeros(b - a, np.uint64), np.zeros(b - a, np.uint64)
-                bands, regs = [None] * (b - a), [None] * (b - a)
+                regs = [None] * (b - a)
                 if len(full):
                     flat = np.concatenate(sets)
                     firsts = np.cumsum(sizes[full]) - sizes[full]
                     one[full] = np.add.reduceat(K.mix(flat), firsts)
                     two[full] = np.add.reduceat(K.mix(flat ^ np.uint64(0xA0761D6478BD642F)), firsts)
-                    r = registers(flat, firsts)
-                    for i, keys, row in zip(full.tolist(), K.signed(band_keys(r)), r, strict=True):
-                        bands[i], regs[i] = keys, row.tobytes()
+                    for i, row in zip(full.tolist(), registers(flat, firsts, bands * PER_BAND), strict=True):
+                        regs[i] = row.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array(sizes), pa.array(K.signed(one)), pa.array(K.signed(two)), pa.array(bands, pa.list_(pa.int64())), pa.array(regs, pa.binary())],
-                    names=["doc_id", "n_shingles", "f1", "f2", "bands", "regs"],
+                    [batch.column("doc_id").slice(a, b - a), pa.array(sizes), pa.array(K.signed(one)), pa.array(K.signed(two)), pa.array(regs, pa.binary())],
+                    names=["doc_id", "n_shingles", "f1", "f2", "regs"],
                 )
 
-    return common.id_text(docs).mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, regs binary")
+    return common.id_text(docs).mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, regs binary")
+
+
+def _registers_of(column: pa.Array) -> np.ndarray:
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), np.int16).reshape(len(rows), -1)
+
+
+def buckets(reps: DataFrame) -> DataFrame:
+    """(key, doc_id, n_shingles) of every band."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = K.signed(band_keys(_registers_of(batch.column("regs"))))
+                ids = np.repeat(batch.column("doc_id").to_numpy(), keys.shape[1])
+                sizes = np.repeat(batch.column("n_shingles").to_numpy(), keys.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids), pa.array(sizes)], names=["key", "doc_id", "n_shingles"])
+
+    return reps.select("doc_id", "n_shingles", "regs").mapInArrow(run, "key long, doc_id long, n_shingles long")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """Shingle sets of the documents named in ``ids``."""
+def full_sets(docs: DataFrame, ids: DataFrame, k: int, bands: int = 0) -> DataFrame:
+    """Shingle sets, and registers if ``bands`` are asked for, of the documents named in ``ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, buf, offs in K.text_slices(batch.column("text")):
                 sets = shingle_sets(buf, offs, k)
                 lengths = np.array([len(x) for x in sets], np.int64)
-                flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), K.row_lists(K.signed(flat), lengths, pa.int64())], names=["doc_id", "hashes"])
+                flat = np.concatenate(sets)
+                regs = [None] * (b - a)
+                if bands and len(flat):
+                    full = np.flatnonzero(lengths)
+                    for i, row in zip(full.tolist(), registers(flat, np.cumsum(lengths[full]) - lengths[full], bands * PER_BAND), strict=True):
+                        regs[i] = row.tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), K.row_lists(K.signed(flat), lengths, pa.int64()), pa.array(regs, pa.binary())], names=["doc_id", "hashes", "regs"])
+
+    return common.id_text(docs).join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, hashes array<long>, regs binary")
 
-    return common.id_text(docs).join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, hashes array<long>")
 
+def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of the pairs a, b whose full sets have 100 * intersection >= percent * union.
 
-def likely(pairs: DataFrame, reps: DataFrame, numerator: int, slack: float) -> DataFrame:
-    """Pairs a, b whose joint estimate is within ``slack`` of the threshold."""
+    The joint estimate goes first: a pair more than five standard errors below the threshold is not compared in full.
+    """
+    ids = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id")
+    sets = common.staged(full_sets(docs, ids, k, n_bands(percent)), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            regs = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int16).reshape(-1, REGISTERS) for c in ("ra", "rb")]
-            n_a, n_b = (batch.column(c).to_numpy().astype(np.float64) for c in ("na", "nb"))
-            keep = (estimate(*regs, n_a, n_b) >= numerator / 100 - slack) & (100 * np.minimum(n_a, n_b) >= numerator * np.maximum(n_a, n_b))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b", "na", "nb")], names=["a", "b", "na", "nb"])
-
-    left = reps.select(F.col("doc_id").alias("a"), F.col("regs").alias("ra"), F.col("n_shingles").alias("na"))
-    right = reps.select(F.col("doc_id").alias("b"), F.col("regs").alias("rb"), F.col("n_shingles").alias("nb"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long, na long, nb long")
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, numerator: int, slack: float) -> DataFrame:
-    """Those of the pairs a, b whose full sets have 100 * intersection >= numerator * union."""
-    maybe = common.staged(likely(pairs, reps, numerator, slack), "maybe")
-    ids = maybe.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = common.staged(full_sets(docs, ids, k), "sets")
-    left = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("sb"))
-    common_size = F.size(F.array_intersect("sa", "sb"))
-    exact = maybe.join(right, "b").join(left, "a").withColumn("i", common_size)
-    links = common.staged(exact.where(100 * F.col("i") >= numerator * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b").distinct(), "links")
-    common.drop_staged(maybe, sets)
+            regs = [_registers_of(batch.column(c)) for c in ("ra", "rb")]
+            n_a, n_b = (np.diff(batch.column(c).offsets.to_numpy()).astype(np.float64) for c in ("sa", "sb"))
+            slack = 5 * math.sqrt(percent / 100 * (1 - percent / 100) / regs[0].shape[1]) + 1 / 64
+            likely = (estimate(*regs, n_a, n_b) >= percent / 100 - slack) & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
+            keep = np.zeros(batch.num_rows, bool)
+            for i in np.flatnonzero(likely).tolist():
+                shared = len(np.intersect1d(batch.column("sa")[i].values.to_numpy(), batch.column("sb")[i].values.to_numpy(), assume_unique=True))
+                keep[i] = 100 * shared >= percent * (n_a[i] + n_b[i] - shared)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
+
+    left = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("sa"), F.col("regs").alias("ra"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("sb"), F.col("regs").alias("rb"))
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb", "ra", "rb")
+    links = common.staged(both.mapInArrow(run, "a long, b long"), "links")
+    common.drop_staged(sets)
     return links
 
 
+def _spread(placed: DataFrame) -> DataFrame:
+    """Rows of keys that more than one component holds."""
+    keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    return placed.join(keys, "key", "left_semi")
+
+
+def _alone(placed: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """Per document of ``placed``: how many of its shingles no other of them holds."""
+    ids = placed.select("doc_id").distinct()
+    each = full_sets(docs, ids, k).select("doc_id", F.explode("hashes").alias("hash"))
+    alone = each.groupBy("hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1")
+    return alone.groupBy("doc_id").agg(F.count("*").alias("alone"))
+
+
+def _cross_pairs(rows: DataFrame) -> tuple[int, int]:
+    """Pairs across components that the buckets hold, and rows of buckets with such pairs."""
+    comps = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    keys = comps.groupBy("key").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inner")).where("comps > 1")
+    row = keys.agg(F.sum((F.col("n") * F.col("n") - F.col("inner")) / 2).alias("work"), F.sum("n").alias("size")).first()
+    return int(row["work"] or 0), int(row["size"] or 0)
+
+
 def _pivots(rows: DataFrame, per_round: int) -> DataFrame:
-    """rows: key, doc_id, comp, done. Per key, the next member to compare from every component but the one with most left to compare."""
+    """rows: key, doc_id, comp, done. Per key, the next member to compare from every component but the one with most left to
+    compare; about ``per_round`` of a key's are for ``now``."""
     open_comps = rows.groupBy("key", "comp").agg(F.min(F.when(~F.col("done"), F.col("doc_id"))).alias("pivot"), F.count_if(~F.col("done")).alias("left")).where("left > 0")
     per_key = open_comps.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("left", "comp")).alias("most")).where("comps > 1")
     rest = open_comps.join(per_key, "key").where("comp <> most.comp").withColumn("turn", F.pmod(F.xxhash64("comp", "left"), F.greatest(F.lit(1), F.col("comps") / per_round).cast("long")))
-    return rest.where("turn = 0 or comps <= 2").select("key", F.col("comp").alias("pivot_comp"), "pivot")
+    return rest.select("key", F.col("comp").alias("pivot_comp"), "pivot", "left", F.expr("turn = 0 or comps <= 2").alias("now"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 3, numerator: int = 85, slack: float = 0.2, per_round: int = 16, max_rounds: int = 400) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, per_round: int = 64, max_rounds: int = 1000) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id).
 
     Words are runs of bytes outside space and 0x09-0x0D after A-Z are lower-cased; a text shorter than ``k`` words has
-    its whole sequence as its only shingle. Documents whose sets have 100 * intersection >= ``numerator`` * union are
+    its whole sequence as its only shingle. Documents whose sets have 100 * intersection >= ``percent`` * union are
     linked. Null or empty texts have no shingles and no links. Rows without doc_id are left out; rows that repeat a
     doc_id are one node of the link graph and each keep a row; an empty table gives an empty result; other columns are
     ignored.
     """
-    drawn = common.staged(sketches(docs, k), "sketches")
+    drawn = common.staged(sketches(docs, k, n_bands(percent)), "sketches")
     by_set = ["n_shingles", "f1", "f2"]
     classes = drawn.where("n_shingles > 0").groupBy(*by_set).agg(F.min("doc_id").alias("rep"))
-    own = F.col("doc_id") == F.col("rep")
-    members = common.staged(drawn.join(classes, by_set, "left").select("doc_id", "n_shingles", "rep", F.when(own, F.col("bands")).alias("bands"), F.when(own, F.col("regs")).alias("regs")), "members")
+    members = common.staged(drawn.join(classes, by_set, "left").select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("regs")).alias("regs")), "members")
     common.drop_staged(drawn)
     reps = members.where("rep = doc_id")
-    rows = reps.select("doc_id", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("pivot")).where("n > 1").drop("n")
-    rows = common.staged(rows.join(shared, "key"), "buckets")
-    # One pivot per bucket, and of a member's pivots the smallest; the others are compared later where still needed.
-    tested = common.staged(rows.where("doc_id <> pivot").groupBy(F.col("doc_id").alias("b")).agg(F.min("pivot").alias("a")).select("a", "b"), "tested")
-    links = confirmed(tested, docs, reps, k, numerator, slack)
-    done = None
+    rows = buckets(reps)
+    rows = common.staged(rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "buckets")
+    # A member's pivot is the most typical document that it shares a bucket with: the one whose own buckets are fullest.
+    typical = rows.groupBy("doc_id").agg(F.sum("n").alias("fill")).select("doc_id", F.struct("fill", -F.col("doc_id"), "doc_id").alias("rank"))
+    heads = rows.join(typical, "doc_id").groupBy("key").agg(F.max("rank").alias("rank"))
+    own = rows.join(heads, "key").where(F.col("doc_id") != F.col("rank.doc_id")).groupBy("doc_id").agg(F.max("rank").alias("rank"))
+    tested = common.staged(own.select(F.least("doc_id", "rank.doc_id").alias("a"), F.greatest("doc_id", "rank.doc_id").alias("b")), "tested")
+    links = confirmed(tested, docs, k, percent)
+    comp = components(links)
+
+    def place(rows: DataFrame) -> DataFrame:
+        return rows.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+
+    open_rows = common.staged(_spread(place(rows.select("key", "doc_id", "n_shingles"))), "open")
+    reach = F.col("n_shingles") - F.coalesce("alone", F.lit(0))
+    bounded = open_rows.join(_alone(open_rows, docs, k), "doc_id", "left").withColumn("m", reach).drop("alone").where(100 * F.col("m") >= percent * F.col("n_shingles"))
+    placed = common.staged(bounded.withColumn("done", F.lit(False)), "placed")
     for _ in range(max_rounds):
-        comp = components(links)
-        placed = rows.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
-        spread = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        placed = placed.join(spread, "key", "left_semi")
-        if done is not None:
-            placed = placed.join(done.withColumn("done", F.lit(True)), ["key", "doc_id"], "left").withColumn("done", F.coalesce("done", F.lit(False)))
-        else:
-            placed = placed.withColumn("done", F.lit(False))
-        placed = common.staged(placed, "placed")
-        pivots = common.staged(_pivots(placed, per_round), "pivots")
-        if pivots.isEmpty():
-            common.drop_staged(placed, pivots)
+        work, size = _cross_pairs(placed)
+        if not work:
             break
-        pairs = placed.join(pivots, "key").where("comp <> pivot_comp").select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct()
-        pairs = common.staged(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        now = pivots.select("key", F.col("pivot").alias("doc_id"))
-        done = common.staged(now if done is None else done.union(now), "done")
+        at_once = work <= EAGER * size  # few enough for one round; else pivot by pivot
+        if at_once:
+            heads = placed.where("not done").select("key", F.col("doc_id").alias("pivot"), F.col("comp").alias("pivot_comp"), F.col("m").alias("pm"), F.col("n_shingles").alias("pn"))
+        else:
+            waiting = common.staged(_pivots(placed, per_round), "pivots")
+            if waiting.isEmpty():
+                break
+            pivots = waiting.where("now").select("key", "pivot", "pivot_comp")
+            heads = placed.join(pivots, "key").where("doc_id = pivot").select("key", "pivot", "pivot_comp", F.col("m").alias("pm"), F.col("n_shingles").alias("pn"))
+        shared = F.least("m", "pm")
+        fits = (F.col("comp") != F.col("pivot_comp")) & (100 * shared >= percent * (F.col("n_shingles") + F.col("pn") - shared))
+        pairs = placed.join(heads, "key").where(fits).select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b"))
+        pairs = common.staged(pairs.join(tested, ["a", "b"], "left_anti").distinct(), "pairs")
+        found = None
         if not pairs.isEmpty():
-            links = links.union(confirmed(pairs, docs, reps, k, numerator, slack))
+            found = confirmed(pairs, docs, k, percent)
             tested = tested.union(pairs)
-        common.drop_staged(placed)
+        linked = found is not None and not found.isEmpty()
+        if linked:
+            comp = components(comp.select(F.col("component").alias("a"), F.col("node").alias("b")).union(found))
+        if at_once or waiting.where("left > 1 or not now").isEmpty():
+            break  # every pair across components that a bucket holds has now been compared
+        now = pivots.select("key", F.col("pivot").alias("doc_id"), F.lit(True).alias("now_done"))
+        again = placed.join(now, ["key", "doc_id"], "left").withColumn("done", F.col("done") | F.coalesce("now_done", F.lit(False))).drop("now_done")
+        placed = common.staged(_spread(place(again.drop("comp"))) if linked else again, "placed")
     else:
         raise RuntimeError("near-duplicate rounds did not end")
-    comp = components(links).select(F.col("node").alias("rep"), "component")
-    found = members.select("doc_id", "n_shingles", "rep").join(comp, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    found = members.select("doc_id", "n_shingles", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))

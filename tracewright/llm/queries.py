@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import common, decontaminate, html_text, language_model, line_dedup, minhash, quality, search, sentence_pieces, suffix_dedup, token_files
+from tracewright.llm import common, decontaminate, html_text, language_model, line_dedup, minhash, oracle, quality, search, sentence_pieces, suffix_dedup, token_files
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op1_suffix_dedup": oracle.OP1,
+    "op2_minhash": oracle.OP2,
+    "op4_line_dedup": oracle.OP4,
+    "op5_topk_search": oracle.OP5,
+}
 
 
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +24,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(common.documents(spark, sf_dir), k=3, numerator=85)
+    return minhash.near_duplicates(common.documents(spark, sf_dir), k=3, percent=85)
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import numpy as np
 from tracewright.llm import kernels as K
 
 _ODD = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|<\|")
-_MOST_KEPT = 600_000  # chunks remembered by a worker before it starts afresh
+_MOST_KEPT = 300_000  # chunks remembered by a worker before it starts afresh
 _encoders: dict = {}
 
 

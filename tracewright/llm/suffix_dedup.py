@@ -11,8 +11,8 @@ array is merged with the level of its size, and each merge scan marks the later
 string stands in different spans, only part of a run of windows may repeat: these windows go, each with its own hash,
 through the same index a second time. A key that fills a third of the corpus therefore sends one entry per batch.
 
-Hashes: an entry matches on 64 bits of its anchor and 64 bits of its span, a window on its 64-bit hash together with
-its anchor's.
+Hashes: an entry matches on 64 bits of its anchor and 64 bits of its span, a window on 64 bits that mix its hash with its
+anchor's and 32 bits of its own.
 """
 
 from __future__ import annotations
@@ -225,7 +225,7 @@ def window_entries(texts: DataFrame, length: int) -> DataFrame:
                 fits = place + length <= offs[row + 1]
                 each, where, row, place = each[fits], where[fits], row[fits], place[fits]
                 window = K.span_hash(K.byte_sums(buf), place, place + length)
-                parts.append((K.mix(key[each] ^ window), window, ids[a + row], pack(where, np.ones(len(where), np.int64), ENTRY)))
+                parts.append((K.mix(key[each] ^ window), window & np.uint64(0xFFFFFFFF), ids[a + row], pack(where, np.ones(len(where), np.int64), ENTRY)))
                 held += len(where)
                 if held >= BATCH:
                     yield from _send(parts)
