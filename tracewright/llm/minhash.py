@@ -9,9 +9,11 @@ million.
 
 No group is expanded into all its pairs. Equal sets are one class. Each class is first compared with one pivot, the
 most typical member of its buckets (the one whose buckets are fullest), and what is confirmed is joined to components.
-Of the rest, only members of one bucket in different components matter, and a shingle that no other of them holds
-bounds what a member can share; who can still reach the threshold is compared in rounds, pivot by pivot, until nothing
-is left to compare.
+Of the rest, only members of one bucket in different components matter. They meet in blocks: members of a bucket, split
+into chunks, against chunks of those outside the bucket's largest component, dealt by bucket and part of it. Inside a
+task a pair is judged in the first bucket that it shares, by a bitmap of each set, which bounds the intersection from
+above, and by the joint estimate; only pairs that pass leave the task, to be confirmed. So every pair that shares a
+bucket is judged once and one round is enough.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ from tracewright.llm.components import components
 
 PER_BAND = 6
 MISSED = 1e-6
-EAGER = 32  # pairs per row of a bucket up to which one round compares them all
+BITS = 8192  # of the bitmap of a set
+CHUNK, PART = 64, 16  # members of a bucket in a chunk on average, chunks of a bucket in a part
 MOST = 512  # registers that have a hash
 BASE, RATE, TOP = 1.02, 20.0, 32766  # spacing of the registers, rate of their exponentials, largest value
 _SALT = np.random.default_rng(7).integers(1, 1 << 62, MOST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -84,8 +87,14 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, k: int) -> list[np.ndarray]:
     return [np.unique(K.shingles(hashes[s:e], k)) for s, e in zip(ends[:-1], ends[1:], strict=True)]
 
 
+def bitmap(hashes: np.ndarray) -> bytes:
+    bits = np.zeros(BITS, bool)
+    bits[(K.mix(hashes ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(BITS)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
 def sketches(docs: DataFrame, k: int, bands: int) -> DataFrame:
-    """Per document: set size, two fingerprints of the whole set, and registers (null without words)."""
+    """Per document: set size, two fingerprints of the whole set, registers and a bitmap (null without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,20 +103,20 @@ def sketches(docs: DataFrame, k: int, bands: int) -> DataFrame:
                 sizes = np.array([len(x) for x in sets], np.int64)
                 full = np.flatnonzero(sizes)
                 one, two = np.zeros(b - a, np.uint64), np.zeros(b - a, np.uint64)
-                regs = [None] * (b - a)
+                regs, bits = [None] * (b - a), [None] * (b - a)
                 if len(full):
                     flat = np.concatenate(sets)
                     firsts = np.cumsum(sizes[full]) - sizes[full]
                     one[full] = np.add.reduceat(K.mix(flat), firsts)
                     two[full] = np.add.reduceat(K.mix(flat ^ np.uint64(0xA0761D6478BD642F)), firsts)
                     for i, row in zip(full.tolist(), registers(flat, firsts, bands * PER_BAND), strict=True):
-                        regs[i] = row.tobytes()
+                        regs[i], bits[i] = row.tobytes(), bitmap(sets[i])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array(sizes), pa.array(K.signed(one)), pa.array(K.signed(two)), pa.array(regs, pa.binary())],
-                    names=["doc_id", "n_shingles", "f1", "f2", "regs"],
+                    [batch.column("doc_id").slice(a, b - a), pa.array(sizes), pa.array(K.signed(one)), pa.array(K.signed(two)), pa.array(regs, pa.binary()), pa.array(bits, pa.binary())],
+                    names=["doc_id", "n_shingles", "f1", "f2", "regs", "bits"],
                 )
 
-    return common.id_text(docs).mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, regs binary")
+    return common.id_text(docs).mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, regs binary, bits binary")
 
 
 def _registers_of(column: pa.Array) -> np.ndarray:
@@ -162,7 +171,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
                 continue
             regs = [_registers_of(batch.column(c)) for c in ("ra", "rb")]
             n_a, n_b = (np.diff(batch.column(c).offsets.to_numpy()).astype(np.float64) for c in ("sa", "sb"))
-            slack = 5 * math.sqrt(percent / 100 * (1 - percent / 100) / regs[0].shape[1]) + 1 / 64
+            slack = _slack(percent, regs[0].shape[1])
             likely = (estimate(*regs, n_a, n_b) >= percent / 100 - slack) & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
             keep = np.zeros(batch.num_rows, bool)
             for i in np.flatnonzero(likely).tolist():
@@ -184,32 +193,68 @@ def _spread(placed: DataFrame) -> DataFrame:
     return placed.join(keys, "key", "left_semi")
 
 
-def _alone(placed: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """Per document of ``placed``: how many of its shingles no other of them holds."""
-    ids = placed.select("doc_id").distinct()
-    each = full_sets(docs, ids, k).select("doc_id", F.explode("hashes").alias("hash"))
-    alone = each.groupBy("hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1")
-    return alone.groupBy("doc_id").agg(F.count("*").alias("alone"))
-
-
-def _cross_pairs(rows: DataFrame) -> tuple[int, int]:
-    """Pairs across components that the buckets hold, and rows of buckets with such pairs."""
-    comps = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    keys = comps.groupBy("key").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inner")).where("comps > 1")
-    row = keys.agg(F.sum((F.col("n") * F.col("n") - F.col("inner")) / 2).alias("work"), F.sum("n").alias("size")).first()
-    return int(row["work"] or 0), int(row["size"] or 0)
+def _slack(percent: int, count: int) -> float:
+    """Five standard errors of an estimate from ``count`` registers, and a step of its grid."""
+    return 5 * math.sqrt(percent / 100 * (1 - percent / 100) / count) + 1 / 64
+
+
+def _blocks(open_rows: DataFrame, sketched: DataFrame) -> DataFrame:
+    """(key, heads, members): chunks of each bucket's members against chunks of those outside its largest component."""
+    comps = open_rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    sizes = comps.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("most")).select("key", "n", F.col("most.n").alias("inner"), F.col("most.comp").alias("most"))
+    rows = open_rows.join(sizes, "key").join(sketched, "doc_id")
+    one = F.struct("doc_id", "comp", "n_shingles", "regs", "bits")
+    chunk = lambda n: F.pmod(F.xxhash64("doc_id"), F.ceil(n / CHUNK)).cast("int")
+    members = rows.groupBy("key", chunk(F.col("n")).alias("chunk")).agg(F.collect_list(one).alias("members"))
+    parts = F.sequence(F.lit(0), F.floor((F.ceil(F.col("n") / CHUNK) - 1) / PART).cast("int"))
+    heads = rows.where("comp <> most").groupBy("key", "n", chunk(F.col("n") - F.col("inner")).alias("chunk")).agg(F.collect_list(one).alias("heads"))
+    heads = heads.select("key", F.explode(parts).alias("part"), "heads")
+    return members.withColumn("part", F.floor(F.col("chunk") / PART).cast("int")).join(heads, ["key", "part"]).select("key", "heads", "members")
+
+
+class _Side:
+    """The sketches of a column of chunks, flat, and where each chunk begins."""
+
+    def __init__(self, chunks: pa.ListArray):
+        self.first = chunks.offsets.to_numpy() - chunks.offsets[0].as_py()
+        rows = chunks.flatten()
+        self.ids, self.comps, self.sizes = (rows.field(c).to_numpy() for c in ("doc_id", "comp", "n_shingles"))
+        self.regs = _registers_of(rows.field("regs"))
+        self.keys = K.signed(band_keys(self.regs))
+        self.bits = np.frombuffer(b"".join(rows.field("bits").to_pylist()), np.uint64).reshape(len(rows), -1)
+        self.over = self.sizes - np.bitwise_count(self.bits).sum(1)  # shingles that share a bit with another of their set
+
+
+def _judged(blocks: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b of different components that may reach the threshold, each from the first bucket that it shares."""
+
+    def likely(key: int, one: _Side, two: _Side, at: slice, to: slice) -> tuple[np.ndarray, np.ndarray]:
+        n_a, n_b = one.sizes[at, None], two.sizes[None, to]
+        fits = (one.comps[at, None] != two.comps[None, to]) & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
+        same = one.keys[at, None, :] == two.keys[None, to, :]
+        fits &= same.any(2) & (one.keys[np.arange(at.start, at.stop)[:, None], same.argmax(2)] == key)
+        i, j = np.nonzero(fits)
+        i, j = i + at.start, j + to.start
+        shared = np.bitwise_count(one.bits[i] & two.bits[j]).sum(1) + np.minimum(one.over[i], two.over[j])
+        good = 100 * shared >= percent * (one.sizes[i] + two.sizes[j] - shared)
+        i, j = i[good], j[good]
+        near = estimate(one.regs[i], two.regs[j], one.sizes[i].astype(np.float64), two.sizes[j].astype(np.float64)) >= percent / 100 - _slack(percent, one.regs.shape[1])
+        return one.ids[i[near]], two.ids[j[near]]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                one, two = _Side(batch.column("heads")), _Side(batch.column("members"))
+                found = [likely(key, one, two, slice(*one.first[r : r + 2].tolist()), slice(*two.first[r : r + 2].tolist())) for r, key in enumerate(batch.column("key").to_pylist())]
+                a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
-def _pivots(rows: DataFrame, per_round: int) -> DataFrame:
-    """rows: key, doc_id, comp, done. Per key, the next member to compare from every component but the one with most left to
-    compare; about ``per_round`` of a key's are for ``now``."""
-    open_comps = rows.groupBy("key", "comp").agg(F.min(F.when(~F.col("done"), F.col("doc_id"))).alias("pivot"), F.count_if(~F.col("done")).alias("left")).where("left > 0")
-    per_key = open_comps.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("left", "comp")).alias("most")).where("comps > 1")
-    rest = open_comps.join(per_key, "key").where("comp <> most.comp").withColumn("turn", F.pmod(F.xxhash64("comp", "left"), F.greatest(F.lit(1), F.col("comps") / per_round).cast("long")))
-    return rest.select("key", F.col("comp").alias("pivot_comp"), "pivot", "left", F.expr("turn = 0 or comps <= 2").alias("now"))
+    return blocks.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, per_round: int = 64, max_rounds: int = 1000) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id).
 
     Words are runs of bytes outside space and 0x09-0x0D after A-Z are lower-cased; a text shorter than ``k`` words has
@@ -221,56 +266,22 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, per_round: i
     drawn = common.staged(sketches(docs, k, n_bands(percent)), "sketches")
     by_set = ["n_shingles", "f1", "f2"]
     classes = drawn.where("n_shingles > 0").groupBy(*by_set).agg(F.min("doc_id").alias("rep"))
-    members = common.staged(drawn.join(classes, by_set, "left").select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("regs")).alias("regs")), "members")
+    members = common.staged(drawn.select("doc_id", *by_set).join(classes, by_set, "left").select("doc_id", "n_shingles", "rep"), "members")
+    reps = drawn.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    reps = common.staged(reps.select("doc_id", "n_shingles", "regs", "bits"), "reps")
     common.drop_staged(drawn)
-    reps = members.where("rep = doc_id")
     rows = buckets(reps)
     rows = common.staged(rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "buckets")
     # A member's pivot is the most typical document that it shares a bucket with: the one whose own buckets are fullest.
     typical = rows.groupBy("doc_id").agg(F.sum("n").alias("fill")).select("doc_id", F.struct("fill", -F.col("doc_id"), "doc_id").alias("rank"))
     heads = rows.join(typical, "doc_id").groupBy("key").agg(F.max("rank").alias("rank"))
     own = rows.join(heads, "key").where(F.col("doc_id") != F.col("rank.doc_id")).groupBy("doc_id").agg(F.max("rank").alias("rank"))
-    tested = common.staged(own.select(F.least("doc_id", "rank.doc_id").alias("a"), F.greatest("doc_id", "rank.doc_id").alias("b")), "tested")
-    links = confirmed(tested, docs, k, percent)
-    comp = components(links)
-
-    def place(rows: DataFrame) -> DataFrame:
-        return rows.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
-
-    open_rows = common.staged(_spread(place(rows.select("key", "doc_id", "n_shingles"))), "open")
-    reach = F.col("n_shingles") - F.coalesce("alone", F.lit(0))
-    bounded = open_rows.join(_alone(open_rows, docs, k), "doc_id", "left").withColumn("m", reach).drop("alone").where(100 * F.col("m") >= percent * F.col("n_shingles"))
-    placed = common.staged(bounded.withColumn("done", F.lit(False)), "placed")
-    for _ in range(max_rounds):
-        work, size = _cross_pairs(placed)
-        if not work:
-            break
-        at_once = work <= EAGER * size  # few enough for one round; else pivot by pivot
-        if at_once:
-            heads = placed.where("not done").select("key", F.col("doc_id").alias("pivot"), F.col("comp").alias("pivot_comp"), F.col("m").alias("pm"), F.col("n_shingles").alias("pn"))
-        else:
-            waiting = common.staged(_pivots(placed, per_round), "pivots")
-            if waiting.isEmpty():
-                break
-            pivots = waiting.where("now").select("key", "pivot", "pivot_comp")
-            heads = placed.join(pivots, "key").where("doc_id = pivot").select("key", "pivot", "pivot_comp", F.col("m").alias("pm"), F.col("n_shingles").alias("pn"))
-        shared = F.least("m", "pm")
-        fits = (F.col("comp") != F.col("pivot_comp")) & (100 * shared >= percent * (F.col("n_shingles") + F.col("pn") - shared))
-        pairs = placed.join(heads, "key").where(fits).select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b"))
-        pairs = common.staged(pairs.join(tested, ["a", "b"], "left_anti").distinct(), "pairs")
-        found = None
-        if not pairs.isEmpty():
-            found = confirmed(pairs, docs, k, percent)
-            tested = tested.union(pairs)
-        linked = found is not None and not found.isEmpty()
-        if linked:
-            comp = components(comp.select(F.col("component").alias("a"), F.col("node").alias("b")).union(found))
-        if at_once or waiting.where("left > 1 or not now").isEmpty():
-            break  # every pair across components that a bucket holds has now been compared
-        now = pivots.select("key", F.col("pivot").alias("doc_id"), F.lit(True).alias("now_done"))
-        again = placed.join(now, ["key", "doc_id"], "left").withColumn("done", F.col("done") | F.coalesce("now_done", F.lit(False))).drop("now_done")
-        placed = common.staged(_spread(place(again.drop("comp"))) if linked else again, "placed")
-    else:
-        raise RuntimeError("near-duplicate rounds did not end")
+    tested = own.select(F.least("doc_id", "rank.doc_id").alias("a"), F.greatest("doc_id", "rank.doc_id").alias("b")).distinct()
+    comp = components(confirmed(common.staged(tested, "tested"), docs, k, percent))
+    placed = rows.select("key", "doc_id").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+    open_rows = common.staged(_spread(placed), "open")
+    pairs = common.staged(_judged(_blocks(open_rows, reps), percent), "pairs")
+    if not pairs.isEmpty():
+        comp = components(comp.select(F.col("component").alias("a"), F.col("node").alias("b")).union(confirmed(pairs, docs, k, percent)))
     found = members.select("doc_id", "n_shingles", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
