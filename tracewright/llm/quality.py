@@ -106,27 +106,42 @@ class Model:
         return np.round(1 / (1 + np.exp(-np.clip(logits / self.temperature, -40, 40))), 6)  # sums of other batches differ further down
 
 
-def _neighbour_vectors(bucket: np.ndarray, first: np.ndarray, index: np.ndarray, reach: int = 2) -> np.ndarray:
-    """Random indexing: each bucket's own index vector plus the rolled mean of its neighbours' in the same row."""
-    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    total, seen = np.zeros_like(index), np.zeros(len(index))
-    for step in range(1, reach + 1):
-        same = row[step:] == row[:-step]
-        for here, there, shift in ((bucket[:-step][same], bucket[step:][same], step), (bucket[step:][same], bucket[:-step][same], -step)):
-            pairs = np.bincount(here * len(index) + there, minlength=len(index) ** 2).reshape(len(index), -1)
-            total += pairs.astype(np.float32) @ np.roll(index, shift, 1)
-            seen += pairs.sum(1)
-    return index + total / np.maximum(seen, 1)[:, None].astype(np.float32)
+class _Neighbours:
+    """Random indexing: each bucket's own index vector plus the rolled mean of its neighbours' in the same row.
+
+    Texts are added slice by slice, so only a slice's words are held. The sums are of small whole numbers and exact.
+    """
+
+    def __init__(self, index: np.ndarray, reach: int = 2):
+        self.index, self.reach = index, reach
+        self.total, self.seen = np.zeros(index.shape), np.zeros(len(index))
+
+    def add(self, bucket: np.ndarray, first: np.ndarray) -> None:
+        row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        for step in range(1, self.reach + 1):
+            same = row[step:] == row[:-step]
+            one, two = bucket[:-step][same], bucket[step:][same]
+            for here, there, shift in ((one, two, step), (two, one, -step)):
+                pairs, n = np.unique(here * len(self.index) + there, return_counts=True)
+                if len(pairs):
+                    here, there = pairs // len(self.index), pairs % len(self.index)
+                    begin = np.flatnonzero(np.concatenate([[True], here[1:] != here[:-1]]))
+                    self.total[here[begin]] += np.add.reduceat(np.roll(self.index, shift, 1)[there] * n[:, None].astype(np.float32), begin)
+                    self.seen[here[begin]] += np.add.reduceat(n, begin)
+
+    def vectors(self) -> np.ndarray:
+        return self.index + (self.total / np.maximum(self.seen, 1)[:, None]).astype(np.float32)
 
 
 def fit(texts: list[str], labels: np.ndarray, seed: int = 11, hidden: int = 24, epochs: int = 80) -> Model:
     """Train on the given rows; a fifth of them choose the temperature and the best epoch."""
     column = pa.array(texts, pa.string())
-    all_buckets = [buckets(buf, offs) for _, _, buf, offs in K.text_slices(column)]
-    flat = lambda i: np.concatenate([x[i] for x in all_buckets]) if all_buckets else np.zeros(0, np.int64)
-    first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x[4]) for x in all_buckets]))]) if all_buckets else np.zeros(1, np.int64)
-    word_vectors = _neighbour_vectors(flat(0), first, index_vectors(WORDS, seed))
-    form_vectors = _neighbour_vectors(flat(1), first, index_vectors(FORMS, seed + 1))
+    words, forms = _Neighbours(index_vectors(WORDS, seed)), _Neighbours(index_vectors(FORMS, seed + 1))
+    for _, _, buf, offs in K.text_slices(column):
+        word, form, _, _, first = buckets(buf, offs)
+        words.add(word, first)
+        forms.add(form, first)
+    word_vectors, form_vectors = words.vectors(), forms.vectors()
     parts = [pooled(buf, offs, word_vectors, form_vectors) for _, _, buf, offs in K.text_slices(column)]
     x = np.vstack(parts) if parts else np.zeros((0, 2 * DIM + 5), np.float32)
     y = labels.astype(np.float32)
