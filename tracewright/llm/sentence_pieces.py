@@ -26,6 +26,7 @@ from tracewright.llm.subwords import ChunkCache, runs_of
 MARK = "▁".encode()  # stands for a space in pieces
 KEY = 16  # bytes of a suffix that are sorted; longer pieces are compared further
 BATCH_BYTES = 192 << 10  # text of one suffix array
+IDS_AT_ONCE = 1 << 17  # ids decoded together; a longer document is decoded alone
 LONG = 128  # symbols of a unit beyond which it is relaxed with a heap
 _codecs: dict = {}
 
@@ -224,12 +225,17 @@ def decode(encoded: DataFrame, model_file: str | None = None) -> DataFrame:
             if batch.num_rows == 0:
                 continue
             lists = batch.column("ids")
-            offs = lists.offsets.to_numpy()
-            flat = lists.values.to_numpy()[offs[0] : offs[-1]].astype("<u4")
-            offs = offs - offs[0]
-            crc = [zlib.crc32(flat[s:e]) for s, e in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-            texts = codec.decode(flat.astype(np.int64), np.diff(offs))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), batch.column("ids"), pa.array(np.diff(offs).astype(np.int64)), pa.array(crc, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text", "ids", "n_pieces", "ids_crc32", "decoded"])
+            offs = lists.offsets.to_numpy().astype(np.int64)
+            flat = lists.values.to_numpy()
+            a = 0
+            while a < batch.num_rows:
+                b = max(a + 1, int(np.searchsorted(offs, offs[a] + IDS_AT_ONCE, "right")) - 1)
+                own, at = flat[offs[a] : offs[b]].astype("<u4"), offs[a : b + 1] - offs[a]
+                crc = [zlib.crc32(own[s:e]) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                texts = codec.decode(own.astype(np.int64), np.diff(at))
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), part.column("ids"), pa.array(np.diff(at)), pa.array(crc, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text", "ids", "n_pieces", "ids_crc32", "decoded"])
+                a = b
 
     return encoded.mapInArrow(run, "doc_id long, text string, ids array<int>, n_pieces long, ids_crc32 long, decoded string")
 
