@@ -174,6 +174,23 @@ def test_search_against_exhaustive_scores(spark, docs, no_docs):
     assert search.more_like_this(no_docs).count() == 0
 
 
+def test_search_with_all_words_against_exhaustive_scores(spark):
+    texts = {i: " ".join(f"w{(i * j) % (7 + i % 13)}x{j % 31}" for j in range(1, 90)) for i in range(60)} | {100: "rare only here", 101: "rare only here", 120: None, 140: ""}
+    tf = {i: Counter(words(t)) for i, t in texts.items()}
+    df = Counter(w for c in tf.values() for w in c)
+    n, mean = len(tf), sum(sum(c.values()) for c in tf.values()) / len(tf)
+    score = lambda w, i: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf[i][w] * 2.2 / (tf[i][w] + 1.2 * (0.25 + 0.75 * sum(tf[i].values()) / mean))
+    expected = set()
+    for q in (i for i in tf if i % 20 == 0):
+        total = {i: math.fsum(score(w, i) for w in tf[q] if w in tf[i]) for i in tf if tf[q].keys() & tf[i].keys()}
+        best = sorted((-round(s * 1e6), i) for i, s in total.items())[:10]
+        expected |= {(q, r, i, -s) for r, (s, i) in enumerate(best, 1)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {tuple(r) for r in search.more_like_this(docs, terms=None, min_df=1).select("query_id", "rank", "doc_id", "score_micro").collect()}
+    assert found == expected
+    assert {r[2] for r in found if r[0] == 100} == {100, 101} and max(len(c) for c in tf.values()) > 25
+
+
 def test_block_max_wand_is_exact_and_prunes():
     import random
 
