@@ -260,6 +260,16 @@ def test_language_model_counts_and_probabilities(spark, docs, no_docs):
     assert language_model.score(no_docs).count() == 0
 
 
+def test_attention_is_trained_on_all_training_documents(spark, docs, monkeypatch):
+    seen = []
+    trained = language_model._trained
+    monkeypatch.setattr(language_model, "_trained", lambda lists, classes: (seen.extend(len(r["ids"]) for r in lists.collect()), trained(lists, classes))[1])
+    monkeypatch.setattr(language_model, "SLICE_IDS", 50)
+    language_model.score(docs)
+    train = [i for i in BY_ID if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert len(seen) == len(train) and sum(n == 1 for n in seen) == sum(not words(BY_ID[i]) for i in train)
+
+
 def test_attention_gradients_against_differences():
     import numpy as np
 

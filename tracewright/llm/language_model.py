@@ -8,8 +8,8 @@ A word's probability interpolates its add-one corpus count with the network's pr
 parts score better than their counts.
 
 All counts (words, and ids by class) cover every training document. The attention weights start from the class
-frequencies and are trained in numpy by rounds of local steps in the tasks that hold the training windows, a fixed
-share of the training documents; a Spark aggregation averages them after each round. For scoring, a document is cut
+frequencies and are trained in numpy by rounds of local steps in the tasks that hold the windows of all training
+documents; a Spark aggregation averages them after each round. For scoring, a document is cut
 into overlapping windows; a window's first ids are context only, so each id is scored once, with ``CONTEXT`` ids before it
 at least where the document has them.
 
@@ -35,7 +35,7 @@ DIM, CLASSES, OWN, INPUTS = 16, 64, 48, 512
 VOCABULARY = 50_257
 END = VOCABULARY  # id of a document's end
 BLOCK_BYTES = 16 << 20
-SHARE = 64  # one in so many training documents, by hash, gives windows to train the attention on
+SLICE_IDS = 1 << 19  # about so many ids have their windows in memory at a time while training
 ROUNDS = 3
 _SHAPES = {"E": (INPUTS, DIM), "P": (LENGTH, DIM), "Q": (DIM, DIM), "K": (DIM, DIM), "V": (DIM, DIM), "O": (DIM, DIM), "U": (DIM, CLASSES), "b": (CLASSES,)}
 
@@ -282,7 +282,7 @@ def _rows(block: int, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
 
 
 def _training_windows(texts: DataFrame, path: str | None) -> DataFrame:
-    """Id lists of the training documents whose hash falls in one of SHARE parts, ends included."""
+    """Id lists of all training documents, ends included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ByteEncoder.of(path or common.tokenizer_path("byte_bpe_50k.json"))
@@ -292,7 +292,7 @@ def _training_windows(texts: DataFrame, path: str | None) -> DataFrame:
                 ids, ends = id_stream(encoder, back, first, at, length)
                 yield pa.RecordBatch.from_arrays([K.row_lists(ids, np.diff(ends), pa.int32())], names=["ids"])
 
-    return texts.where("train").where(F.pmod(F.xxhash64("doc_id"), F.lit(SHARE)) == 0).select("text").mapInArrow(run, "ids array<int>")
+    return texts.where("train").select("text").mapInArrow(run, "ids array<int>")
 
 
 def _trained(lists: DataFrame, classes: Classes) -> dict[str, np.ndarray]:
@@ -305,16 +305,15 @@ def _trained(lists: DataFrame, classes: Classes) -> dict[str, np.ndarray]:
             w, seen = now, 0
             for batch in batches:
                 column = batch.column("ids")
-                offs = column.offsets.to_numpy()
-                ids = column.values.to_numpy()[offs[0] : offs[-1]]
-                offs = (offs - offs[0]).astype(np.int64)
-                if not len(ids):
-                    continue
-                place, _, row = windows(offs)
-                valid = place < offs[row + 1][:, None]
-                place = np.minimum(place, len(ids) - 1)
-                w = local_steps(w, inputs(classes, ids, offs)[place], classes.of[ids][place], valid, turn, 0.02 / (1 + turn))
-                seen += int(valid.sum())
+                every = column.offsets.to_numpy().astype(np.int64)
+                cuts = np.unique(np.append(np.searchsorted(every, np.arange(every[0], every[-1], SLICE_IDS)), len(every) - 1))
+                for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    ids, offs = column.values.to_numpy()[every[s] : every[e]], every[s : e + 1] - every[s]
+                    place, _, row = windows(offs)
+                    valid = place < offs[row + 1][:, None]
+                    place = np.minimum(place, len(ids) - 1)
+                    w = local_steps(w, inputs(classes, ids, offs)[place], classes.of[ids][place], valid, turn, 0.02 / (1 + turn))
+                    seen += int(valid.sum())
             if seen:
                 values = flat(w)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values.astype(np.float64) * seen), pa.array(np.full(len(values), float(seen)))], names=["i", "v", "n"])
