@@ -297,6 +297,30 @@ def test_attention_gradients_against_differences():
         assert math.isclose(g[name][at], (up - down) / 2e-5, rel_tol=2e-3, abs_tol=2e-6), name
 
 
+def test_context_lowers_held_out_loss(spark, monkeypatch):
+    """Which word follows the eighth "x" is told only by words nine places back."""
+    texts = [(i, " ".join(["x"] * 8 + [("apple", "stone", "river")[i % 3]]) + " " + " ".join((["x"] * 8 + [("apple", "stone", "river")[i % 3]]) * 5)) for i in range(600)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(2)
+
+    def loss():
+        rows = language_model.score(docs).where("held_out").collect()
+        return -sum(r["score"] for r in rows) / sum(r["n_tokens"] for r in rows), -sum(r["base_score"] for r in rows) / sum(r["n_tokens"] for r in rows)
+
+    with_context, counts_only = loss()
+    monkeypatch.setattr(language_model, "_trained", lambda lists, classes, trained=language_model._trained: {k: v * 0 if k in "OV" else v for k, v in trained(lists, classes).items()})
+    without, _ = loss()
+    assert with_context < without and with_context < 0.6 * counts_only
+
+
+def test_every_place_has_its_context():
+    import numpy as np
+
+    offs = np.array([0, 500])
+    place, scored, _ = language_model.windows(offs)
+    before = (place - place[:, :1])[scored]
+    assert (before >= np.minimum(place[scored], 8)).all()
+
+
 def test_windows_score_each_place_once():
     import numpy as np
 

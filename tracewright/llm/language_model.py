@@ -4,8 +4,8 @@ Text is the sequence of its lower-cased words and one end. Words are written as
 vocabulary, the leading space included, so a word sequence has one id sequence. The network gives each id as the
 probability of its class, from masked self-attention over the ids before it, times the id's share of its class. The
 most frequent ids are classes of their own; the others share classes by frequency and by whether they begin a word.
-A word's probability interpolates its add-one corpus count with the network's probability of its ids, so words of common
-parts score better than their counts.
+A word's probability interpolates its add-one corpus count with the network's probability of its ids. The network's weight
+in it is the one of WEIGHTS that makes all training documents most probable, each word's count without that word itself.
 
 All counts (words, and ids by class) cover every training document. The attention weights start from the class
 frequencies and are trained in numpy by rounds of local steps in the tasks that hold the windows of all training
@@ -30,7 +30,7 @@ from tracewright.llm import common
 from tracewright.llm import kernels as K
 from tracewright.llm.subwords import ByteEncoder, runs_of
 
-LENGTH, CONTEXT = 16, 4  # ids of a window, and how many of them a later window repeats
+LENGTH, CONTEXT = 32, 8  # ids of a window, and how many of them a later window repeats
 DIM, CLASSES, OWN, INPUTS = 16, 64, 48, 512
 VOCABULARY = 50_257
 END = VOCABULARY  # id of a document's end
@@ -204,11 +204,11 @@ def stream_scores(w: dict[str, np.ndarray], classes: Classes, ids: np.ndarray, o
     return score + classes.share[ids], begin
 
 
-SPELT = 0.05  # share of the network in a word's probability; the rest is the count's
+WEIGHTS = (0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95)  # shares of the network in a word's probability to choose from
 
 
-def word_scores(score: np.ndarray, begin: np.ndarray, starts: np.ndarray, is_end: np.ndarray, counts: np.ndarray, total: int, kinds: int) -> np.ndarray:
-    """log10 probability of each word, an end being one: add-one counts interpolated with the network.
+def word_parts(score: np.ndarray, begin: np.ndarray, starts: np.ndarray, is_end: np.ndarray, counts: np.ndarray, total: int, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Probabilities of each word, an end being one: by its add-one count, by that without one training token of it, and by the network.
 
     The network's probability of a word is that of its ids given that a word begins there, times that of another
     beginning after it (after an end nothing is asked). ``starts`` are the words' places in the id stream; the counts are
@@ -217,8 +217,12 @@ def word_scores(score: np.ndarray, begin: np.ndarray, starts: np.ndarray, is_end
     sums = np.concatenate([[0.0], np.cumsum(score)])
     after = np.append(starts[1:], len(score))
     spelt = sums[after] - sums[starts] - begin[starts] + np.where(is_end, 0.0, np.append(begin, 0.0)[after])
-    counted = np.log((1 - SPELT) * (counts + 1) / (total + kinds + 1))
-    return np.logaddexp(counted, np.log(SPELT) + spelt * np.log(10)) / np.log(10)
+    return (counts + 1) / (total + kinds + 1), np.maximum(counts, 1) / max(total + kinds, 1), 10.0**spelt
+
+
+def mixed_log10(counted: np.ndarray, spelt: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """log10 probability of each row [rows, WEIGHTS] of words whose first ones stand at ``heads``."""
+    return np.stack([np.add.reduceat(np.log10((1 - x) * counted + x * spelt), heads) for x in WEIGHTS], 1)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -325,13 +329,19 @@ def _trained(lists: DataFrame, classes: Classes) -> dict[str, np.ndarray]:
     return weights
 
 
+def _best_weight(found: DataFrame) -> int:
+    """Place in WEIGHTS under which the training documents are most probable; 0 without any."""
+    fits = found.where("train").agg(*[F.sum(F.col("fit")[i]).alias(f"f{i}") for i in range(len(WEIGHTS))]).first()
+    return 0 if fits[0] is None else int(np.argmax(fits))
+
+
 def score(docs: DataFrame, tokenizer_file: str | None = None) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     ``base_score`` is the add-one unigram log10 probability of the words and the end, ``score`` the model's log10
     probability of the same text. Documents with crc32(doc_id as text) mod 7 = 2 are held out of all learning. A null
     or empty text has the end as its only token. Without training documents all counts are zero and the model keeps its
-    start weights. Rows without doc_id are left out; repeated rows are each counted and scored; an empty table gives an
+    start weights and the least of WEIGHTS. Rows without doc_id are left out; repeated rows are each counted and scored; an empty table gives an
     empty result; other columns are ignored.
     """
     texts = common.id_text(docs)
@@ -370,15 +380,20 @@ def score(docs: DataFrame, tokenizer_file: str | None = None) -> DataFrame:
             score, begin = stream_scores(weights, classes, ids, ends)
             lengths = np.insert(length[back], first[1:], 1)
             is_end = np.insert(np.zeros(len(back), bool), first[1:], True)
-            each = word_scores(score, begin, np.cumsum(lengths) - lengths, is_end, np.insert(c[back], first[1:], n_docs), n_tokens, n_words)
-            model = np.add.reduceat(each, np.cumsum(words) - words)
-            out.append((words, np.diff(seen) + (n_docs > 0), np.diff(total) + np.log10(n_docs + 1.0) - words * per_token, model))
-        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)] * 2
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        return pa.table([left["doc_id"], *(pa.array(x, t) for x, t in zip(columns, kinds, strict=True))], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+            counted, without, spelt = word_parts(score, begin, np.cumsum(lengths) - lengths, is_end, np.insert(c[back], first[1:], n_docs), n_tokens, n_words)
+            heads = np.cumsum(words) - words
+            out.append((words, np.diff(seen) + (n_docs > 0), np.diff(total) + np.log10(n_docs + 1.0) - words * per_token, mixed_log10(counted, spelt, heads), mixed_log10(without, spelt, heads)))
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)] + [np.zeros((0, len(WEIGHTS)))] * 2
+        kinds = [pa.int64(), pa.int64(), pa.float64()]
+        plain = [pa.array(x, t) for x, t in zip(columns[:3], kinds, strict=True)]
+        each = [K.row_lists(x.ravel(), np.full(len(x), len(WEIGHTS)), pa.float64()) for x in columns[3:]]
+        return pa.table([left["doc_id"], left["train"], *plain, *each], names=["doc_id", "train", "n_tokens", "n_known", "base_score", "scores", "fit"])
 
     words = vocabulary.where("block >= 0").select("block", "hash", "c")
-    found = blocked.select("block", "doc_id", "text").groupBy("block").cogroup(words.groupBy("block")).applyInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    found = blocked.select("block", "doc_id", "text", "train").groupBy("block").cogroup(words.groupBy("block")).applyInArrow(run, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, scores array<double>, fit array<double>")
+    found = common.staged(found, "lm-scores")
+    at = _best_weight(found)
+    found = found.withColumn("score", F.col("scores")[at])
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
