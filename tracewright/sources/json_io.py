@@ -1,11 +1,16 @@
 """JSON, JSON-lines and text sources and sinks of trajectory records.
 
 Records are read as one JSON text per row (column ``record``), so their shape may vary; typed readers take a schema. JSON
-lines split over tasks; one large JSON array is a single document that Spark must read whole, so convert it once.
+lines split over tasks; one large JSON array is a single document that one task must read whole (2 GB at most), so
+convert it once.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +21,62 @@ def _whole(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.trim("value").alias("value")).where("value <> ''")
 
 
+def _reads(text: str) -> bool:
+    try:
+        json.loads(text)
+    except ValueError:
+        return False
+    return True
+
+
+def _pieces(text: str) -> Iterator[tuple[str, bool]]:
+    """JSON texts of a document that does not read as one variant, and whether each of them must read: the elements of an
+    array, however large it is, or lines; an error for an array or object that is cut off or broken."""
+    text = text.strip()
+    if text[:1] not in ("[", "{") or ("\n" in text and _reads(text.split("\n", 1)[0])):
+        for line in text.split("\n"):
+            yield line, False
+        return
+    if text[0] == "{":
+        raise ValueError(f"JSON object does not read whole, or is too large for one record: {text[:80]}")
+    decoder, at = json.JSONDecoder(), 0
+    while True:
+        at += 1
+        while text[at : at + 1].isspace():
+            at += 1
+        try:
+            end = decoder.raw_decode(text, at)[1]
+        except ValueError as e:
+            raise ValueError(f"JSON array does not read whole: {e}") from None
+        yield text[at:end], True
+        at = end
+        while text[at : at + 1].isspace():
+            at += 1
+        if text[at : at + 1] == "]" and at + 1 == len(text):
+            return
+        if text[at : at + 1] != ",":
+            raise ValueError(f"JSON array does not read whole: no comma or end at character {at}")
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for text in batch.column("value"):
+            held, size = [], 0
+            for piece in _pieces(text.as_py()):
+                held.append(piece)
+                size += len(piece[0])
+                if size > 1 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held, strict=True)], names=["value", "must"])
+                    held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held, strict=True)], names=["value", "must"])
+
+
 def read_records(spark: SparkSession, path: str, keep_objects_with: tuple[str, ...] = ("trajectory", "step_detail")) -> DataFrame:
     """Records of a JSON array, a single object or JSON lines, told apart by their content.
 
-    A single object counts if it has one of ``keep_objects_with``; lines that do not read are skipped.
+    A single object counts if it has one of ``keep_objects_with``; lines that do not read are skipped. An array
+    above the size of one variant gives all its elements; an array or object that does not read whole is an error.
     """
     lines = spark.read.text(path).select(F.trim("value").alias("value")).where("value <> ''")
     head = lines.select(F.left("value", F.lit(1)).alias("first"), F.try_parse_json("value").isNotNull().alias("reads")).first()
@@ -36,8 +93,9 @@ def read_records(spark: SparkSession, path: str, keep_objects_with: tuple[str, .
         present = present | F.expr(f"variant_get(v, '$.{key}') is not null")
     objects = whole.where(kind.startswith("OBJECT") & present).select("v")
     records = arrays.select(F.to_json("item").alias("record")).union(objects.select(F.to_json("v").alias("record")))
-    bad = whole.where("v is null").select(F.explode(F.split("value", "\n")).alias("value")).where(F.try_parse_json("value").isNotNull())
-    return records.union(bad.select(F.col("value").alias("record")))
+    rest = whole.where("v is null").select("value").mapInArrow(_split, "value string, must boolean").select(F.trim("value").alias("value"), "must")
+    rest = rest.where(F.col("must") | F.try_parse_json("value").isNotNull())
+    return records.union(rest.select(F.when(F.col("must"), F.to_json(F.parse_json("value"))).otherwise(F.col("value")).alias("record")))
 
 
 def unwrap(records: DataFrame) -> DataFrame:
