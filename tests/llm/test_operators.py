@@ -367,6 +367,14 @@ def test_html_layout(spark):
     assert found[5]["text"].endswith("deep") and found[6]["text"] == "a < b  <i>"
 
 
+def test_html_layout_at_any_depth():
+    for depth in (50, 130, 20_000):
+        for tag in ("span", "div"):
+            page = f"<{tag}>" * depth + "a<div hidden>no</div><svg>no</svg><template>no</template><ul><li>b<li>c</ul><table><tr><td>d<td>e</table><b>f</b>" + f"</{tag}>" * depth + "g"
+            tail = "fg" if tag == "span" else "f\ng"
+            assert html_text.visible_text(page) == "a\n\n- b\n- c\n\nd  e\n\n" + tail
+
+
 def test_components_against_union_find(spark):
     import random
 

@@ -3,13 +3,14 @@
 A page is cut into tags and text, a tree is built with the end tags that HTML implies, and the tree is rendered:
 elements that are not shown are skipped, inline text flows with white space collapsed, block elements start new lines
 (paragraph-like ones with a blank line around), lists get markers and indents, preformatted text is kept, and the cells
-of a table are padded to common column widths.
+of a table are padded to common column widths. All of this holds at any depth: the tree is walked with a stack of its own.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,7 +28,6 @@ SPACED = frozenset("blockquote h1 h2 h3 h4 h5 h6 hr ol p pre table ul".split())
 CLOSES_P = (BLOCK | SPACED) - {"html", "body", "tr"}
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "thead": {"tbody", "thead", "tfoot", "tr", "td", "th"}, "tbody": {"tbody", "thead", "tfoot", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tfoot", "tr", "td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
-DEEPEST = 120  # elements nested further are taken as children of the last that fits
 
 
 class Node:
@@ -51,8 +51,15 @@ def _shown(tag: str, attributes: str) -> tuple[bool, int]:
     return True, start
 
 
-def _close(stack: list[Node], tags: set, stop: set) -> None:
-    """End every open element down to the outermost of ``tags`` above the nearest of ``stop``."""
+def _cut(stack: list[Node], count: Counter, at: int) -> None:
+    count.subtract(node.tag for node in stack[at:])
+    del stack[at:]
+
+
+def _close(stack: list[Node], count: Counter, tags: set, stop: set) -> None:
+    """End every open element down to the outermost of ``tags`` above the nearest of ``stop``; ``count`` has the open tags."""
+    if not any(count[tag] for tag in tags):
+        return
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].tag in stop:
             return
@@ -60,14 +67,14 @@ def _close(stack: list[Node], tags: set, stop: set) -> None:
             outer = i
             while outer > 1 and stack[outer - 1].tag in tags:
                 outer -= 1
-            del stack[outer:]
+            _cut(stack, count, outer)
             return
 
 
 def parse(page: str) -> Node:
     """Tree of a page; text is held as strings among the children."""
     root = Node("html")
-    stack, at, lower = [root], 0, None
+    stack, count, at, lower = [root], Counter(), 0, None
     while True:
         m = _TOKEN.search(page, at)
         if m is None or m.start() > at:
@@ -79,24 +86,25 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if count[tag] else ():
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    _cut(stack, count, i)
                     break
                 if stack[i].tag in ("table", "td", "th") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th"):
                     break
             continue
         if tag in ENDS:
-            _close(stack, ENDS[tag], SCOPE.get(tag, set()))
+            _close(stack, count, ENDS[tag], SCOPE.get(tag, set()))
         if tag in CLOSES_P:
-            _close(stack, {"p"}, {"table", "td", "th", "button"})
+            _close(stack, count, {"p"}, {"table", "td", "th", "button"})
         node = Node(tag, *_shown(tag, m[3]))
         stack[-1].children.append(node)
         if tag in RAW:
             lower = lower if lower is not None else page.lower()
             end = lower.find("</" + tag, at)
             at = end if end >= 0 else len(page)
-        elif tag not in VOID and len(stack) < DEEPEST:
+        elif tag not in VOID:
+            count[tag] += 1
             stack.append(node)  # a slash at its end does not close an HTML element
 
 
@@ -129,7 +137,18 @@ class _Page:
         self.gap = True
 
 
-def _render(node: Node, page: _Page, pre: bool = False) -> None:
+def _walk(first: Iterator) -> None:
+    """Run a walk; each walk it yields is run to its end before it goes on."""
+    stack = [first]
+    while stack:
+        inner = next(stack[-1], None)
+        if inner is None:
+            stack.pop()
+        else:
+            stack.append(inner)
+
+
+def _render(node: Node, page: _Page, pre: bool = False) -> Iterator:
     for child in node.children:
         if isinstance(child, str):
             if not pre:
@@ -141,17 +160,17 @@ def _render(node: Node, page: _Page, pre: bool = False) -> None:
                     page.now = []
                 page.text(line)
         elif child.shown:
-            _element(child, page, pre)
+            yield _element(child, page, pre)
 
 
-def _element(node: Node, page: _Page, pre: bool) -> None:
+def _element(node: Node, page: _Page, pre: bool) -> Iterator:
     tag = node.tag
     if tag == "br":
         if "".join(page.now).strip():
             page.end_line()
     elif tag == "table":
         page.space()
-        _table(node, page)
+        yield _table(node, page)
         page.space()
     elif tag in ("ul", "ol", "menu"):
         nested = bool(page.indent or page.marker)
@@ -165,47 +184,49 @@ def _element(node: Node, page: _Page, pre: bool) -> None:
                 kept = page.indent
                 page.marker = f"{number}. " if tag == "ol" else "- "
                 number += 1
-                _render(child, page)
+                yield _render(child, page)
                 page.end_line()
                 page.indent, page.marker = kept, ""
             elif child.shown:
-                _element(child, page, pre)
+                yield _element(child, page, pre)
         page.end_line() if nested else page.space()
     elif tag == "pre":
         page.space()
-        _render(node, page, True)
+        yield _render(node, page, True)
         if page.now and "".join(page.now).strip():
             page.put("".join(page.now).rstrip())
         page.now = []
         page.space()
     elif tag in SPACED:
         page.space()
-        _render(node, page, pre)
+        yield _render(node, page, pre)
         page.space()
     elif tag in BLOCK:
         page.end_line()
-        _render(node, page, pre)
+        yield _render(node, page, pre)
         page.end_line()
     else:
-        _render(node, page, pre)
+        yield _render(node, page, pre)
 
 
 def _rows(node: Node) -> Iterator[Node]:
-    for child in node.children:
+    rest = node.children[::-1]
+    while rest:
+        child = rest.pop()
         if isinstance(child, Node) and child.shown:
             if child.tag == "tr":
                 yield child
             elif child.tag in ("thead", "tbody", "tfoot"):
-                yield from _rows(child)
+                rest += child.children[::-1]
 
 
-def _table(node: Node, page: _Page) -> None:
+def _table(node: Node, page: _Page) -> Iterator:
     """Cells of a column padded to its widest, two spaces between; text of the table outside cells comes first."""
     for child in node.children:
         if isinstance(child, str):
             page.text(child)
         elif child.shown and child.tag not in ("tr", "thead", "tbody", "tfoot", "colgroup"):
-            _element(child, page, False)
+            yield _element(child, page, False)
     page.end_line()
     rows = []
     for row in _rows(node):
@@ -216,7 +237,7 @@ def _table(node: Node, page: _Page) -> None:
                     page.text(child)
                 continue
             inner = _Page()
-            _render(child, inner)
+            yield _render(child, inner)
             inner.end_line()
             cells.append(" ".join(x.strip() for x in inner.lines if x))
         if any(cells):
@@ -232,7 +253,7 @@ def visible_text(page: str | None) -> str:
     if not page:
         return ""
     out = _Page()
-    _render(parse(page), out)
+    _walk(_render(parse(page), out))
     out.end_line()
     return "\n".join(out.lines)
 
