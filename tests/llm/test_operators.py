@@ -85,6 +85,13 @@ def test_near_duplicates_against_all_pairs(spark, docs, no_docs, k, percent):
         assert minhash.near_duplicates(with_odd_rows(spark, docs), k, percent).count() == len(TEXTS) + 1
 
 
+def test_near_duplicates_of_a_repeated_id_with_different_texts(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(80)) for x in "abcd")
+    rows = [(50, a), (50, b), (50, ""), (60, a + " end"), (61, b + " end"), (70, c), (75, c), (75, d), (76, d + " end"), (80, None)]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").collect()
+    assert sorted(tuple(r) for r in found) == [(50, 50)] * 3 + [(60, 50), (61, 50), (70, 70), (75, 70), (75, 70), (76, 70), (80, 80)]
+
+
 def test_sketches_merge_and_estimate():
     import numpy as np
 

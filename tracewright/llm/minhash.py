@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.llm import common
@@ -139,7 +139,7 @@ def buckets(reps: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, k: int, bands: int = 0) -> DataFrame:
-    """Shingle sets, and registers if ``bands`` are asked for, of the documents named in ``ids``."""
+    """Shingle sets, and registers if ``bands`` are asked for, of the rows with words of the documents named in ``ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,7 +154,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int, bands: int = 0) -> DataFr
                         regs[i] = row.tobytes()
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), K.row_lists(K.signed(flat), lengths, pa.int64()), pa.array(regs, pa.binary())], names=["doc_id", "hashes", "regs"])
 
-    return common.id_text(docs).join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, hashes array<long>, regs binary")
+    return common.id_text(docs).join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, hashes array<long>, regs binary").where(F.size("hashes") > 0)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -266,8 +266,10 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
     drawn = common.staged(sketches(docs, k, n_bands(percent)), "sketches")
     by_set = ["n_shingles", "f1", "f2"]
     classes = drawn.where("n_shingles > 0").groupBy(*by_set).agg(F.min("doc_id").alias("rep"))
-    members = common.staged(drawn.select("doc_id", *by_set).join(classes, by_set, "left").select("doc_id", "n_shingles", "rep"), "members")
-    reps = drawn.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    members = drawn.select("doc_id", *by_set).join(classes, by_set, "left").withColumn("least", F.min("rep").over(Window.partitionBy("doc_id")))
+    members = common.staged(members.select("doc_id", "n_shingles", F.coalesce("rep", "least").alias("rep"), "least"), "members")
+    same_id = members.where("least < rep").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
+    reps = drawn.where("n_shingles > 0").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "f1", "f2"])
     reps = common.staged(reps.select("doc_id", "n_shingles", "regs", "bits"), "reps")
     common.drop_staged(drawn)
     rows = buckets(reps)
@@ -277,7 +279,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
     heads = rows.join(typical, "doc_id").groupBy("key").agg(F.max("rank").alias("rank"))
     own = rows.join(heads, "key").where(F.col("doc_id") != F.col("rank.doc_id")).groupBy("doc_id").agg(F.max("rank").alias("rank"))
     tested = own.select(F.least("doc_id", "rank.doc_id").alias("a"), F.greatest("doc_id", "rank.doc_id").alias("b")).distinct()
-    comp = components(confirmed(common.staged(tested, "tested"), docs, k, percent))
+    comp = components(confirmed(common.staged(tested, "tested"), docs, k, percent).union(same_id))
     placed = rows.select("key", "doc_id").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
     open_rows = common.staged(_spread(placed), "open")
     pairs = common.staged(_judged(_blocks(open_rows, reps), percent), "pairs")
