@@ -57,7 +57,7 @@ class PieceCodec:
         self.out_len = np.array([len(p) for p in shown], np.int64)
         self.out_first = np.cumsum(self.out_len) - self.out_len
         self.out_bytes = np.frombuffer(b"".join(shown), np.uint8)
-        self.cache = ChunkCache(self._encode_units, 400_000)
+        self.cache = ChunkCache(lambda chunks: self._encode_units(chunks.to_pylist()), 200_000)
 
     @classmethod
     def of(cls, path: str) -> PieceCodec:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm import common
 from tracewright.llm import kernels as K
-from tracewright.llm.subwords import ByteEncoder
+from tracewright.llm.subwords import SLICE_BYTES, ByteEncoder
 
 SCHEMA = "doc_id long, part int, local_start long, n_tokens int, ids array<int>"
 
@@ -37,7 +37,7 @@ def encode(docs: DataFrame, tokenizer_file: str | None = None, end_id: int = 2)
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids_of = batch.column("doc_id")
-            for a, b, buf, offs in K.text_slices(batch.column("text")):
+            for a, b, buf, offs in K.text_slices(batch.column("text"), SLICE_BYTES):
                 ids, counts = encoder.encode(buf, offs)
                 ids = np.insert(ids, np.cumsum(counts), np.int32(end_id))
                 counts = counts + 1
