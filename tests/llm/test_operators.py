@@ -270,7 +270,7 @@ def test_language_model_counts_and_probabilities(spark, docs, no_docs):
 def test_attention_is_trained_on_all_training_documents(spark, docs, monkeypatch):
     seen = []
     trained = language_model._trained
-    monkeypatch.setattr(language_model, "_trained", lambda lists, classes: (seen.extend(len(r["ids"]) for r in lists.collect()), trained(lists, classes))[1])
+    monkeypatch.setattr(language_model, "_trained", lambda lists, classes, units: (seen.extend(len(r["ids"]) // 2 + 1 for r in lists.collect()), trained(lists, classes, units))[1])
     monkeypatch.setattr(language_model, "SLICE_IDS", 50)
     language_model.score(docs)
     train = [i for i in BY_ID if zlib.crc32(str(i).encode()) % 7 != 2]
@@ -314,7 +314,7 @@ def test_context_lowers_held_out_loss(spark, monkeypatch):
         return -sum(r["score"] for r in rows) / sum(r["n_tokens"] for r in rows), -sum(r["base_score"] for r in rows) / sum(r["n_tokens"] for r in rows)
 
     with_context, counts_only = loss()
-    monkeypatch.setattr(language_model, "_trained", lambda lists, classes, trained=language_model._trained: {k: v * 0 if k in "OV" else v for k, v in trained(lists, classes).items()})
+    monkeypatch.setattr(language_model, "_trained", lambda lists, classes, units, trained=language_model._trained: {k: v * 0 if k in "OV" else v for k, v in trained(lists, classes, units).items()})
     without, _ = loss()
     assert with_context < without and with_context < 0.6 * counts_only
 

@@ -1,24 +1,33 @@
 """Language-model scoring of whole documents by a small causal self-attention model on subword ids.
 
 Text is the sequence of its lower-cased words and one end. Words are written as subword ids of a public byte-level
-vocabulary, the leading space included, so a word sequence has one id sequence. The network gives each id as the
-probability of its class, from masked self-attention over the ids before it, times the id's share of its class. The
-most frequent ids are classes of their own; the others share classes by frequency and by whether they begin a word.
-A word's probability interpolates its add-one corpus count with the network's probability of its ids. The network's weight
-in it is the one of WEIGHTS that makes all training documents most probable, each word's count without that word itself.
-
-All counts (words, and ids by class) cover every training document. The attention weights start from the class
-frequencies and are trained in numpy by rounds of local steps in the tasks that hold the windows of all training
-documents; a Spark aggregation averages them after each round. For scoring, a document is cut
-into overlapping windows; a window's first ids are context only, so each id is scored once, with ``CONTEXT`` ids before it
-at least where the document has them.
-
-Word counts go back to the documents by blocks: documents are cut into ranges of doc_id, the distinct words of each
-range meet their corpus counts in one shuffle by word, and a cogroup brings each block's words and texts together.
+vocabulary, the leading space included, so a word sequence has one id sequence and a word one run of ids, known by a
+64-bit hash. The network gives each id as the probability of its class, from masked self-attention over the ids before
+it, times the id's share of its class. The most frequent ids are classes of their own; the others share classes by frequency
+and by whether they begin a word.
+
+A word's probability is (1 - x) * c / N + x * n. c of N training tokens are this word, and n is the network's probability of its ids
+and of a beginning after them, given that a word begins there; so words that training never met are spelt by the network alone, and the
+probabilities of all words and the end add up to at most 1. x is the one of WEIGHTS that makes all training
+documents most probable, each word's count without that word itself.
+
+All counts (words, and ids by class) cover every training document, and the attention weights, which start from the
+class frequencies, are trained in numpy on the windows of every training document, once each. Training documents are dealt
+by a hash of doc_id into units of about UNIT_BYTES of text, and units into ROUNDS rounds; a round makes local steps
+in each of its units, whose documents are in order of doc_id, and a Spark aggregation averages the units' weights in whole
+numbers. So the weights depend on the documents only, not on how they are partitioned.
+For scoring, a document is cut into overlapping windows; a window's first ids are context only, so each id is scored
+once, with ``CONTEXT`` ids before it at least where the document has them. Scores from other partitionings differ by rounding
+of single precision only.
+
+Texts are encoded once, to ids of 16 bits that all later steps read. Word counts go back to the documents by blocks:
+documents are cut into ranges of doc_id, the distinct words of each range meet their corpus counts in one shuffle by
+word, and a cogroup brings each block's words and ids together. Inside a block about SLICE_IDS ids are at work at a time.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,34 +37,55 @@ from pyspark.sql import functions as F
 
 from tracewright.llm import common
 from tracewright.llm import kernels as K
-from tracewright.llm.subwords import ByteEncoder, runs_of
+from tracewright.llm.subwords import SLICE_BYTES, ByteEncoder, parts_of, runs_of
 
 LENGTH, CONTEXT = 32, 8  # ids of a window, and how many of them a later window repeats
-DIM, CLASSES, OWN, INPUTS = 16, 64, 48, 512
+DIM, CLASSES, OWN, INPUTS = 16, 512, 496, 1024
 VOCABULARY = 50_257
 END = VOCABULARY  # id of a document's end
-BLOCK_BYTES = 16 << 20
-SLICE_IDS = 1 << 19  # about so many ids have their windows in memory at a time while training
+BLOCK_BYTES, UNIT_BYTES = 8 << 20, 1 << 20
+SLICE_IDS = 1 << 18
 ROUNDS = 3
+SCALE = 1 << 20  # weights are averaged in whole numbers of this part
 _SHAPES = {"E": (INPUTS, DIM), "P": (LENGTH, DIM), "Q": (DIM, DIM), "K": (DIM, DIM), "V": (DIM, DIM), "O": (DIM, DIM), "U": (DIM, CLASSES), "b": (CLASSES,)}
+_ID = np.random.default_rng(20250301).integers(1, 1 << 63, VOCABULARY, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def word_ids(encoder: ByteEncoder, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct word hashes, each word's place among them, first word of each row, and the distinct words' ids as (start, length)."""
-    hashes, starts, ends, first = K.word_hashes(buf, offs)
-    low = K.LOWER[buf].tobytes()
-    uniq, where, back = np.unique(hashes, return_index=True, return_inverse=True)
-    at, length = encoder.cache.lookup(uniq, lambda i: b" " + low[starts[where[i]] : ends[where[i]]])
-    return uniq, back, first, at, length
+def spaced_words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-cased words of rows, each with one space in front, as bytes and row offsets."""
+    low = K.LOWER[buf]
+    starts, ends, rows = K.cut_words(low, offs)
+    size = ends - starts
+    out = np.full(int(size.sum()) + len(size), 32, np.uint8)
+    first = np.cumsum(size + 1) - size
+    out[runs_of(first, size)] = low[runs_of(starts, size)]
+    return out, np.concatenate([[0], np.cumsum(np.bincount(rows, weights=size + 1, minlength=len(offs) - 1).astype(np.int64))])
 
 
-def id_stream(encoder: ByteEncoder, back: np.ndarray, first: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all rows with their ends, and the rows' offsets."""
-    each = length[back]
-    ids = encoder.cache.ids[runs_of(at[back], each)]
-    total = np.concatenate([[0], np.cumsum(each)])[first]
-    out = np.insert(ids, total[1:], np.int32(END))
-    return out, total + np.arange(len(total))
+def id_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of whole rows of about SLICE_IDS ids: (first row, end row, ids, offsets from 0)."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if len(column) == 0:
+        return
+    offs, data = parts_of(column)
+    offs, ids, a = offs // 2, data.view("<u2"), 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(offs, offs[a] + SLICE_IDS, "right")) - 1)
+        yield a, b, ids[offs[a] : offs[b]].astype(np.int64), offs[a : b + 1] - offs[a]
+        a = b
+
+
+def word_hashes(ids: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the words in the ids of rows, and their hashes."""
+    starts = np.flatnonzero(begins[ids])
+    if len(starts) == 0:
+        return starts, np.zeros(0, np.uint64)
+    return starts, K.span_hash(K.prefix_sums(_ID[ids]), starts, np.append(starts[1:], len(ids)))
+
+
+def with_ends(ids: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all rows with an end after each, and the rows' offsets."""
+    return np.insert(ids, offs[1:], END), offs + np.arange(len(offs))
 
 
 class Classes:
@@ -190,7 +220,7 @@ def inputs(classes: Classes, ids: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return before
 
 
-def stream_scores(w: dict[str, np.ndarray], classes: Classes, ids: np.ndarray, offs: np.ndarray, at_once: int = 512) -> tuple[np.ndarray, np.ndarray]:
+def stream_scores(w: dict[str, np.ndarray], classes: Classes, ids: np.ndarray, offs: np.ndarray, at_once: int = 128) -> tuple[np.ndarray, np.ndarray]:
     """log10 probability of each id, and of a word's beginning at its place."""
     place, scored, _ = windows(offs)
     before, of = inputs(classes, ids, offs), classes.of[ids]
@@ -204,20 +234,20 @@ def stream_scores(w: dict[str, np.ndarray], classes: Classes, ids: np.ndarray, o
     return score + classes.share[ids], begin
 
 
-WEIGHTS = (0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95)  # shares of the network in a word's probability to choose from
+WEIGHTS = (0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99)  # shares of the network in a word's probability to choose from
 
 
-def word_parts(score: np.ndarray, begin: np.ndarray, starts: np.ndarray, is_end: np.ndarray, counts: np.ndarray, total: int, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Probabilities of each word, an end being one: by its add-one count, by that without one training token of it, and by the network.
+def word_parts(score: np.ndarray, begin: np.ndarray, starts: np.ndarray, is_end: np.ndarray, counts: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Probabilities of each word, an end being one: by its count, by that without one training token of it, and by the network.
 
     The network's probability of a word is that of its ids given that a word begins there, times that of another
     beginning after it (after an end nothing is asked). ``starts`` are the words' places in the id stream; the counts are
-    of ``total`` tokens of ``kinds`` kinds.
+    of ``total`` tokens.
     """
     sums = np.concatenate([[0.0], np.cumsum(score)])
     after = np.append(starts[1:], len(score))
     spelt = sums[after] - sums[starts] - begin[starts] + np.where(is_end, 0.0, np.append(begin, 0.0)[after])
-    return (counts + 1) / (total + kinds + 1), np.maximum(counts, 1) / max(total + kinds, 1), 10.0**spelt
+    return counts / max(total, 1), np.maximum(counts - 1, 0) / max(total - 1, 1), 10.0 ** np.maximum(spelt, -300.0)
 
 
 def mixed_log10(counted: np.ndarray, spelt: np.ndarray, heads: np.ndarray) -> np.ndarray:
@@ -229,27 +259,39 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2
 
 
-def _in_blocks(texts: DataFrame) -> DataFrame:
-    """Adds ``block``, a range of doc_ids of about BLOCK_BYTES of text, and ``train``."""
-    spark = texts.sparkSession
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BLOCK_BYTES + 1)
-    bounds = sorted(set(texts.approxQuantile("doc_id", [i / blocks for i in range(1, blocks)], 0.2 / blocks))) if blocks > 1 else []
+def encoded(texts: DataFrame, path: str | None) -> DataFrame:
+    """doc_id, train, size (bytes of text), ids (16-bit subword ids of the words, without the end)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = ByteEncoder.of(path or common.tokenizer_path("byte_bpe_50k.json"), plain=True)
+        for batch in batches:
+            for a, b, buf, offs in K.text_slices(batch.column("text"), SLICE_BYTES):
+                ids, counts = encoder.encode(*spaced_words(buf, offs))
+                ends = np.concatenate([[0], np.cumsum(2 * counts)]).astype(np.int32)
+                column = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u2"))])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("train").slice(a, b - a), pa.array(np.diff(offs)), column], names=["doc_id", "train", "size", "ids"])
+
+    return texts.select("doc_id", "text", (~held_out(F.col("doc_id"))).alias("train")).mapInArrow(run, "doc_id long, train boolean, size long, ids binary")
+
+
+def _in_blocks(found: DataFrame, size: int) -> DataFrame:
+    """Adds ``block``, a range of doc_ids of about BLOCK_BYTES of text."""
+    blocks = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BLOCK_BYTES + 1)
+    bounds = sorted(set(found.approxQuantile("doc_id", [i / blocks for i in range(1, blocks)], 0.2 / blocks))) if blocks > 1 else []
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             block = np.searchsorted(np.array(bounds), batch.column(0).to_numpy(), "right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block)], names=["doc_id", "text", "train", "block"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block)], names=["doc_id", "train", "ids", "block"])
 
-    return texts.select("doc_id", "text", (~held_out(F.col("doc_id"))).alias("train")).mapInArrow(place, "doc_id long, text string, train boolean, block int")
+    return found.select("doc_id", "train", "ids").mapInArrow(place, "doc_id long, train boolean, ids binary, block int")
 
 
-def _vocabulary(texts: DataFrame, path: str | None) -> DataFrame:
+def _vocabulary(blocked: DataFrame, begins: np.ndarray) -> DataFrame:
     """(block, hash, n): the distinct words of each block with their training count there; block -1 counts subword ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ByteEncoder.of(path or common.tokenizer_path("byte_bpe_50k.json"))
-        ids, held, size = np.zeros(VOCABULARY, np.int64), {}, 0
+        seen, held, size = np.zeros(VOCABULARY, np.int64), {}, 0
 
         def out(keep: dict) -> Iterator[pa.RecordBatch]:
             for block, parts in keep.items():
@@ -259,80 +301,67 @@ def _vocabulary(texts: DataFrame, path: str | None) -> DataFrame:
 
         for batch in batches:
             train, block = batch.column("train").to_numpy(zero_copy_only=False), batch.column("block").to_numpy()
-            for a, b, buf, offs in K.text_slices(batch.column("text")):
-                uniq, back, first, at, length = word_ids(encoder, buf, offs)
-                words = np.diff(first)
+            for a, b, ids, offs in id_slices(batch.column("ids")):
+                starts, hashes = word_hashes(ids, begins)
+                row = np.searchsorted(offs, starts, "right") - 1
+                seen += np.bincount(ids[np.repeat(train[a:b], np.diff(offs))], minlength=VOCABULARY)
+                learn, of = train[a:b][row], block[a:b][row]
                 for one in np.unique(block[a:b]).tolist():
-                    mine = np.repeat(block[a:b] == one, words)
-                    learn = np.repeat(train[a:b] & (block[a:b] == one), words)
-                    n = np.bincount(back[learn], minlength=len(uniq))
-                    there = np.bincount(back[mine], minlength=len(uniq)) > 0
-                    held.setdefault(one, []).append((uniq[there], n[there]))
-                    size += int(there.sum())
-                    seen = np.repeat(n, length)
-                    ids += np.bincount(encoder.cache.ids[runs_of(at, length)], weights=seen, minlength=VOCABULARY).astype(np.int64)
+                    uniq, back = np.unique(hashes[of == one], return_inverse=True)
+                    held.setdefault(one, []).append((uniq, np.bincount(back, weights=learn[of == one], minlength=len(uniq)).astype(np.int64)))
+                    size += len(uniq)
                 if size > 1_000_000:
                     yield from out(held)
                     held, size = {}, 0
         yield from out(held)
-        some = np.flatnonzero(ids)
-        yield _rows(-1, some, ids[some])
+        some = np.flatnonzero(seen)
+        yield _rows(-1, some, seen[some])
 
-    return texts.mapInArrow(run, "block int, hash long, n long")
+    return blocked.select("ids", "train", "block").mapInArrow(run, "block int, hash long, n long")
 
 
 def _rows(block: int, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), block, np.int32)), pa.array(h), pa.array(n)], names=["block", "hash", "n"])
 
 
-def _training_windows(texts: DataFrame, path: str | None) -> DataFrame:
-    """Id lists of all training documents, ends included."""
+def _unit_steps(now: dict[str, np.ndarray], classes: Classes, turn: int):
+    """Local steps over one unit's documents in order of doc_id, and of their ids where it repeats."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ByteEncoder.of(path or common.tokenizer_path("byte_bpe_50k.json"))
-        for batch in batches:
-            for _, _, buf, offs in K.text_slices(batch.column("text")):
-                _, back, first, at, length = word_ids(encoder, buf, offs)
-                ids, ends = id_stream(encoder, back, first, at, length)
-                yield pa.RecordBatch.from_arrays([K.row_lists(ids, np.diff(ends), pa.int32())], names=["ids"])
+    def run(key, table):
+        again = np.array([zlib.crc32(x) for x in table["ids"].to_pylist()], np.int64)
+        table = table.take(pa.array(np.lexsort((again, table["doc_id"].to_numpy()))))
+        w, seen = now, 0
+        for _, _, ids, offs in id_slices(table["ids"]):
+            ids, offs = with_ends(ids, offs)
+            place, _, row = windows(offs)
+            valid = place < offs[row + 1][:, None]
+            place = np.minimum(place, len(ids) - 1)
+            w = local_steps(w, inputs(classes, ids, offs)[place], classes.of[ids][place], valid, turn, 0.02 / (1 + turn))
+            seen += int(valid.sum())
+        whole = np.rint(flat(w).astype(np.float64) * SCALE).astype(np.int64)
+        return pa.table([pa.array(np.arange(len(whole), dtype=np.int32)), pa.array(whole), pa.array(np.full(len(whole), seen))], names=["i", "v", "n"])
 
-    return texts.where("train").select("text").mapInArrow(run, "ids array<int>")
+    return run
 
 
-def _trained(lists: DataFrame, classes: Classes) -> dict[str, np.ndarray]:
-    """Rounds of local training in the tasks that hold the windows, averaged by an aggregation over weight numbers."""
+def _trained(lists: DataFrame, classes: Classes, units: int) -> dict[str, np.ndarray]:
+    """Weights after ROUNDS rounds of local steps; ``lists`` has doc_id and ids of all training documents."""
     weights = start_weights(classes.prior)
+    unit = F.pmod(F.xxhash64("doc_id"), F.lit(units)).cast("int")
     for turn in range(ROUNDS):
-        now = weights
-
-        def run(batches: Iterator[pa.RecordBatch], now=now, turn=turn) -> Iterator[pa.RecordBatch]:
-            w, seen = now, 0
-            for batch in batches:
-                column = batch.column("ids")
-                every = column.offsets.to_numpy().astype(np.int64)
-                cuts = np.unique(np.append(np.searchsorted(every, np.arange(every[0], every[-1], SLICE_IDS)), len(every) - 1))
-                for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    ids, offs = column.values.to_numpy()[every[s] : every[e]], every[s : e + 1] - every[s]
-                    place, _, row = windows(offs)
-                    valid = place < offs[row + 1][:, None]
-                    place = np.minimum(place, len(ids) - 1)
-                    w = local_steps(w, inputs(classes, ids, offs)[place], classes.of[ids][place], valid, turn, 0.02 / (1 + turn))
-                    seen += int(valid.sum())
-            if seen:
-                values = flat(w)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values.astype(np.float64) * seen), pa.array(np.full(len(values), float(seen)))], names=["i", "v", "n"])
-
-        mean = lists.mapInArrow(run, "i int, v double, n double").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v"))
-        found = mean.toPandas()  # one row per weight
-        if len(found):
-            weights = unflat(found.sort_values("i")["v"].to_numpy())
+        part = lists.withColumn("unit", unit).where(F.col("unit") % ROUNDS == turn).select("unit", "doc_id", "ids")
+        each = part.groupBy("unit").applyInArrow(_unit_steps(weights, classes, turn), "i int, v long, n long")
+        mean = each.groupBy("i").agg(F.sum((F.col("v").cast("decimal(20,0)") * F.col("n").cast("decimal(18,0)")).cast("decimal(38,0)")).alias("v"), F.sum("n").alias("n"))
+        found = sorted(mean.collect())  # one row per weight
+        if found:
+            weights = unflat(np.array([int(r["v"]) / int(r["n"]) for r in found]) / SCALE)
     return weights
 
 
 def _best_weight(found: DataFrame) -> int:
-    """Place in WEIGHTS under which the training documents are most probable; 0 without any."""
+    """Place in WEIGHTS under which the training documents are most probable; the last one without any."""
     fits = found.where("train").agg(*[F.sum(F.col("fit")[i]).alias(f"f{i}") for i in range(len(WEIGHTS))]).first()
-    return 0 if fits[0] is None else int(np.argmax(fits))
+    return len(WEIGHTS) - 1 if fits[0] is None else int(np.argmax(np.round(fits, 3)))
 
 
 def score(docs: DataFrame, tokenizer_file: str | None = None) -> DataFrame:
@@ -340,49 +369,54 @@ def score(docs: DataFrame, tokenizer_file: str | None = None) -> DataFrame:
 
     ``base_score`` is the add-one unigram log10 probability of the words and the end, ``score`` the model's log10
     probability of the same text. Documents with crc32(doc_id as text) mod 7 = 2 are held out of all learning. A null
-    or empty text has the end as its only token. Without training documents all counts are zero and the model keeps its
-    start weights and the least of WEIGHTS. Rows without doc_id are left out; repeated rows are each counted and scored; an empty table gives an
-    empty result; other columns are ignored.
+    or empty text has the end as its only token; a very long text is scored whole, in windows. Without training documents all counts
+    are zero and the model keeps its start weights and the last of WEIGHTS. Rows without doc_id are left out; repeated rows are
+    each counted and scored; an empty table gives an empty result; other columns are ignored.
     """
-    texts = common.id_text(docs)
-    blocked = _in_blocks(texts)
+    path = tokenizer_file
+    found = common.staged(encoded(common.id_text(docs), path), "lm-ids")
+    total = found.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.coalesce(F.sum(F.when(F.col("train"), F.col("size"))), F.lit(0)).alias("train"), F.count_if("train").alias("docs")).first()
+    n_docs = total["docs"]
+    begins = _begins(path)
+    blocked = _in_blocks(found, total["size"])
     by_word = Window.partitionBy(F.col("block") < 0, "hash")
-    kinds = _vocabulary(blocked, tokenizer_file)
+    kinds = _vocabulary(blocked, begins > 0)
     vocabulary = common.staged(kinds.withColumn("c", F.sum("n").over(by_word)).withColumn("turn", F.row_number().over(by_word.orderBy("block"))), "vocabulary")
     ids = vocabulary.where("block < 0").select("hash", "c").distinct().toPandas()  # at most one row per id of the vocabulary
-    n_docs = texts.where(~held_out(F.col("doc_id"))).count()
     sums = vocabulary.where("block >= 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.count_if((F.col("turn") == 1) & (F.col("c") > 0)), F.lit(0)).alias("v")).first()
     n_tokens, n_words = sums["n"] + n_docs, sums["v"] + (n_docs > 0)
     counts = np.zeros(VOCABULARY + 1, np.int64)
     counts[ids["hash"].to_numpy()] = ids["c"].to_numpy()
     counts[END] = n_docs
-    path = tokenizer_file
-    classes = Classes(counts, _begins(path))
-    weights = _trained(common.staged(_training_windows(blocked, path), "lm-windows"), classes)
+    classes = Classes(counts, begins)
+    weights = _trained(found.where("train").select("doc_id", "ids"), classes, ROUNDS * (total["train"] // (ROUNDS * UNIT_BYTES) + 1))
     per_token = float(np.log10(n_tokens + n_words + 1))
+    heads_word = begins > 0
+    heads_word[END] = True
+
+    def slice_scores(ids: np.ndarray, offs: np.ndarray, known: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+        _, hashes = word_hashes(ids, heads_word[:END])
+        c = np.zeros(len(hashes), np.int64)
+        if len(known):
+            near = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            c = np.where(known[near] == hashes, count[near], 0)
+        ids, offs = with_ends(ids, offs)
+        starts = np.flatnonzero(heads_word[ids])
+        is_end = ids[starts] == END
+        every = np.full(len(starts), n_docs, np.int64)
+        every[~is_end] = c
+        heads = np.searchsorted(starts, offs[:-1])
+        words = np.diff(np.append(heads, len(starts)))
+        score, begin = stream_scores(weights, classes, ids, offs)
+        counted, without, spelt = word_parts(score, begin, starts, is_end, every, n_tokens)
+        base = np.add.reduceat(np.log10(every + 1.0), heads) - words * per_token
+        return words, np.add.reduceat((every > 0).astype(np.int64), heads), base, mixed_log10(counted, spelt, heads), mixed_log10(without, spelt, heads)
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        encoder = ByteEncoder.of(path or common.tokenizer_path("byte_bpe_50k.json"))
         known = right["hash"].to_numpy().view(np.uint64)
         order = np.argsort(known)
         known, count = known[order], right["c"].to_numpy()[order]
-        out = []
-        for _, _, buf, offs in K.text_slices(left["text"]):
-            uniq, back, first, at, length = word_ids(encoder, buf, offs)
-            c = np.zeros(len(uniq), np.int64)
-            if len(known):
-                near = np.minimum(np.searchsorted(known, uniq), len(known) - 1)
-                c = np.where(known[near] == uniq, count[near], 0)
-            total = np.concatenate([[0], np.cumsum(np.log10(c + 1.0)[back])])[first]
-            seen = np.concatenate([[0], np.cumsum((c > 0)[back])])[first]
-            words = np.diff(first) + 1
-            ids, ends = id_stream(encoder, back, first, at, length)
-            score, begin = stream_scores(weights, classes, ids, ends)
-            lengths = np.insert(length[back], first[1:], 1)
-            is_end = np.insert(np.zeros(len(back), bool), first[1:], True)
-            counted, without, spelt = word_parts(score, begin, np.cumsum(lengths) - lengths, is_end, np.insert(c[back], first[1:], n_docs), n_tokens, n_words)
-            heads = np.cumsum(words) - words
-            out.append((words, np.diff(seen) + (n_docs > 0), np.diff(total) + np.log10(n_docs + 1.0) - words * per_token, mixed_log10(counted, spelt, heads), mixed_log10(without, spelt, heads)))
+        out = [slice_scores(ids, offs, known, count) for _, _, ids, offs in id_slices(left["ids"])]
         columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)] + [np.zeros((0, len(WEIGHTS)))] * 2
         kinds = [pa.int64(), pa.int64(), pa.float64()]
         plain = [pa.array(x, t) for x, t in zip(columns[:3], kinds, strict=True)]
@@ -390,11 +424,11 @@ def score(docs: DataFrame, tokenizer_file: str | None = None) -> DataFrame:
         return pa.table([left["doc_id"], left["train"], *plain, *each], names=["doc_id", "train", "n_tokens", "n_known", "base_score", "scores", "fit"])
 
     words = vocabulary.where("block >= 0").select("block", "hash", "c")
-    found = blocked.select("block", "doc_id", "text", "train").groupBy("block").cogroup(words.groupBy("block")).applyInArrow(run, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, scores array<double>, fit array<double>")
-    found = common.staged(found, "lm-scores")
-    at = _best_weight(found)
-    found = found.withColumn("score", F.col("scores")[at])
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    scored = blocked.select("block", "doc_id", "ids", "train").groupBy("block").cogroup(words.groupBy("block")).applyInArrow(run, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, scores array<double>, fit array<double>")
+    scored = common.staged(scored, "lm-scores")
+    at = _best_weight(scored)
+    scored = scored.withColumn("score", F.col("scores")[at])
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def _begins(path: str | None) -> np.ndarray:
