@@ -127,12 +127,17 @@ def _edits(a, b):
     return row[-1]
 
 
-def _lines_kept(texts, threshold=2, least=40):
+def _allowed(a, b):
+    n = min(len(a), len(b))
+    return 0 if n < 15 else 1 if n < 40 else 2
+
+
+def _lines_kept(texts):
     earlier, out = [], {}
     for i, text in sorted(texts.items()):
         kept = []
         for line in (text or "").split("\n"):
-            near = any(line == e or (min(len(line), len(e)) >= least and abs(len(line) - len(e)) <= threshold and _edits(line, e) <= threshold) for e in earlier)
+            near = any(line == e or (abs(len(line) - len(e)) <= _allowed(line, e) and _edits(line, e) <= _allowed(line, e)) for e in earlier)
             if not line.strip(" ") or not near:
                 kept.append(line)
             if line.strip(" "):
@@ -158,6 +163,41 @@ def test_line_dedup_finds_every_edit_position(spark):
     assert found[1] == "" and found[len(texts) - 1] != ""
 
 
+def test_line_dedup_of_short_lines_and_of_a_shared_phrase(spark):
+    """Copies one edit apart at 13 to 41 characters, and many lines with the same first half that are no copies."""
+    import random
+
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    texts, shared = {}, word(30)
+    for i, n in enumerate(range(13, 44)):
+        one = word(n)
+        p = rng.randrange(n)
+        texts[3 * i], texts[3 * i + 1], texts[3 * i + 2] = one, one[:p] + "#" + one[p + rng.randint(0, 1) :], one[:p] + one[p + 1 :] + "?"
+    for i in range(200, 320):
+        texts[i] = shared + word(30)
+        if i % 10 == 0:
+            texts[i + 1000] = texts[i - i % 20][:40] + "!" + texts[i - i % 20][41:]
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {i: r["kept_text"] for i, r in by(line_dedup.dedup_lines(rows)).items()}
+    assert found == _lines_kept(texts) and sum(t == "" for t in found.values()) > 40
+
+
+def test_bit_parallel_edit_distance(spark):
+    import random
+
+    rng, rows = random.Random(2), []
+    for _ in range(1500):
+        a = "".join(rng.choice("ab日é😀"[: rng.randint(2, 5)]) for _ in range(rng.randint(0, 14)))
+        b = list(a)
+        for _ in range(rng.randint(0, 4)):
+            p = rng.randint(0, len(b))
+            b[p : p + rng.randint(0, 1)] = rng.choice(["", "a", "c", "😀"])
+        rows.append((a, "".join(b)))
+    found = line_dedup.edit_distance(spark.createDataFrame(rows, "x string, y string"), "x", "y").collect()
+    assert all(min(r["distance"], 3) == min(_edits(r["x"], r["y"]), 3) for r in found)
+
+
 def test_search_against_exhaustive_scores(spark, docs, no_docs):
     tf = {i: Counter(words(t)) for i, t in BY_ID.items()}
     df = Counter(w for c in tf.values() for w in c)

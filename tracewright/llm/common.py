@@ -31,6 +31,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Write ``df`` once as a table in buckets of ``key``: later joins on it move the other side only."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"tracewright_{name}_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).option("compression", "zstd").option("path", new_path(spark, name)).saveAsTable(table)
+    return spark.table(table)
+
+
 def drop_staged(*frames: DataFrame) -> None:
     """Delete the folders of stages that nothing reads any more."""
     for df in frames:

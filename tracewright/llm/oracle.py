@@ -37,9 +37,10 @@ with t as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from d
 e as (select doc_id, unnest(range(len(ls))) as line_no, unnest(ls) as line from t),
 o as (select * from e where trim(line, ' ') <> ''),
 f as (select line, min((doc_id, line_no)) as first from o group by line),
-m as (select line, first, length(line) as n, left(line, 10) as a, right(line, 10) as z, substr(line, length(line) // 2 - 4, 10) as c from f where length(line) >= 40),
-near as (select distinct y.line from m x join m y on x.first < y.first and abs(x.n - y.n) <= 2
-  and (x.a = y.a or x.z = y.z or contains(y.line, x.c)) and levenshtein(x.line, y.line) <= 2),
+m as (select line, first, length(line) as n, left(line, 7) as a, right(line, 7) as z, left(line, 10) as aa, right(line, 10) as zz, substr(line, length(line) // 2 - 4, 10) as c from f where length(line) >= 15),
+near as (select distinct y.line from m x join m y on x.first < y.first and abs(x.n - y.n) <= 2 and x.n >= 40 and y.n >= 40
+  and (x.aa = y.aa or x.zz = y.zz or contains(y.line, x.c)) and levenshtein(x.line, y.line) <= 2
+  union select distinct y.line from m x join m y on x.first < y.first and abs(x.n - y.n) <= 1 and least(x.n, y.n) < 40 and (x.a = y.a or x.z = y.z) and levenshtein(x.line, y.line) <= 1),
 gone as (select o.doc_id, o.line_no from o join f on f.line = o.line where (o.doc_id, o.line_no) <> f.first or o.line in (select line from near)),
 k as (select e.doc_id, string_agg(e.line, chr(10) order by e.line_no) as kept from e anti join gone on gone.doc_id = e.doc_id and gone.line_no = e.line_no group by e.doc_id),
 g as (select doc_id, count(*) as n from gone group by doc_id)
