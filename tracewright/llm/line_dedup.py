@@ -10,8 +10,8 @@ multi-match-aware rule allows for each length and segment.
 Keys are counted before anything is expanded: only a key that two different places have, one of them as owner of a segment,
 goes on. A line needs one witness only, so it is first compared with the earliest line of each of its keys. Lines that these do not
 settle get finer keys, a half of another segment besides the shared one (three halves for two edits, so one of them is whole
-as well), which split what a frequent phrase has brought together; then come their earliest lines, and at last all
-earlier lines of the finer keys.
+as well), which split what a frequent phrase has brought together; then come their earliest lines, and at last those
+earlier lines of the finer keys whose counts of some letters are near enough for the edits allowed, which loses no near line.
 
 Candidates lose their common beginning and end, and what is left is verified by the banded bit-parallel
 edit distance (Hyyrö, 2003), five diagonals in one integer, one step per character.
@@ -112,6 +112,13 @@ def _with_lines(places: DataFrame, texts: DataFrame) -> DataFrame:
     return _lines(texts.join(wanted, "doc_id"), "wanted").where(F.array_contains("wanted", F.col("line_no"))).select(*PLACE, "line").distinct()
 
 
+LETTERS = "aehilnorstud"  # any letters do: one edit changes the counts of at most two of them by one
+
+
+def _bag(line: str) -> Column:
+    return F.struct(*[(F.char_length(line) - F.char_length(F.translate(line, c, ""))).alias(c) for c in LETTERS])
+
+
 _STEPS = [1 << s for s in range(20, -1, -1)]
 
 
@@ -205,15 +212,18 @@ def dedup_lines(docs: DataFrame, one_edit: int = 15, two_edits: int = 40) -> Dat
     places = lambda near: near.select("t.*")
     held = common.staged(shared.join(places(settled), PLACE, "left_anti").select("key").distinct(), "line-open-keys")
     several = shared.join(held, "key", "left_semi").select("key", *PLACE, "probe")
-    lines = _wide(_with_lines(several.select(*PLACE).distinct(), texts))
-    finer = _shared(_finer_keys(several.join(lines, PLACE)), F.col("own"), "line-finer-keys")
+    lines = common.staged(_with_lines(several.select(*PLACE).distinct(), texts), "line-open")
+    finer = _shared(_finer_keys(several.join(_wide(lines), PLACE)), F.col("own"), "line-finer-keys")
     second = _earliest(finer).join(first, ["t", "u"], "left_anti").where(F.col("t").isNotNull())
     second = common.staged(second.join(settled, "t", "left_anti"), "line-second")
     settled = settled.union(_close(second, texts, edits, "line-finer"))
 
     place = F.struct(*PLACE)
-    waiting = finer.join(places(settled), PLACE, "left_anti").select("key", F.col("own").alias("own_t"), place.alias("t"))
-    rest = waiting.join(finer.select("key", F.col("own").alias("own_u"), place.alias("u")), "key").where("u < t and (own_t or own_u)").select("t", "u").distinct()
+    finer = finer.join(lines.select(*PLACE, _bag("line").alias("bag")), PLACE)
+    waiting = finer.join(places(settled), PLACE, "left_anti").select("key", F.col("own").alias("own_t"), place.alias("t"), F.col("bag").alias("bag_t"))
+    earlier = finer.select(F.col("key").alias("key_u"), F.col("own").alias("own_u"), place.alias("u"), F.col("bag").alias("bag_u"))
+    apart = sum(F.abs(F.col(f"bag_t.{c}") - F.col(f"bag_u.{c}")) for c in LETTERS)
+    rest = waiting.join(earlier, (F.col("key") == F.col("key_u")) & (F.col("u") < F.col("t")) & (F.col("own_t") | F.col("own_u")) & (apart <= 2 * MOST)).select("t", "u").distinct()
     settled = settled.union(_close(rest.join(first.union(second), ["t", "u"], "left_anti"), texts, edits, "line-rest"))
 
     gone = repeats.select("doc_id", F.explode("again").alias("line_no")).union(places(settled))
