@@ -52,7 +52,6 @@ def test_methods_and_states():
 def test_returns_and_validity():
     assert sorted(r["status"] for r in S.return_shapes(SOURCE)) == ["FAIL", "PASS", "WARN"]
     assert S.parses(SOURCE) and not S.parses("def (") and not S.has_function(SOURCE) and S.has_function("def f(): pass")
-    assert S.class_name(SOURCE) == "Shop"
 
 
 def test_schemas():

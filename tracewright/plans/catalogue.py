@@ -389,3 +389,6 @@ def q35_positional_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     configs = trajectory.number_steps(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_name"), ["s_nationkey"], ["s_suppkey"], "i")
     paired = tasks.where("i <= 3").withColumn("s_nationkey", (F.col("l_suppkey") % 25).cast("int")).join(configs, ["s_nationkey", "i"])
     return paired.select("l_suppkey", "l_orderkey", F.col("i").cast("long").alias("i"), "s_name")
+
+
+from tracewright.plans import curation as _curation  # noqa: E402, F401  registers its queries here
