@@ -217,7 +217,7 @@ def test_search_against_exhaustive_scores(spark, docs, no_docs):
                     total.setdefault(i, []).append(score(w, i))
         best = sorted(((-round(math.fsum(v) * 1e6), i) for i, v in total.items()))[:3]
         expected |= {(q, r, i, -s) for r, (s, i) in enumerate(best, 1)}
-    assert {tuple(r) for r in search.more_like_this(docs, k=3, min_df=2).select("query_id", "rank", "doc_id", "score_micro").collect()} == expected
+    assert {tuple(r) for r in search.more_like_this(docs, k=3, terms=25, min_df=2).select("query_id", "rank", "doc_id", "score_micro").collect()} == expected
     assert search.more_like_this(no_docs).count() == 0
 
 
@@ -233,26 +233,31 @@ def test_search_with_all_words_against_exhaustive_scores(spark):
         best = sorted((-round(s * 1e6), i) for i, s in total.items())[:10]
         expected |= {(q, r, i, -s) for r, (s, i) in enumerate(best, 1)}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    found = {tuple(r) for r in search.more_like_this(docs, terms=None, min_df=1).select("query_id", "rank", "doc_id", "score_micro").collect()}
+    found = {tuple(r) for r in search.more_like_this(docs).select("query_id", "rank", "doc_id", "score_micro").collect()}
     assert found == expected
     assert {r[2] for r in found if r[0] == 100} == {100, 101} and max(len(c) for c in tf.values()) > 25
 
 
-def test_block_max_wand_is_exact_and_prunes():
+def test_block_max_pruning_is_exact():
     import random
 
     import numpy as np
 
     random.seed(3)
     for _ in range(60):
-        lists = [search.Posting(d := np.array(sorted(random.sample(range(900), random.randint(1, 400)))), np.array([random.choice([0.5, 1.0, 2.5]) * random.random() for _ in d])) for _ in range(random.randint(1, 5))]
+        n, m = random.randint(1, 400), random.randint(1, 6)
+        lists = [sorted(random.sample(range(n), random.randint(1, n))) for _ in range(m)]
+        row = np.array([r for x in lists for r in x], np.int32)
+        score = np.array([random.choice([0.5, 1.0, 2.5]) * random.choice([random.random(), 1.0]) for _ in row])
+        ids = np.array(random.sample(range(10_000), n))
+        weight = np.array([random.choice([0.1, 1.0, 3.0]) for _ in range(m)])
+        index = search.ShardIndex(ids, np.arange(m).astype(np.uint64), np.cumsum([0, *map(len, lists)]), row, score)
         total = {}
-        for p in lists:
-            for d, s in zip(p.docs, p.scores, strict=True):
-                total.setdefault(d, []).append(s)
+        for t, r, s in zip(np.repeat(np.arange(m), [len(x) for x in lists]), row, score, strict=True):
+            total.setdefault(int(ids[r]), []).append(s * weight[t])
         k = random.choice([1, 3, 10])
-        expected = sorted(((round(math.fsum(v) * 1e6), -d) for d, v in total.items()), reverse=True)[:k]
-        assert sorted(((s, -d) for s, d in search.top_k(lists, k)), reverse=True) == expected
+        expected = sorted((-round(math.fsum(v) * 1e6), d) for d, v in total.items())[:k]
+        assert [(-s, d) for s, d in index.top(np.arange(m), weight, k)] == expected
 
 
 def test_quality_learns_and_calibrates(spark):

@@ -55,8 +55,8 @@ dl as (select doc_id, sum(tf) as words from tf group by doc_id),
 st as (select (select count(*) from documents where doc_id is not null) as n, (select sum(words) from dl) / (select count(*) from documents where doc_id is not null) as mean),
 df as (select term, count(*) as df from tf group by term),
 w as (select tf.doc_id, tf.term, df.df, ln(1 + (n - df.df + 0.5) / (df.df + 0.5)) as idf, tf.tf * 2.2 / (tf.tf + 1.2 * (0.25 + 0.75 * dl.words / mean)) as sat
-  from tf join df on df.term = tf.term join dl on dl.doc_id = tf.doc_id cross join st where df.df >= 5),
-q as (select doc_id as query_id, term from (select *, rank() over (partition by doc_id order by round(idf * sat, 6) desc) as turn from w where doc_id % 20 = 0) where turn <= 25),
+  from tf join df on df.term = tf.term join dl on dl.doc_id = tf.doc_id cross join st),
+q as (select doc_id as query_id, term from tf where doc_id % 20 = 0),
 s as (select query_id, w.doc_id, cast(round(sum(idf * sat) * 1e6) as bigint) as score_micro from q join w on w.term = q.term group by all)
 select query_id, cast(rank as bigint) as rank, doc_id, score_micro from (select *, row_number() over (partition by query_id order by score_micro desc, doc_id) as rank from s) where rank <= 10
 """

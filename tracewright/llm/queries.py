@@ -40,10 +40,6 @@ def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.more_like_this(common.documents(spark, sf_dir))
 
 
-def op5_whole_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.more_like_this(common.documents(spark, sf_dir), terms=None, min_df=1)
-
-
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     lines = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n")))
@@ -68,7 +64,6 @@ QUERIES = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_line_dedup": op4_line_dedup,
     "op5_topk_search": op5_topk_search,
-    "op5_whole_text_search": op5_whole_text_search,
     "op6_quality": op6_quality,
     "op7_html_extraction": op7_html_extraction,
     "op8_token_output": op8_token_output,
