@@ -364,6 +364,32 @@ def test_context_lowers_held_out_loss(spark, monkeypatch):
     assert with_context < without and with_context < 0.6 * counts_only
 
 
+def test_scores_do_not_follow_the_partitioning(spark, docs):
+    one, other = by(language_model.score(docs)), by(language_model.score(docs.repartition(5)))
+    assert all(abs(one[i]["score"] - other[i]["score"]) < 1e-3 for i in one)
+
+
+def test_word_probabilities_add_up_to_at_most_one():
+    """Over all one-id words after a document's start, an end behind each: counts and spelling mixed at every weight."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    begins = language_model._begins(None)
+    counts = rng.integers(0, 5, language_model.VOCABULARY + 1)
+    classes = language_model.Classes(counts, begins)
+    w = language_model.start_weights(classes.prior)
+    w["U"] = rng.normal(0, 0.3, w["U"].shape).astype(np.float32)
+    first = np.flatnonzero(begins)
+    ids = np.concatenate([np.stack([first, np.full(len(first), language_model.END)], 1).ravel(), [language_model.END]])
+    offs = np.append(np.arange(0, 2 * len(first) + 1, 2), 2 * len(first) + 1)
+    score, begin = language_model.stream_scores(w, classes, ids, offs)
+    starts = np.arange(len(ids))
+    every = np.where(ids == language_model.END, counts[language_model.END], counts[ids])
+    counted, _, spelt = language_model.word_parts(score, begin, starts, ids == language_model.END, every, int(counts[first].sum() + counts[language_model.END]))
+    kept = np.append(np.arange(0, 2 * len(first), 2), len(ids) - 1)  # each word once, and the end at a document's start
+    assert spelt[kept].sum() <= 1 + 1e-3 and abs(counted[kept].sum() - 1) < 1e-9
+
+
 def test_every_place_has_its_context():
     import numpy as np
 

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
+    """Folder that all executors share: ``spark.checkpoint.dir``; a local session without one gets a temporary one (tests)."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         there = tempfile.mkdtemp(prefix="tracewright-shared-")
         spark.conf.set("spark.checkpoint.dir", there)
     return there
