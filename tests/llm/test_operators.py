@@ -453,6 +453,16 @@ def test_html_layout_at_any_depth():
             assert html_text.visible_text(page) == "a\n\n- b\n- c\n\nd  e\n\n" + tail
 
 
+def test_unclosed_tags_take_linear_time_and_breaks_make_blank_lines():
+    import time
+
+    began = time.time()
+    assert html_text.visible_text("x>" + "<a " * 100_000).startswith("x>")
+    assert html_text.visible_text("<p>a" + "<!-- " * 100_000) == "a"
+    assert time.time() - began < 20
+    assert html_text.visible_text("a<br>b<br><br>c<br><br><br>d") == "a\nb\n\nc\n\nd"
+
+
 def test_components_against_union_find(spark):
     import random
 

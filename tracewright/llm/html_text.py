@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>", re.S)
+_OPEN_COMMENT = re.compile(r"<!--.*\Z", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 # Fixed values of the HTML standard: void elements, raw text elements, implied ends, and default display.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -75,14 +76,18 @@ def parse(page: str) -> Node:
     """Tree of a page; text is held as strings among the children."""
     root = Node("html")
     stack, count, at, lower = [root], Counter(), 0, None
+    last = page.rfind(">")
     while True:
-        m = _TOKEN.search(page, at)
+        m = _TOKEN.search(page, at, last + 1) if at <= last else None  # behind the last end of a tag there is no further tag to look for
+        m = m or _OPEN_COMMENT.search(page, at)
         if m is None or m.start() > at:
             stack[-1].children.append(html.unescape(page[at : m.start() if m else len(page)]))
         if m is None:
             return root
         at = m.end()
-        if m[2] is None:
+        if m.re is _OPEN_COMMENT or m[2] is None:
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                at = len(page)  # a comment without an end takes the rest
             continue
         tag = m[2].lower()
         if m[1]:
@@ -168,6 +173,8 @@ def _element(node: Node, page: _Page, pre: bool) -> Iterator:
     if tag == "br":
         if "".join(page.now).strip():
             page.end_line()
+        elif not pre:  # a break on an empty line is a blank line; several are one
+            page.gap = True
     elif tag == "table":
         page.space()
         yield _table(node, page)
