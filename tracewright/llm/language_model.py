@@ -149,28 +149,54 @@ def attend(w: dict[str, np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, ...]
     return x + mixed @ w["O"], x, q, k, v[:, :, :DIM], a, total, mixed
 
 
+AT_ONCE = 384  # hidden states whose class probabilities are at work at once, so that they stay in a processor's cache
+
+
+def _exponentials(wide: np.ndarray, layer: np.ndarray, space: np.ndarray) -> np.ndarray:
+    """exp of the bounded logits of all classes, in ``space``; ``wide`` are hidden states with a last column of ones."""
+    z = np.matmul(wide, layer, out=space[: len(wide)])
+    np.minimum(z, _MOST, out=z)
+    return np.exp(z, out=z)
+
+
+def _widened(hidden: np.ndarray) -> np.ndarray:
+    wide = np.ones((len(hidden), DIM + 1), hidden.dtype)
+    wide[:, :DIM] = hidden
+    return wide
+
+
 def class_log10(w: dict[str, np.ndarray], hidden: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """log10 probability of class ``of``, and of any class that begins a word, at each hidden state [m, DIM]."""
-    z = hidden @ w["U"]
-    z += w["b"]
-    np.minimum(z, _MOST, out=z)
-    own = z[np.arange(len(z)), of]
-    np.exp(z, out=z)
-    sums = np.log(z @ np.stack([np.ones(CLASSES, np.float32), w["begins"]], 1) + np.float32(1e-30))
-    return (own - sums[:, 0]) / np.float32(np.log(10)), (sums[:, 1] - sums[:, 0]) / np.float32(np.log(10))
+    wide, layer = _widened(hidden), np.vstack([w["U"], w["b"]])
+    both = np.stack([np.ones(CLASSES, layer.dtype), w["begins"]], 1)
+    space, parts = np.empty((AT_ONCE, CLASSES), layer.dtype), np.empty((len(wide), 3), layer.dtype)
+    for s in range(0, len(wide), AT_ONCE):
+        z = _exponentials(wide[s : s + AT_ONCE], layer, space)
+        parts[s : s + AT_ONCE, :2] = z @ both
+        parts[s : s + AT_ONCE, 2] = z[np.arange(len(z)), of[s : s + AT_ONCE]]
+    total, begin, own = np.log10(parts + np.float32(1e-30)).T
+    return own - total, begin - total
 
 
 def gradients(w: dict[str, np.ndarray], rows: np.ndarray, of: np.ndarray, valid: np.ndarray) -> dict[str, np.ndarray]:
     """Gradient of the mean cross-entropy over the valid places of windows."""
-    h, x, q, k, v, a, total, mixed = attend(w, rows)
-    a = a / total
-    z = h @ w["U"] + w["b"]
-    z = np.exp(z - z.max(2, keepdims=True))
-    z /= z.sum(2, keepdims=True)
-    np.put_along_axis(z, of[:, :, None], np.take_along_axis(z, of[:, :, None], 2) - 1, 2)
-    z *= valid[:, :, None] / np.float32(max(1, valid.sum()))
-    g = {"U": h.reshape(-1, DIM).T @ z.reshape(-1, CLASSES), "b": z.sum((0, 1))}
-    dh = z @ w["U"].T
+    h, x, q, k, v, a, sums, mixed = attend(w, rows)
+    a = a / sums
+    wide, layer, goal = _widened(h[valid]), np.vstack([w["U"], w["b"]]), of[valid]
+    back = np.hstack([w["U"].T, np.ones((CLASSES, 1), layer.dtype)])  # the last column sums
+    space, outer, down = np.empty((AT_ONCE, CLASSES), layer.dtype), np.zeros_like(layer), np.empty((len(wide), DIM), layer.dtype)
+    for s in range(0, len(wide), AT_ONCE):
+        some, own = wide[s : s + AT_ONCE], goal[s : s + AT_ONCE]
+        z = _exponentials(some, layer, space)
+        both = z @ back
+        total = both[:, DIM:] + np.float32(1e-30)
+        down[s : s + AT_ONCE] = both[:, :DIM] / total - back[own, :DIM]
+        z[np.arange(len(z)), own] -= total[:, 0]
+        outer += (some / total).T @ z
+    share = np.float32(1 / max(1, len(wide)))
+    g = {"U": outer[:DIM] * share, "b": outer[DIM] * share}
+    dh = np.zeros_like(h)
+    dh[valid] = down * share
     g["O"] = mixed.reshape(-1, DIM).T @ dh.reshape(-1, DIM)
     dm = dh @ w["O"].T
     da = dm @ v.transpose(0, 2, 1)
@@ -333,11 +359,10 @@ def _unit_steps(now: dict[str, np.ndarray], classes: Classes, turn: int):
         w, seen = now, 0
         for _, _, ids, offs in id_slices(table["ids"]):
             ids, offs = with_ends(ids, offs)
-            place, _, row = windows(offs)
-            valid = place < offs[row + 1][:, None]
+            place, scored, _ = windows(offs)
             place = np.minimum(place, len(ids) - 1)
-            w = local_steps(w, inputs(classes, ids, offs)[place], classes.of[ids][place], valid, turn, 0.02 / (1 + turn))
-            seen += int(valid.sum())
+            w = local_steps(w, inputs(classes, ids, offs)[place], classes.of[ids][place], scored, turn, 0.02 / (1 + turn))
+            seen += len(ids)
         whole = np.rint(flat(w).astype(np.float64) * SCALE).astype(np.int64)
         return pa.table([pa.array(np.arange(len(whole), dtype=np.int32)), pa.array(whole), pa.array(np.full(len(whole), seen))], names=["i", "v", "n"])
 
