@@ -149,7 +149,7 @@ def attend(w: dict[str, np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, ...]
     return x + mixed @ w["O"], x, q, k, v[:, :, :DIM], a, total, mixed
 
 
-AT_ONCE = 384  # hidden states whose class probabilities are at work at once, so that they stay in a processor's cache
+AT_ONCE = 48  # hidden states whose class probabilities are at work at once: they stay in cache, and each product is too small for a second BLAS thread
 
 
 def _exponentials(wide: np.ndarray, layer: np.ndarray, space: np.ndarray) -> np.ndarray:
@@ -278,7 +278,7 @@ def word_parts(score: np.ndarray, begin: np.ndarray, starts: np.ndarray, is_end:
 
 def mixed_log10(counted: np.ndarray, spelt: np.ndarray, heads: np.ndarray) -> np.ndarray:
     """log10 probability of each row [rows, WEIGHTS] of words whose first ones stand at ``heads``."""
-    return np.stack([np.add.reduceat(np.log10((1 - x) * counted + x * spelt), heads) for x in WEIGHTS], 1)
+    return np.stack([np.add.reduceat(np.log((1 - x) * counted + x * spelt), heads) for x in WEIGHTS], 1) / np.log(10)
 
 
 def held_out(doc_id: Column) -> Column:
