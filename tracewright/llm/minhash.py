@@ -34,6 +34,7 @@ PER_BAND = 6
 MISSED = 1e-6
 BITS = 8192  # of the bitmap of a set
 CHUNK, PART = 64, 16  # members of a bucket in a chunk on average, chunks of a bucket in a part
+HOT_CLASSES, HOT_ROWS = 100_000, 1_000  # a class of copies is hot if it holds over one row in HOT_CLASSES and HOT_ROWS more
 MOST = 512  # registers that have a hash
 BASE, RATE, TOP = 1.02, 20.0, 32766  # spacing of the registers, rate of their exponentials, largest value
 _SALT = np.random.default_rng(7).integers(1, 1 << 62, MOST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -254,6 +255,20 @@ def _judged(blocks: DataFrame, percent: int) -> DataFrame:
     return blocks.mapInArrow(run, "a long, b long").distinct()
 
 
+def _by_class(rows: DataFrame, classes: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """``rows`` left joined to one row per class; the keys named in ``hot`` (HOT_CLASSES at most) meet their class where their rows
+    are, as one of them may hold a third of all rows, and null keys meet nothing."""
+    hot = hot.select(*keys)
+    some = rows.where(F.col(keys[0]).isNotNull())
+    there = some.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(classes.join(F.broadcast(hot), keys, "left_semi")), keys, "left")
+    others = some.join(F.broadcast(hot), keys, "left_anti").join(classes, keys, "left")
+    none = rows.where(F.col(keys[0]).isNull())
+    for c in classes.columns:
+        if c not in keys:
+            none = none.withColumn(c, F.lit(None).cast(classes.schema[c].dataType))
+    return there.unionByName(others).unionByName(none)
+
+
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id).
 
@@ -265,8 +280,12 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
     """
     drawn = common.staged(sketches(docs, k, n_bands(percent)), "sketches")
     by_set = ["n_shingles", "f1", "f2"]
-    classes = drawn.where("n_shingles > 0").groupBy(*by_set).agg(F.min("doc_id").alias("rep"))
-    members = drawn.select("doc_id", *by_set).join(classes, by_set, "left").withColumn("least", F.min("rep").over(Window.partitionBy("doc_id")))
+    classes = drawn.where("n_shingles > 0").groupBy(*by_set).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+    classes = common.staged(classes, "classes")
+    hot = classes.where(F.col("n") > drawn.count() // HOT_CLASSES + HOT_ROWS)
+    full = drawn.select("doc_id", F.col("n_shingles").alias("size"), F.when(F.col("n_shingles") > 0, F.col("n_shingles")).alias("n_shingles"), "f1", "f2")
+    members = _by_class(full, classes.drop("n"), by_set, hot).drop("n_shingles").withColumnRenamed("size", "n_shingles")
+    members = members.withColumn("least", F.min("rep").over(Window.partitionBy("doc_id")))
     members = common.staged(members.select("doc_id", "n_shingles", F.coalesce("rep", "least").alias("rep"), "least"), "members")
     same_id = members.where("least < rep").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
     reps = drawn.where("n_shingles > 0").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "f1", "f2"])
@@ -285,5 +304,5 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
     pairs = common.staged(_judged(_blocks(open_rows, reps), percent), "pairs")
     if not pairs.isEmpty():
         comp = components(comp.select(F.col("component").alias("a"), F.col("node").alias("b")).union(confirmed(pairs, docs, k, percent)))
-    found = members.select("doc_id", "n_shingles", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    found = _by_class(members.select("doc_id", "n_shingles", "rep"), comp.withColumnRenamed("node", "rep"), ["rep"], hot.select("rep").distinct()).select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
