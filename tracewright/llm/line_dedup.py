@@ -95,7 +95,8 @@ def _shared(rows: DataFrame, own: Column, name: str) -> DataFrame:
     dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
     counted = dealt.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("line_no").alias("c"), F.max("line_no").alias("d"), F.max(own.cast("int")).alias("o"))
     live = counted.where("o = 1 and (a < b or c < d)").select("key").hint("shuffle_hash")
-    return common.staged(dealt.join(live, "key", "left_semi").withColumn("own", own), name)
+    # An inner join with distinct keys: a semi-join would be moved below the shuffle, which then runs twice.
+    return common.staged(dealt.join(live, "key").withColumn("own", own), name)
 
 
 def _earliest(shared: DataFrame) -> DataFrame:
