@@ -14,8 +14,8 @@ def test_query_agrees_with_sql(spark, name):
     assert difference(spark, queries.QUERIES[name], queries.ORACLE_SQL[name], SF) == ""
 
 
-def test_all_ten_are_registered():
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+def test_all_are_registered():
+    assert {n.split("_")[0] for n in queries.QUERIES} >= {f"op{i}" for i in range(1, 12)}
 
 
 def test_pipeline_stages(spark):

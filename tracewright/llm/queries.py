@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import common, decontaminate, html_text, language_model, line_dedup, minhash, oracle, quality, search, sentence_pieces, suffix_dedup, token_files
+from tracewright.llm import common, decontaminate, html_text, language_model, line_dedup, minhash, oracle, quality, search, secret_scan, sentence_pieces, suffix_dedup, token_files
 
 ORACLE_SQL = {
     "op1_suffix_dedup": oracle.OP1,
@@ -58,6 +58,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.find_secrets(common.documents(spark, sf_dir)))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_minhash": op2_minhash,
@@ -69,4 +73,5 @@ QUERIES = {
     "op8_token_output": op8_token_output,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_decontamination": op10_decontamination,
+    "op11_secret_scan": op11_secret_scan,
 }
