@@ -33,24 +33,38 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
-    """Write ``df`` once as a table in buckets of ``key``: later joins on it move the other side only."""
+def bucketed(df: DataFrame, key: str, name: str, dealt: bool = False) -> DataFrame:
+    """Write ``df`` once as a table in buckets of ``key``: later joins on it move the other side only. ``dealt``: its rows are
+    few and large, or lie together by ``key`` already, and are written from where they are."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"tracewright_{name}_{uuid.uuid4().hex}"
-    df.repartition(n, key).write.bucketBy(n, key).option("compression", "zstd").option("path", new_path(spark, name)).saveAsTable(table)
+    rows = df if dealt else df.repartition(n, key)
+    rows.write.bucketBy(n, key).option("compression", "zstd").option("path", f"{shared_dir(spark).rstrip('/')}/tracewright/{table}").saveAsTable(table)
     return spark.table(table)
 
 
+def drop_bucketed(*tables: DataFrame) -> None:
+    """Drop tables made by ``bucketed`` that nothing reads any more, with their folders."""
+    for df in tables:
+        folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        for folder in folders:
+            df.sparkSession.sql(f"drop table if exists {folder.rsplit('/', 1)[1]}")
+        _delete(df.sparkSession, folders)
+
+
 def drop_staged(*frames: DataFrame) -> None:
     """Delete the folders of stages that nothing reads any more."""
     for df in frames:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if "/tracewright/" in folder:
-                p = jvm.org.apache.hadoop.fs.Path(folder)
-                p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles()})
+
+
+def _delete(spark: SparkSession, folders: set[str]) -> None:
+    jvm = spark.sparkContext._jvm
+    for folder in folders:
+        if "/tracewright/" in folder:
+            p = jvm.org.apache.hadoop.fs.Path(folder)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

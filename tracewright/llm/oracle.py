@@ -60,3 +60,23 @@ q as (select doc_id as query_id, term from tf where doc_id % 20 = 0),
 s as (select query_id, w.doc_id, cast(round(sum(idf * sat) * 1e6) as bigint) as score_micro from q join w on w.term = q.term group by all)
 select query_id, cast(rank as bigint) as rank, doc_id, score_micro from (select *, row_number() over (partition by query_id order by score_micro desc, doc_id) as rank from s) where rank <= 10
 """
+
+_PIECES = f"regexp_split_to_array({_LOWER}, '[.,;:!?\\x0A-\\x0D]')"
+OP12 = f"""
+with p as (select coalesce(lang, 'und') as lang, unnest({_PIECES}) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w from p),
+tot as (select lang, sum(len(w)) as n from w group by lang),
+g as (select lang, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as phrase, k
+  from w, (select unnest(range(1, 6)) as k) where len(w) >= k),
+f as (select lang, phrase, k, count(*) as a from g group by all having count(*) >= 100),
+c as (select lang, phrase, k, a, string_split(phrase, ' ') as ws from f where k >= 2),
+cuts as (select c.lang, c.phrase, c.k, c.a, unnest(range(1, c.k)) as cut, ws from c),
+sc as (select cuts.lang, cuts.phrase, cuts.k, cuts.a, cut, x.a as l, y.a as r, n, (1000 * cuts.a::hugeint * n::hugeint) // (x.a::hugeint * y.a::hugeint) as score
+  from cuts join tot on tot.lang = cuts.lang join f x on x.lang = cuts.lang and x.phrase = array_to_string(ws[:cut], ' ') join f y on y.lang = cuts.lang and y.phrase = array_to_string(ws[cut + 1:], ' ')),
+best as (select *, row_number() over (partition by lang, phrase order by score, cut) as nth from sc),
+inside as (select distinct c.lang, sub.phrase from c, lateral (select unnest(list_concat([array_to_string(ws[:k - 1], ' ')], [array_to_string(ws[2:], ' ')])) as phrase) sub
+  join f on f.lang = c.lang and f.phrase = sub.phrase where c.k >= 3 and f.a <= c.a),
+kept as (select b.* from best b anti join inside i on i.lang = b.lang and i.phrase = b.phrase where nth = 1)
+select lang, rank, phrase, a, cast(l as bigint) as l, cast(r as bigint) as r, cast(n as bigint) as n, cast(score as bigint) as score
+from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept) where rank <= 2000
+"""

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import common, decontaminate, html_text, language_model, line_dedup, minhash, oracle, quality, search, secret_scan, sentence_pieces, suffix_dedup, token_files
+from tracewright.llm import collocations, common, decontaminate, html_text, language_model, line_dedup, minhash, oracle, quality, search, secret_scan, sentence_pieces, suffix_dedup, token_files
 
 ORACLE_SQL = {
     "op1_suffix_dedup": oracle.OP1,
     "op2_minhash": oracle.OP2,
     "op4_line_dedup": oracle.OP4,
     "op5_topk_search": oracle.OP5,
+    "op12_phrase_mining": oracle.OP12,
 }
 
 
@@ -62,6 +63,10 @@ def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.find_secrets(common.documents(spark, sf_dir)))
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(common.documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_minhash": op2_minhash,
@@ -74,4 +79,5 @@ QUERIES = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_decontamination": op10_decontamination,
     "op11_secret_scan": op11_secret_scan,
+    "op12_phrase_mining": op12_phrase_mining,
 }
