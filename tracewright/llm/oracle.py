@@ -80,3 +80,16 @@ kept as (select b.* from best b anti join inside i on i.lang = b.lang and i.phra
 select lang, rank, phrase, a, cast(l as bigint) as l, cast(r as bigint) as r, cast(n as bigint) as n, cast(score as bigint) as score
 from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept) where rank <= 2000
 """
+
+_TERMS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+OP13 = f"""
+with t as (select row_number() over () as d, doc_id, {_TERMS} as ts from documents where doc_id is not null),
+st as (select count(*) filter (len(ts) > 0) as big_n, cast(sum(len(ts)) as bigint) as big_l from t),
+tf as (select d, doc_id, term, count(*) as tf, any_value(n) as n from (select d, doc_id, len(ts) as n, unnest(ts) as term from t) group by all),
+df as (select term, count(*) as df from tf group by term),
+i as (select item_id, term, count(*) as times from (select item_id, unnest({_TERMS}) as term from benchmark where item_id is not null) group by all),
+w as (select term, cast(floor(1000.0 * ln(cast(2 * big_n + 2 as double) / cast(2 * df + 1 as double))) as bigint) as w from df cross join st),
+s as (select item_id, doc_id, d, cast(sum(times * w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 12 * (75 + (25 * n * big_n) // big_l)))) as bigint) as score
+  from i join tf on tf.term = i.term join w on w.term = i.term cross join st group by all)
+select item_id, cast(rank as integer) as rank, doc_id, score from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from s where score > 0) where rank <= 20
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import collocations, common, decontaminate, html_text, language_model, line_dedup, minhash, oracle, quality, search, secret_scan, sentence_pieces, suffix_dedup, token_files
+from tracewright.llm import collocations, common, decontaminate, html_text, language_model, line_dedup, minhash, oracle, quality, ranked_search, search, secret_scan, sentence_pieces, suffix_dedup, token_files
 
 ORACLE_SQL = {
     "op1_suffix_dedup": oracle.OP1,
@@ -13,6 +13,7 @@ ORACLE_SQL = {
     "op4_line_dedup": oracle.OP4,
     "op5_topk_search": oracle.OP5,
     "op12_phrase_mining": oracle.OP12,
+    "op13_ranked_search": oracle.OP13,
 }
 
 
@@ -67,6 +68,10 @@ def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.phrases(common.documents(spark, sf_dir))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_minhash": op2_minhash,
@@ -80,4 +85,5 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_secret_scan": op11_secret_scan,
     "op12_phrase_mining": op12_phrase_mining,
+    "op13_ranked_search": op13_ranked_search,
 }
