@@ -29,8 +29,8 @@ from tracewright.llm import common
 from tracewright.llm import kernels as K
 from tracewright.llm.subwords import runs_of
 
-SHARD_BYTES = 16 << 20  # text of one language under one index; a longer document is indexed alone
-HELD_BYTES = 48 << 20  # text of all languages that a task holds back
+SHARD_BYTES = 4 << 20  # text of one language under one index; a longer document is indexed alone
+HELD_BYTES = 24 << 20  # text of all languages that a task holds back
 SALTS = 16  # parts in which a language's phrases are ranked before the parts' best are ranked together
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -61,8 +61,9 @@ def word_ids(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 SHARDS = "shard long, lang string, n long, words array<string>, counts array<long>, ids binary"
 
 
-def shard_rows(batches) -> Iterator[pa.RecordBatch]:
-    """One row per shard of (lang, text) rows: its words, their counts and its word ids."""
+def shard_rows(batches, limit: int, most: int) -> Iterator[pa.RecordBatch]:
+    """One row per shard of (lang, text) rows, of ``limit`` bytes of text: its words, their counts and its word ids. A task holds
+    ``most`` bytes back until it writes the largest of its languages."""
     held: dict[str, list[pa.Array]] = {}
     size: dict[str, int] = {}
     part, made = TaskContext.get().partitionId(), 0
@@ -83,14 +84,14 @@ def shard_rows(batches) -> Iterator[pa.RecordBatch]:
             offs = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
             a = 0
             while a < len(texts):
-                room = max(SHARD_BYTES - size.get(lang, 0), 0)
+                room = max(limit - size.get(lang, 0), 0)
                 b = max(a + 1, int(np.searchsorted(offs, offs[a] + room, "right")) - 1)
                 held.setdefault(lang, []).append(texts.slice(a, b - a))
                 size[lang] = size.get(lang, 0) + int(offs[b] - offs[a])
-                if size[lang] >= SHARD_BYTES or b < len(texts):
+                if size[lang] >= limit or b < len(texts):
                     yield cut(lang)
                 a = b
-        while sum(size.values()) > HELD_BYTES:
+        while sum(size.values()) > most:
             yield cut(max(size, key=size.get))
     for lang in sorted(held):
         yield cut(lang)
@@ -193,15 +194,15 @@ def grown(symbols: np.ndarray, nodes: dict[str, np.ndarray], names: np.ndarray,
     }
 
 
-_NODES = [(c, pa.binary()) for c in NODE[:5]] + [("p", pa.list_(pa.int64())), ("q", pa.list_(pa.int64())), ("c", pa.list_(pa.int64()))]
-NODES = "shard long, " + ", ".join(f"{c} binary" for c in NODE[:5]) + ", p array<long>, q array<long>, c array<long>"
+_NODES = [(c, pa.binary()) for c in NODE[:5]] + [("p", pa.list_(pa.int64())), ("q", pa.list_(pa.int64())), ("c", pa.list_(pa.int32()))]
+NODES = "shard long, " + ", ".join(f"{c} binary" for c in NODE[:5]) + ", p array<long>, q array<long>, c array<int>"
 INDEX = NODES + ", forward binary, backward binary"
 
 
 def _node_row(shard: int, nodes: dict[str, np.ndarray], **more: np.ndarray) -> pa.RecordBatch:
     cells = [pa.array([shard], pa.int64())]
     cells += [pa.array([np.ascontiguousarray(nodes[c], "<i4").tobytes()], pa.binary()) for c in NODE[:5]]
-    cells += [pa.array([nodes[c]], pa.list_(pa.int64())) for c in ("p", "q", "count")]
+    cells += [pa.array([nodes[c]], pa.list_(kind)) for c, kind in (("p", pa.int64()), ("q", pa.int64()), ("count", pa.int32()))]
     cells += [pa.array([np.ascontiguousarray(x, "<i4").tobytes()], pa.binary()) for x in more.values()]
     return pa.RecordBatch.from_arrays(cells, names=["shard", *(c for c, _ in _NODES), *more])
 
@@ -258,7 +259,8 @@ def phrase_levels(docs: DataFrame, least: int = 100, longest: int = 5) -> tuple[
     (its last one), a (its count), p and q (ids of the phrase without its last and first word), heads and tails (counts of
     the first and second part of each cut). All are written tables."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    shards = common.bucketed(texts.mapInArrow(shard_rows, SHARDS), "shard", "phrase_shards", dealt=True)
+    limit, most = SHARD_BYTES, HELD_BYTES
+    shards = common.bucketed(texts.mapInArrow(lambda batches: shard_rows(batches, limit, most), SHARDS), "shard", "phrase_shards", dealt=True)
     total = shards.groupBy("lang").agg(F.sum("n").alias("n"))
     local = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "of")).select("shard", "lang", "place", F.col("of.words").alias("word"), F.col("of.counts").alias("c"))
     words = _named(local.groupBy("lang", "word").agg(F.sum("c").alias("a")), least, "phrase_words")
