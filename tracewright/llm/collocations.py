@@ -268,7 +268,8 @@ def phrase_levels(docs: DataFrame, least: int = 100, longest: int = 5) -> tuple[
     levels = [words.select("id", "lang", F.col("word").alias("phrase"), "word", "a", F.lit(None).cast("long").alias("p"), F.lit(None).cast("long").alias("q"), none.alias("heads"), none.alias("tails"))]
     depth = max(longest - 1, 2)
     at = shards.select("shard", "ids", F.size("words").alias("n_words")).join(_met(local, words, ["lang", "word"]).hint("shuffle_hash"), "shard")
-    index = common.bucketed(at.select("shard", "ids", "n_words", "places", "names").mapInArrow(_indexed(depth), INDEX), "shard", "phrase_index", dealt=True)
+    with common.row_by_row(docs.sparkSession):
+        index = common.bucketed(at.select("shard", "ids", "n_words", "places", "names").mapInArrow(_indexed(depth), INDEX), "shard", "phrase_index", dealt=True)
     total = common.staged(total, "phrase_totals")
     common.drop_bucketed(shards)
     level, tables = index, []
@@ -291,7 +292,8 @@ def phrase_levels(docs: DataFrame, least: int = 100, longest: int = 5) -> tuple[
             nodes = level.select("shard", *NODE[:5], "p", "q")
             met = _met(_local(level), counted, ["p", "q"]).hint("shuffle_hash")
             grow = symbols.join(nodes, "shard").join(met, "shard").mapInArrow(_grown(left, size + 1 == longest), NODES)
-            level = common.bucketed(grow, "shard", "phrase_nodes", dealt=True)
+            with common.row_by_row(docs.sparkSession):
+                level = common.bucketed(grow, "shard", "phrase_nodes", dealt=True)
             tables.append(level)
     common.drop_bucketed(index, *tables)
     return total, levels

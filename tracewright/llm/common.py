@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +46,18 @@ def bucketed(df: DataFrame, key: str, name: str, dealt: bool = False) -> DataFra
     return spark.table(table)
 
 
+@contextmanager
+def row_by_row(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside send their rows, each some megabytes large, to Python one at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def drop_bucketed(*tables: DataFrame) -> None:
     """Drop tables made by ``bucketed`` that nothing reads any more, with their folders."""
     for df in tables:
