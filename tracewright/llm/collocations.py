@@ -31,6 +31,7 @@ from tracewright.llm.subwords import runs_of
 
 SHARD_BYTES = 4 << 20  # text of one language under one index; a longer document is indexed alone
 HELD_BYTES = 24 << 20  # text of all languages that a task holds back
+MOST_SENT = 300_000  # frequent words or phrases of a level that are broadcast to the shards' lists (some 10 MB); above, they meet by a shuffle
 SALTS = 16  # parts in which a language's phrases are ranked before the parts' best are ranked together
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -246,7 +247,8 @@ def _named(counted: DataFrame, least: int, name: str) -> DataFrame:
 
 def _met(local: DataFrame, frequent: DataFrame, on: list[str]) -> DataFrame:
     """Per shard, the places of its frequent entries and their ids."""
-    met = local.select("shard", "place", *on).join(frequent.select(*on, "id"), on)
+    few = frequent.select(*on, "id")
+    met = local.select("shard", "place", *on).join(F.broadcast(few) if frequent.count() <= MOST_SENT else few, on)
     return met.groupBy("shard").agg(F.collect_list(F.struct("place", "id")).alias("met")).select("shard", F.col("met.place").alias("places"), F.col("met.id").alias("names"))
 
 
