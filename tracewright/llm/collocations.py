@@ -29,8 +29,8 @@ from tracewright.llm import common
 from tracewright.llm import kernels as K
 from tracewright.llm.subwords import runs_of
 
-SHARD_BYTES = 4 << 20  # text of one language under one index; a longer document is indexed alone
-HELD_BYTES = 24 << 20  # text of all languages that a task holds back
+SHARD_BYTES = 2 << 20  # text of one language under one index; a longer document is indexed alone
+HELD_BYTES = 12 << 20  # text of all languages that a task holds back
 MOST_SENT = 300_000  # frequent words or phrases of a level that are broadcast to the shards' lists (some 10 MB); above, they meet by a shuffle
 SALTS = 16  # parts in which a language's phrases are ranked before the parts' best are ranked together
 _BREAK = np.zeros(256, bool)
