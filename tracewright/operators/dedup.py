@@ -32,13 +32,3 @@ def representatives(rows: DataFrame, cluster: str, vector: str, id_column: str)
     """The row nearest to its cluster's mean, the smaller id on ties."""
     near = rows.join(centroids(rows, cluster, vector), cluster).withColumn("distance", l2(F.col(vector), F.col("centroid")))
     return near.groupBy(cluster).agg(F.min(F.struct(F.round("distance", 9).alias("distance"), F.col(id_column).alias("id"))).alias("best"), F.count("*").alias("n")).select(cluster, F.col("best.id").alias(id_column), "n")
-
-
-def kmeans_clusters(rows: DataFrame, vector: str, k: int, seed: int = 42) -> DataFrame:
-    """Adds ``cluster`` from Spark ML's k-means."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    featured = rows.withColumn("__v", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
-    model = KMeans(k=k, seed=seed, featuresCol="__v", predictionCol="cluster").fit(featured)
-    return model.transform(featured).drop("__v")

@@ -241,18 +241,19 @@ def q19_coverage_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.coverage_sample(rows, "user_id", "event_id", 200, "s1")
 
 
-def _stratum_sql(name: str, test: str, quota: int, before: list[str]) -> str:
+def stratum_sql(name: str, test: str, quota: int, before: list[str], seed: str, source: str = "events") -> str:
+    """One stratum's part of a WITH clause: first rows of environments that no stratum before has used, then other rows."""
     used = " union ".join(f"select user_id from {b}" for b in before)
     fresh = f"user_id not in ({used})" if before else "true"
-    return f"""{name} as (select event_id, user_id, '{name}' as stratum from (select *, md5('s2:{name}:' || event_id) as t,
-     row_number() over (partition by user_id order by md5('s2:{name}:' || event_id)) as nth from events where {test})
+    return f"""{name} as (select event_id, user_id, '{name}' as stratum from (select *, md5('{seed}:{name}:' || event_id) as t,
+     row_number() over (partition by user_id order by md5('{seed}:{name}:' || event_id)) as nth from {source} where {test})
      order by case when nth = 1 and {fresh} then 0 else 1 end, t limit {quota})"""
 
 
 _STRATA = [("failure", "event_type = 'error'", 20), ("same0", "event_type = 'view'", 40), ("same1", "event_type = 'click'", 40), ("simple", "event_type = 'signup'", 25), ("medium", "event_type = 'purchase'", 50)]
 
 
-@query("with " + ", ".join(_stratum_sql(n, t, q, [x[0] for x in _STRATA[:i]]) for i, (n, t, q) in enumerate(_STRATA)) + " " + " union all ".join(f"select * from {n}" for n, _, _ in _STRATA))
+@query("with " + ", ".join(stratum_sql(n, t, q, [x[0] for x in _STRATA[:i]], "s2") for i, (n, t, q) in enumerate(_STRATA)) + " " + " union all ".join(f"select * from {n}" for n, _, _ in _STRATA))
 def q20_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotas of strata filled in turn, environments taken once counting as used from then on."""
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
@@ -336,13 +337,6 @@ def q27_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.representatives(table(spark, sf_dir, "embeddings"), "label", "embedding", "vec_id")
 
 
-@query()
-def q28_cluster_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One representative per k-means cluster (labels of the clusters are the library's own)."""
-    clustered = dedup.kmeans_clusters(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", 10)
-    return dedup.representatives(clustered, "cluster", "embedding", "vec_id").select("vec_id", "n")
-
-
 @query("""select d.doc_id, 'Predict the result.' as instruction, replace(replace(text, chr(13), ''), chr(0), '') as input,
  regexp_replace(trim('{"quality": ' || quality || ', "toxic": ' || toxic || ', }'), ',\\s*([}\\]])', '\\1', 'g') as output from documents d join labels l on l.doc_id = d.doc_id""")
 def q29_training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -392,3 +386,5 @@ def q35_positional_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 from tracewright.plans import curation as _curation  # noqa: E402, F401  registers its queries here
+from tracewright.plans import selection as _selection  # noqa: E402, F401
+from tracewright.plans import states as _states  # noqa: E402, F401
