@@ -48,11 +48,11 @@ def tagged(text: Column, tag: str) -> Column:
 
 def section(text: Column, header: str) -> Column:
     """Text under ``# header`` up to the next header."""
-    return F.regexp_replace(F.regexp_extract(text, rf"(?s)# {header}\s*\n(.*?)(?=\n# |\z)", 1), r"^\s+|\s+$", "")
+    return F.regexp_replace(F.regexp_extract(text, rf"(?s)# \Q{header}\E\s*\n(.*?)(?=\n# |\z)", 1), r"^\s+|\s+$", "")
 
 
 def score(text: Column, name: str) -> Column:
-    return F.regexp_extract(text, rf"{name}:\s*(\d+)", 1).try_cast("int")
+    return F.regexp_extract(text, rf"\Q{name}\E:\s*(\d+)", 1).try_cast("int")
 
 
 def file_name(text: Column, longest: int = 120) -> Column:

@@ -16,6 +16,13 @@ def ready(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tracewright-shared-"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share."""
+    ready(spark)
+    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return there.rstrip("/")
+
+
 def checkpointed(rows: DataFrame) -> DataFrame:
     ready(rows.sparkSession)
     return rows.checkpoint()

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions import udfs
-from tracewright.operators import dedup, filters, formatting, joins, metrics, sampling, trajectory
+from tracewright.operators import dedup, differences, filters, formatting, joins, metrics, sampling, trajectory
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -217,12 +217,13 @@ def q16_recount_without_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.hits(rows, ["label"], F.col("event_id") % 2 == 0, F.col("event_id") % 5 == 0, "error")
 
 
-@query("""select v.overall, v.weights from (select cast(round(sum(cm * w) * 1000 / sum(w)) as bigint) as overall, cast(sum(w) as bigint) as weights from
- (values (100,100),(36,25),(8,25),(24,50),(6,50),(4,50),(0,50),(4,50)) t(cm, w)) v""")
+@query(_LABEL_SQL + """, p as (select label, count(*) as n, round(100 * cast(count(*) filter (where event_id % 5 = 0) as double) / count(*), 1) as pct from l group by label)
+ select cast(round(sum(pct * n) * 1000 / sum(n)) as bigint) as overall, cast(sum(n) as bigint) as weights from p""")
 def q17_published_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted mean of published per-stratum figures, in thousandths."""
-    rows = spark.createDataFrame([(100, 100), (36, 25), (8, 25), (24, 50), (6, 50), (4, 50), (0, 50), (4, 50)], "cm int, w int")
-    return rows.agg(F.round(F.sum(F.col("cm") * F.col("w")) * 1000 / F.sum("w")).cast("long").alias("overall"), F.sum("w").cast("long").alias("weights"))
+    """Mean of published per-stratum percentages (one decimal) weighted by the strata's rows, in thousandths."""
+    told = _labelled(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("event_id") % 5 == 0).alias("hits"))
+    rows = told.select("n", F.round(F.lit(100) * F.col("hits").cast("double") / F.col("n"), 1).alias("pct"))
+    return rows.agg(F.round(F.sum(F.col("pct") * F.col("n")) * 1000 / F.sum("n")).cast("long").alias("overall"), F.sum("n").cast("long").alias("weights"))
 
 
 @query("""select l_orderkey, count(*) filter (where l_returnflag = 'A') as n_passed, count(*) as n_checks from lineitem group by l_orderkey""")
@@ -267,10 +268,10 @@ def q20_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
   case when prev is not null and n > o then 'increased by ' || (n - o) when prev is not null and n < o then 'decreased by ' || (o - n) end as note,
   cast(case when prev is null or o <> n then 1 else 0 end as bigint) as change_count from k""")
 def q21_state_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Differences of consecutive states by the recursive diff, with notes."""
+    """Differences of consecutive states, with notes."""
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "props")
     steps = trajectory.previous_state(events, ["user_id"], ["ts", "event_id"], "props", "prev")
-    found = trajectory.attach_changes(steps, "prev", "props")
+    found = differences.attach(steps.select("event_id", "prev", "props"), "event_id", "prev", "props")
     first = F.get("changes", F.lit(0))
     return found.select("event_id", first["type"].alias("type"), first["note"].alias("note"), F.col("change_count").cast("long").alias("change_count"))
 
@@ -280,7 +281,7 @@ def q22_action_call(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Argument count and call text of an action."""
     action = F.concat(F.lit('{"name": "do", "arguments": '), F.col("props"), F.lit("}"))
     rows = table(spark, sf_dir, "events").select("event_id", action.alias("action"))
-    return rows.select("event_id", udfs.argument_count("action").cast("long").alias("n_args"), udfs.call_text("action").alias("call"))
+    return rows.select("event_id", differences.argument_count(F.col("action")).cast("long").alias("n_args"), differences.call_text(F.col("action")).alias("call"))
 
 
 @query("""with k as (select event_id, cast(json_extract_string(props,'$.k') as bigint) as k from events)

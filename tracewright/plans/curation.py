@@ -117,11 +117,11 @@ def q43_turn_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.histogram(turns, "turns")
 
 
-@query("""select doc_id, case when doc_id % 2 = 0 then rtrim(text[:40]) else text[:40] end as task, case when doc_id % 3 = 0 then text[:40] else chr(10) || 'why ' || doc_id || chr(10) || chr(10) || text[:40] end as output, 'fn' || doc_id as tool,
+@query("""select doc_id, case when doc_id % 2 = 0 then rtrim(text) else text end as task, case when doc_id % 3 = 0 then text else chr(10) || 'why ' || doc_id || chr(10) || chr(10) || text end as output, 'fn' || doc_id as tool,
  '**' || source || '**: ' || coalesce(case when doc_id % 2 = 0 then lang end, 'None') as title from (select * replace (trim(regexp_replace(text, '[^A-Za-z ]', 'x', 'g')) || 'q' as text) from documents where text is not null)""")
 def q44_task_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A task cut out of a transcript, a reason in front of an output, a tool's name, a text to be embedded."""
-    docs = table(spark, sf_dir, "documents").where("text is not null").withColumn("said", F.substring(F.concat(F.trim(F.regexp_replace("text", "[^A-Za-z ]", "x")), F.lit("q")), 1, 40))
+    docs = table(spark, sf_dir, "documents").where("text is not null").withColumn("said", F.concat(F.trim(F.regexp_replace("text", "[^A-Za-z ]", "x")), F.lit("q")))
     request = F.when(F.col("doc_id") % 2 == 0, "\nGenerate API Request: x").otherwise("\nAI: ok\nUser: more")
     dialogue = F.concat(F.lit("Generate.\nUser:"), F.col("said"), request)
     reason = F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("why "), F.col("doc_id").cast("string")))
@@ -149,10 +149,10 @@ def q46_guarded_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curation.guarded(scenarios, nations, "env", "kind").select("s_suppkey", "n_name", "region")
 
 
-@query("""select o_orderkey, cast(o_custkey as bigint) as o_custkey, case when o_custkey % 3 > 0 then c_name end as c_name from orders left join customer on c_custkey = o_custkey where o_orderkey % 10 = 1""")
+@query("""select o_orderkey, cast(o_custkey as bigint) as o_custkey, case when o_custkey % 3 > 0 then c_name end as c_name from orders left join customer on c_custkey = o_custkey""")
 def q47_task_of_environment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requested tasks by id, null where they belong to another environment."""
-    asked = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 1").select("o_orderkey", F.col("o_custkey").cast("long").alias("task"), (F.col("o_custkey") % 3 + F.when(F.col("o_custkey") % 3 == 0, 1).otherwise(0)).cast("long").alias("env"))
+    asked = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("long").alias("task"), (F.col("o_custkey") % 3 + F.when(F.col("o_custkey") % 3 == 0, 1).otherwise(0)).cast("long").alias("env"))
     tasks = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("task"), (F.col("c_custkey") % 3).cast("long").alias("env"), "c_name")
     return curation.task_of(asked, tasks, "env", "task").select("o_orderkey", F.col("task").alias("o_custkey"), "c_name")
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.operators import checks
+from tracewright.operators import checks, differences
+from tracewright.operators.shared import shared_folder
 from tracewright.plans.catalogue import query, table
+from tracewright.sources import json_io, typed_json
 
 
 def user_states(events: DataFrame, name: str) -> DataFrame:
@@ -56,3 +60,60 @@ def q53_state_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = F.concat("check_id", F.coalesce(F.when(F.col("passed"), "+").when(~F.col("passed"), "-"), F.lit("?")))
     listed = found.groupBy("id").agg(F.array_join(F.sort_array(F.collect_list(told)), " ").alias("results"))
     return listed.join(checks.rewards(found), "id").select(F.col("id").alias("user_id"), "results", "n_checks", "n_passed", "n_failed_to_run", "reward")
+
+
+@query("""with k as (select user_id, event_type, cast(json_extract_string(props, '$.k') as bigint) as k, event_id % 3 = 0 as early from events),
+ t as (select user_id, event_type, count(*) filter (early) as n0, count(*) as n from k group by all)
+ select event_type, count(*) filter (n0 = 0) as n_added, count(*) filter (n0 > 0 and n <> n0) as n_grown, cast(coalesce(sum(n - n0) filter (n0 > 0), 0) as bigint) as growth
+ from t where user_id in (select user_id from k where early) group by event_type""")
+def q56_nested_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of all users' nested states: kinds of events that are new, and by how much counts of known ones grew."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props")
+    both = user_states(events.where("event_id % 3 = 0"), "before").join(user_states(events, "after"), "user_id")
+    found = differences.changes(both, "before", "after").where(F.element_at("steps", 1) == "by")
+    kind, leaf = F.element_at("steps", 2).alias("event_type"), F.try_element_at("steps", F.lit(3))
+    grown = (F.col("type") == "modified") & (leaf == "n")
+    told = found.select(kind, (F.col("type") == "added").alias("added"), F.coalesce(grown, F.lit(False)).alias("grown"), F.regexp_extract("note", r"^increased by (\d+)$", 1).try_cast("long").alias("by"))
+    kinds = events.join(both.select("user_id"), "user_id", "left_semi").select("event_type").distinct()
+    summed = told.groupBy("event_type").agg(F.count_if("added").alias("n_added"), F.count_if("grown").alias("n_grown"), F.sum(F.when(F.col("grown"), F.col("by"))).alias("growth"))
+    return kinds.join(summed, "event_type", "left").select("event_type", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_added", "n_grown", "growth")])
+
+
+@query("""select event_id, cast(json_extract_string(props, '$.k') as bigint) as k, event_type from events""")
+def q57_mixed_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events through a folder of JSON lines and of arrays, each format told by its file."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), "event_type")
+    folder = f"{shared_folder(spark)}/tracewright/mixed-{uuid.uuid4().hex}"
+    record = F.to_json(F.struct("event_id", "k", "event_type"))
+    lines = rows.where("event_id % 2 = 0").select(record.alias("value"))
+    lines.write.text(f"{folder}/lines")
+    # Arrays of some thousand elements each, one text a file: written by task, so that each file is a whole array.
+    arrays = rows.where("event_id % 2 = 1").groupBy(F.floor(F.col("event_id") / 2000).alias("part")).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(record), ",\n"), F.lit("\n]")).alias("value"))
+    arrays.write.partitionBy("part").text(f"{folder}/arrays")
+    found = json_io.read_records(spark, [f"{folder}/lines", *[f"{folder}/arrays/*"]])
+    return found.select(F.from_json("record", "event_id long, k long, event_type string").alias("r")).select("r.*")
+
+
+@query("""select cast(o_orderkey as bigint) as o_orderkey, cast(round(o_totalprice * 100) as bigint) as cents, cast(o_orderdate as date) as day, o_orderpriority from orders""")
+def q58_typed_saves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decimals, timestamps and maps with struct keys through a typed save and back."""
+    orders = table(spark, sf_dir, "orders")
+    key = F.struct(F.col("o_custkey").alias("c"), F.col("o_orderpriority").alias("p"))
+    rows = orders.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.col("o_totalprice").cast("decimal(14, 2)").alias("price"), F.col("o_orderdate").cast("timestamp").alias("at"), F.create_map(key, F.col("o_totalprice").cast("decimal(14, 2)")).alias("m"))
+    back = typed_json.typed_rows(typed_json.typed_texts(rows), rows.schema)
+    return back.select("o_orderkey", (F.element_at(F.map_values("m"), 1).cast("decimal(16, 2)") * 100).cast("long").alias("cents"), F.col("at").cast("date").alias("day"), F.element_at(F.map_keys("m"), 1)["p"].alias("o_orderpriority"))
+
+
+@query("""select user_id, case when user_id % 3 = 1 then event_type end as key, count(*) as n, cast(sum(case when user_id % 3 < 2 then 1 else 0 end * cast(json_extract_string(props, '$.k') as bigint)) as bigint) as total
+ from (select *, row_number() over (partition by user_id, event_type order by event_id) as nth from events) where user_id % 3 = 0 or (user_id % 3 = 1 and nth = 1) group by all
+ union all select distinct user_id, null, 1, 0 from events where user_id % 3 = 2""")
+def q59_unwrapped_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records out of wrappers of three shapes, with the keys that held them."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    listed = events.where("user_id % 3 = 0").groupBy("user_id").agg(F.to_json(F.struct(F.collect_list(F.struct("k")).alias("items"))).alias("record"))
+    first = events.where("user_id % 3 = 1").groupBy("user_id", "event_type").agg(F.min_by(F.struct(F.struct("k").alias("trajectory")), "event_id").alias("s"))
+    keyed = first.groupBy("user_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("event_type", "s")))).alias("record"))
+    plain = events.where("user_id % 3 = 2").select("user_id").distinct().select("user_id", F.to_json(F.struct("user_id")).alias("record"))
+    found = json_io.unwrapped(listed.union(keyed).union(plain))
+    k = F.coalesce(F.get_json_object("record", "$.k"), F.get_json_object("record", "$.trajectory.k")).cast("long")
+    return found.groupBy("user_id", "key").agg(F.count("*").alias("n"), F.coalesce(F.sum(k), F.lit(0)).alias("total"))
