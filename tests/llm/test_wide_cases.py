@@ -102,3 +102,11 @@ def test_columns_that_hold_only_nulls(spark, lost):
     assert minhash.near_duplicates(docs).count() == n
     assert suffix_dedup.remove_repeats(docs).where("n_removed = 0").count() == n
     assert line_dedup.dedup_lines(docs).count() == n
+
+
+def test_words_whose_sums_of_powers_agree_are_told_apart(spark):
+    """A long word of two letters in the order of Thue and Morse and its complement have the same polynomial hash modulo 2**64 under every base."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, one), (2, two), (3, one), (4, f"{one} x y"), (5, f"{two} x y")], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}

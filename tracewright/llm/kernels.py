@@ -7,7 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
+LONG_WORD = 64  # sums of powers modulo 2**64 tell shorter words apart; of longer ones there are pairs that agree under every base
 SLICE_BYTES = 2 << 20  # text handled at once; a longer document is handled alone
 _BASE = np.uint64(0x9E3779B97F4A7C17)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -91,6 +93,8 @@ def word_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     low = LOWER[buf]
     starts, ends, rows = cut_words(low, offs)
     hashes = span_hash(prefix_sums(_BYTE[low]), starts, ends)
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(low[starts[i] : ends[i]].tobytes())
     return hashes, starts, ends, np.searchsorted(rows, np.arange(len(offs)))
 
 
