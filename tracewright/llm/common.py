@@ -10,6 +10,7 @@ from contextlib import contextmanager
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -85,9 +86,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def id_text(docs: DataFrame) -> DataFrame:
-    """doc_id and text alone; a null text becomes an empty one and a row without an id is left out (no result could name it)."""
-    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+def id_text(docs: DataFrame, *others: str) -> DataFrame:
+    """doc_id and text (and ``others``) alone; a null text becomes an empty one and a row without an id is left out (no result could name it)."""
+    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *others)
 
 
 def tokenizer_path(name: str) -> str:
@@ -108,4 +109,11 @@ def keep_rows(docs: DataFrame, keep) -> DataFrame:
             if batch.num_rows:
                 yield batch.filter(pa.array(chosen(batch.column(at_id), batch.column(at_text)), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
+
+
+def map_rows(docs: DataFrame, run) -> DataFrame:
+    """``docs`` through ``run`` in Arrow batches of its columns, which keep their places and types. Columns go by number meanwhile, as
+    Spark would read a name with a dot in it as a member."""
+    fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)]
+    return docs.toDF(*[f.name for f in fields]).mapInArrow(run, T.StructType(fields)).toDF(*docs.columns)

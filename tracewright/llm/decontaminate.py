@@ -203,7 +203,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, seed: int = 5, percent: int = 8
     """Rows of ``docs``, with all columns, that cover no test item to ``percent``."""
     items = _items(benchmark)
     if _too_large(items):
-        return docs.join(leaks(docs, benchmark, seed, percent).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+        gone = leaks(docs, benchmark, seed, percent).select(F.col("doc_id").alias("__gone")).distinct()
+        return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti").select(*[docs[f"`{c}`"] for c in docs.columns])
     held = _collected(items)
 
     def make():

@@ -190,8 +190,9 @@ def _close(pairs: DataFrame, texts: DataFrame, edits, name: str) -> DataFrame:
     return common.staged(near.select("t").distinct(), name)
 
 
-def dedup_lines(docs: DataFrame, one_edit: int = 15, two_edits: int = 40) -> DataFrame:
-    """Per document: doc_id, n_lines, n_removed, kept_text (remaining lines joined by line feeds).
+def dedup_lines(docs: DataFrame, one_edit: int = 15, two_edits: int = 40, carry: bool = False) -> DataFrame:
+    """Per document: doc_id, n_lines, n_removed, kept_text (remaining lines joined by line feeds); with ``carry`` also ``row``, a
+    struct of all columns of the row it comes from.
 
     Lines are cut at line feeds; blank lines are never removed. A null or empty text has one blank line; very long texts and lines are
     handled whole. Ties do not arise, as places are ordered; rows that repeat a doc_id are one document for places, so the same line number in two
@@ -199,7 +200,8 @@ def dedup_lines(docs: DataFrame, one_edit: int = 15, two_edits: int = 40) -> Dat
     result; other columns are ignored.
     """
     edits = lambda n: F.when(n < one_edit, 0).when(n < two_edits, 1).otherwise(MOST)
-    texts = common.bucketed(common.id_text(docs), "doc_id", "lines")
+    own = common.id_text(docs.withColumn("row", F.struct(*[docs[f"`{c}`"] for c in docs.columns])), "row") if carry else common.id_text(docs)
+    texts = common.bucketed(own, "doc_id", "lines")
     keyed = _lines(texts).select(*PLACE, F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), F.char_length("line").alias("len"))
     classes = keyed.groupBy("h", "g", "len").agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     repeats = keyed.join(classes, ["h", "g", "len"]).where(F.struct(*PLACE) != F.col("first"))
@@ -231,6 +233,7 @@ def dedup_lines(docs: DataFrame, one_edit: int = 15, two_edits: int = 40) -> Dat
     gone = gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
     every = F.split("text", "\n")
     none = F.array().cast("array<int>")
-    joined = texts.join(gone, "doc_id", "left").select("doc_id", every.alias("every"), F.coalesce("gone", none).alias("gone"))
+    carried = ["row"] if carry else []
+    joined = texts.join(gone, "doc_id", "left").select("doc_id", *carried, every.alias("every"), F.coalesce("gone", none).alias("gone"))
     kept = F.when(F.size("gone") == 0, F.col("every")).otherwise(F.filter("every", lambda _, i: ~F.array_contains("gone", i)))
-    return joined.select("doc_id", F.size("every").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), F.array_join(kept, "\n").alias("kept_text"))
+    return joined.select("doc_id", F.size("every").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), F.array_join(kept, "\n").alias("kept_text"), *carried)

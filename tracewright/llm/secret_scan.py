@@ -397,9 +397,9 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
             for i in range(batch.num_rows):
                 text = batch.column(at)[i].as_py()
                 texts.append(None if text is None else masked(text, mark))
-            yield batch.set_column(at, "text", pa.array(texts, batch.schema.field(at).type))
+            yield batch.set_column(at, batch.schema.field(at).name, pa.array(texts, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.map_rows(docs, run)
 
 
 def masked(text: str, mark: str) -> str:
