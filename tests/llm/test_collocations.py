@@ -54,9 +54,11 @@ def corpus(seed, n, words, lengths):
     return rows
 
 
-@pytest.mark.parametrize(("least", "longest", "top", "shard"), [(3, 5, 2000, 1 << 24), (2, 5, 7, 300), (2, 2, 2000, 500), (4, 3, 5, 1), (2, 7, 2000, 2000)])
-def test_phrases_against_plain_counting(spark, monkeypatch, least, longest, top, shard):
+@pytest.mark.parametrize(("least", "longest", "top", "shard", "sent"), [(3, 5, 2000, 1 << 24, 300), (2, 5, 7, 300, 0), (2, 2, 2000, 500, 9), (4, 3, 5, 1, 9999), (2, 7, 2000, 2000, 0)])
+def test_phrases_against_plain_counting(spark, monkeypatch, least, longest, top, shard, sent):
+    """``sent``: how many frequent phrases are few; with 0 every level meets its shards by a shuffle."""
     monkeypatch.setattr(C, "SHARD_BYTES", shard)
+    monkeypatch.setattr(C, "MOST_SENT", sent)
     rows = corpus(least + longest, 120, 8, 30)
     docs = spark.createDataFrame(rows, "lang string, text string").repartition(4)
     found = [tuple(r) for r in C.phrases(docs, least, longest, top).collect()]
@@ -90,6 +92,16 @@ def test_ranks_of_a_score_that_ties(spark):
     assert [tuple(r) for r in C.phrases(docs, 2).orderBy("rank").collect()] == brute(rows, 2)
 
 
+def test_planes_and_parts():
+    rng = np.random.default_rng(1)
+    x = rng.integers(-(1 << 62), 1 << 62, 500)
+    assert (C.from_planes(C.planes(x)) == x).all() and len(C.planes(x)) == 4000
+    part = C.part_of(np.arange(100_000), np.arange(100_000) // 7, 64)
+    assert np.bincount(part, minlength=64).min() > 1200  # even, whatever the ids
+    a, b = rng.integers(0, 1 << 50, 300), rng.integers(0, 1 << 50, 300)
+    assert (C.matches(a, b, a[::-1], b[::-1]) == np.arange(299, -1, -1)).all() and (C.matches(a, b, a, b + 1) < 0).all()
+
+
 @pytest.mark.parametrize("depth", [1, 2, 3, 4, 6])
 def test_intervals_of_both_orders_hold_all_places(depth):
     rng = np.random.default_rng(depth)

@@ -9,8 +9,11 @@ intervals of the longer phrases in both orders. Phrases grow in turn to the left
 A level's local counts are summed over all shards; phrases below the least count go, and only nodes whose phrase is left grow
 on, and only into phrases both of whose shorter parts are left. So a level's work follows the phrases that can still count.
 A phrase is named by the ids of its two parts (all but its last word, all but its first): a pair of numbers at every
-length, exact without comparing words again. Nothing that grows with the corpus is broadcast or collected: words and phrases
-meet their shards by joins, and the indexes themselves lie in buckets by shard and are never shuffled.
+length, exact without comparing words again. Local counts travel in packets: a shard's phrases of one part of the hash
+space, byte plane by byte plane, so that they take some four bytes each, and each part is summed by itself.
+
+Nothing that grows with the corpus is broadcast or collected: words and phrases meet their shards by joins unless a level has few, and the
+indexes lie in buckets by shard and are never shuffled. Nodes of two words are not kept; an index gives them again.
 """
 
 from __future__ import annotations
@@ -29,9 +32,11 @@ from tracewright.llm import common
 from tracewright.llm import kernels as K
 from tracewright.llm.subwords import runs_of
 
-SHARD_BYTES = 2 << 20  # text of one language under one index; a longer document is indexed alone
+SHARD_BYTES = 4 << 20  # text of one language under one index; a longer document is indexed alone
 HELD_BYTES = 12 << 20  # text of all languages that a task holds back
 MOST_SENT = 300_000  # frequent words or phrases of a level that are broadcast to the shards' lists (some 10 MB); above, they meet by a shuffle
+PARTS = 1024  # of the hash space of phrases, for each WORDS_A_ROUND words of the corpus
+WORDS_A_ROUND = 10**10
 SALTS = 16  # parts in which a language's phrases are ranked before the parts' best are ranked together
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -124,7 +129,7 @@ def walk(symbols: np.ndarray) -> np.ndarray:
     return out
 
 
-NODE = ("near", "far", "count", "head", "tail", "p", "q")  # intervals' starts in the order that the next level reads and in the other
+NODE = ("near", "far", "count", "head", "tail")  # intervals' starts in the order that the next level reads and in the other
 
 
 def children(symbols: np.ndarray, near: np.ndarray, far: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -148,32 +153,37 @@ def matches(key_a: np.ndarray, key_b: np.ndarray, want_a: np.ndarray, want_b: np
     """For each wanted pair its place among the (distinct) pairs of keys, or -1."""
     if len(key_a) == 0:
         return np.full(len(want_a), -1)
-    names = np.unique(key_a)
-    at = np.minimum(np.searchsorted(names, want_a), len(names) - 1)
-    base = int(max(key_b.max(initial=0), want_b.max(initial=0))) + 1
-    pairs = np.searchsorted(names, key_a) * base + key_b
+
+    def ranks(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        names = np.unique(keys)
+        at = np.minimum(np.searchsorted(names, wanted), len(names) - 1)
+        return np.searchsorted(names, keys), np.where(names[at] == wanted, at, -1), len(names)
+
+    a, want_a, _ = ranks(key_a, want_a)
+    b, want_b, base = ranks(key_b, want_b)
+    pairs, wanted = a * base + b, np.where((want_a >= 0) & (want_b >= 0), want_a * base + want_b, -1)
     order = np.argsort(pairs, kind="stable")
-    wanted = np.where(names[at] == want_a, at * base + want_b, -1)
     place = np.minimum(np.searchsorted(pairs[order], wanted), len(pairs) - 1)
     return np.where(pairs[order][place] == wanted, order[place], -1)
 
 
-def pair_nodes(ids: np.ndarray, places: np.ndarray, names: np.ndarray, n_words: int, depth: int) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
-    """Both transforms of a shard whose frequent words are at ``places`` (global ids ``names``), and its phrases of two words."""
+def transforms(ids: np.ndarray, places: np.ndarray, names: np.ndarray, n_words: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names of a shard's frequent words (at ``places``), and both transforms of its texts as places among these, other words being breaks."""
     local = np.zeros(n_words + 1, np.int32)
     local[np.sort(places) + 1] = np.arange(1, len(places) + 1)
-    names = names[np.argsort(places, kind="stable")]
     ids = local[ids]
     keep = np.ones(len(ids), bool)
     keep[1:] = (ids[1:] != 0) | (ids[:-1] != 0)  # breaks side by side are one
     ids = ids[keep]
-    forward, backward = transform(ids, depth), transform(ids[::-1], depth)
-    size = np.bincount(ids, minlength=len(names) + 1)
+    return names[np.argsort(places, kind="stable")], transform(ids, depth), transform(ids[::-1], depth)
+
+
+def pair_nodes(names: np.ndarray, forward: np.ndarray) -> dict[str, np.ndarray]:
+    """A shard's phrases of two words, words extended to the left; the next level reads the backward order."""
+    size = np.bincount(forward, minlength=len(names) + 1)
     start = (np.cumsum(size) - size)[1:]
     parent, symbol, count, row, other = children(forward, start, start, size[1:])
-    # grown to the left, so the next level reads the backward order
-    nodes = {"near": other, "far": walk(forward)[row], "count": count, "head": symbol, "tail": parent + 1, "p": names[symbol - 1], "q": names[parent]}
-    return forward, backward, nodes
+    return {"near": other, "far": walk(forward)[row], "count": count, "head": symbol, "tail": parent + 1, "p": names[symbol - 1], "q": names[parent]}
 
 
 def grown(symbols: np.ndarray, nodes: dict[str, np.ndarray], names: np.ndarray, left: bool, last: bool) -> dict[str, np.ndarray]:
@@ -195,65 +205,153 @@ def grown(symbols: np.ndarray, nodes: dict[str, np.ndarray], names: np.ndarray,
     }
 
 
-_NODES = [(c, pa.binary()) for c in NODE[:5]] + [("p", pa.list_(pa.int64())), ("q", pa.list_(pa.int64())), ("c", pa.list_(pa.int32()))]
-NODES = "shard long, " + ", ".join(f"{c} binary" for c in NODE[:5]) + ", p array<long>, q array<long>, c array<int>"
-INDEX = NODES + ", forward binary, backward binary"
+INDEX = "shard long, names binary, forward binary, backward binary"
+NODES = "shard long, " + ", ".join(f"{c} binary" for c in (*NODE, "p", "q"))
+PACKETS = "part int, p binary, q binary, c binary"
+PLACES = "shard long, place int, p long, q long"
+SUMS = "p long, q long, a long"
+
+
+def _names_of(ddl: str) -> list[str]:
+    return [c.split()[0] for c in ddl.split(", ")]
+
+
+def _binary_row(shard: int, cells: list[tuple[np.ndarray, str]], ddl: str) -> pa.RecordBatch:
+    columns = [pa.array([shard], pa.int64()), *[pa.array([np.ascontiguousarray(x, kind).tobytes()], pa.binary()) for x, kind in cells]]
+    return pa.RecordBatch.from_arrays(columns, names=_names_of(ddl))
 
 
-def _node_row(shard: int, nodes: dict[str, np.ndarray], **more: np.ndarray) -> pa.RecordBatch:
-    cells = [pa.array([shard], pa.int64())]
-    cells += [pa.array([np.ascontiguousarray(nodes[c], "<i4").tobytes()], pa.binary()) for c in NODE[:5]]
-    cells += [pa.array([nodes[c]], pa.list_(kind)) for c, kind in (("p", pa.int64()), ("q", pa.int64()), ("count", pa.int32()))]
-    cells += [pa.array([np.ascontiguousarray(x, "<i4").tobytes()], pa.binary()) for x in more.values()]
-    return pa.RecordBatch.from_arrays(cells, names=["shard", *(c for c, _ in _NODES), *more])
+def _rows(batches) -> Iterator[dict[str, pa.Scalar]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {n: batch.column(c)[i] for c, n in enumerate(batch.schema.names)}
+
+
+def _numbers(cell: pa.Scalar, kind: str = "<i4") -> np.ndarray:
+    return np.frombuffer(cell.as_buffer(), kind)
 
 
-def _numbers(cell: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(cell.as_buffer(), "<i4").astype(np.int64)
+def _listed(cell: pa.Scalar) -> np.ndarray:
+    return cell.values.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _indexed(depth: int):
     def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i] for n in batch.schema.names}
-                ids = np.frombuffer(row["ids"].as_buffer(), "<i4")
-                places, names = (row[c].values.to_numpy(zero_copy_only=False) for c in ("places", "names"))
-                forward, backward, nodes = pair_nodes(ids, places.astype(np.int64), names, row["n_words"].as_py(), depth)
-                yield _node_row(row["shard"].as_py(), nodes, forward=forward, backward=backward)
+        for row in _rows(batches):
+            found = transforms(_numbers(row["ids"]), _listed(row["places"]), _listed(row["names"]), row["n_words"].as_py(), depth)
+            yield _binary_row(row["shard"].as_py(), list(zip(found, ("<i8", "<i4", "<i4"), strict=True)), INDEX)
+
+    return run
+
+
+def _nodes_of(row: dict[str, pa.Scalar]) -> dict[str, np.ndarray]:
+    """A shard's nodes of a level: as they were kept, or those of two words out of its index."""
+    if "near" in row:
+        return {c: _numbers(row[c]).astype(np.int64) for c in NODE} | {c: _numbers(row[c], "<i8") for c in ("p", "q")}
+    return pair_nodes(_numbers(row["names"], "<i8"), _numbers(row["forward"]))
+
+
+def planes(x: np.ndarray) -> bytes:
+    """64-bit numbers as eight planes of bytes: the upper ones are nearly constant and take no room once compressed."""
+    return np.ascontiguousarray(x, "<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def part_of(p: np.ndarray, q: np.ndarray, parts: int) -> np.ndarray:
+    return (K.mix(K.mix(p.astype(np.uint64)) ^ q.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
+def _packets(parts: int):
+    """A shard's local counts, one row for each part of the hash space that it has phrases of."""
+
+    def run(batches):
+        for row in _rows(batches):
+            nodes = _nodes_of(row)
+            part = part_of(nodes["p"], nodes["q"], parts)
+            order = np.lexsort((nodes["p"], nodes["q"], part))
+            part, p, q, c = (x[order] for x in (part, nodes["p"], nodes["q"], nodes["count"]))
+            cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part)).tolist()
+            spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+            columns = [pa.array(part[cuts[:-1]], pa.int32()), *[pa.array([planes(x[a:b]) for a, b in spans], pa.binary()) for x in (p, q, c)]]
+            yield pa.RecordBatch.from_arrays(columns, names=_names_of(PACKETS))
+
+    return run
+
+
+def _summed(least: int):
+    """Sums over all packets of a part, and only those that reach ``least``."""
+
+    def run(table: pa.Table) -> pa.Table:
+        p, q, c = (np.concatenate([from_planes(x.as_buffer()) for x in table.column(n)]) for n in ("p", "q", "c"))
+        order = np.lexsort((p, q))
+        p, q, c = p[order], q[order], c[order]
+        head = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (q[1:] != q[:-1])]))
+        a = np.add.reduceat(c, head)
+        keep = a >= least
+        return pa.table([p[head][keep], q[head][keep], a[keep]], names=_names_of(SUMS))
 
     return run
 
 
-def _grown(left: bool, last: bool):
+def _place_rows(batches) -> Iterator[pa.RecordBatch]:
+    for row in _rows(batches):
+        nodes = _nodes_of(row)
+        n = len(nodes["p"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row["shard"].as_py())), pa.array(np.arange(n, dtype=np.int32)), pa.array(nodes["p"]), pa.array(nodes["q"])], names=_names_of(PLACES))
+
+
+def _grown(left: bool, last: bool, known: tuple[np.ndarray, np.ndarray, np.ndarray] | None):
+    """Nodes one word longer. The frequent ones among a shard's nodes are those in ``known`` (p, q and id of all), or else at its ``places``."""
+
     def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i] for n in batch.schema.names}
-                places, names = (row[c].values.to_numpy(zero_copy_only=False) for c in ("places", "names"))
-                order = np.argsort(places, kind="stable")
-                at = places[order].astype(np.int64)
-                nodes = {c: _numbers(row[c])[at] for c in NODE[:5]} | {c: row[c].values.to_numpy(zero_copy_only=False)[at] for c in ("p", "q")}
-                symbols = np.frombuffer(row["symbols"].as_buffer(), "<i4")
-                yield _node_row(row["shard"].as_py(), grown(symbols, nodes, names[order], left, last))
+        for row in _rows(batches):
+            nodes = _nodes_of(row)
+            if known is None:
+                at, names = _listed(row["places"]), _listed(row["names_met"])
+                order = np.argsort(at, kind="stable")
+                at, names = at[order], names[order]
+            else:
+                p, q, ids = known
+                found = matches(p, q, nodes["p"], nodes["q"])
+                at = np.flatnonzero(found >= 0)
+                names = ids[found[at]]
+            nodes = {c: x[at] for c, x in nodes.items()}
+            more = grown(_numbers(row["symbols"]), nodes, names, left, last)
+            yield _binary_row(row["shard"].as_py(), [(more[c], "<i4") for c in NODE] + [(more[c], "<i8") for c in ("p", "q")], NODES)
 
     return run
 
 
-def _named(counted: DataFrame, least: int, name: str) -> DataFrame:
+def _named(counted: DataFrame, name: str) -> DataFrame:
     """Frequent ones with an id each, written so that ids stay."""
-    return common.staged(counted.where(F.col("a") >= least).withColumn("id", F.monotonically_increasing_id()), name)
+    return common.staged(counted.withColumn("id", F.monotonically_increasing_id()), name)
 
 
 def _met(local: DataFrame, frequent: DataFrame, on: list[str]) -> DataFrame:
     """Per shard, the places of its frequent entries and their ids."""
     few = frequent.select(*on, "id")
     met = local.select("shard", "place", *on).join(F.broadcast(few) if frequent.count() <= MOST_SENT else few, on)
-    return met.groupBy("shard").agg(F.collect_list(F.struct("place", "id")).alias("met")).select("shard", F.col("met.place").alias("places"), F.col("met.id").alias("names"))
-
-
-def _local(level: DataFrame) -> DataFrame:
-    return level.select("shard", F.posexplode(F.arrays_zip("p", "q", "c")).alias("place", "node")).select("shard", "place", "node.p", "node.q", "node.c")
+    return met.groupBy("shard").agg(F.collect_list(F.struct("place", "id")).alias("met")).select("shard", F.col("met.place").alias("places"), F.col("met.id").alias("names_met"))
+
+
+def _longer(index: DataFrame, level: DataFrame, counted: DataFrame, size: int, longest: int) -> DataFrame:
+    """The next level's nodes of each shard. Few frequent phrases go to every task; many meet their shards by a shuffle of places."""
+    left = size % 2 == 1
+    rows = index.select("shard", F.col("forward" if left else "backward").alias("symbols"))
+    if level is index:
+        rows = index.select("shard", "names", "forward", F.col("backward").alias("symbols"))
+    else:
+        rows = rows.join(level, "shard")
+    if counted.count() <= MOST_SENT:
+        found = counted.select("p", "q", "id").toArrow()
+        known = tuple(found.column(c).to_numpy() for c in ("p", "q", "id"))
+        return rows.mapInArrow(_grown(left, size + 1 == longest, known), NODES)
+    held = index.select("shard", "names", "forward") if level is index else level
+    met = _met(held.mapInArrow(_place_rows, PLACES), counted, ["p", "q"]).hint("shuffle_hash")
+    return rows.join(met, "shard").mapInArrow(_grown(left, size + 1 == longest, None), NODES)
 
 
 def phrase_levels(docs: DataFrame, least: int = 100, longest: int = 5) -> tuple[DataFrame, list[DataFrame]]:
@@ -263,41 +361,29 @@ def phrase_levels(docs: DataFrame, least: int = 100, longest: int = 5) -> tuple[
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     limit, most = SHARD_BYTES, HELD_BYTES
     shards = common.bucketed(texts.mapInArrow(lambda batches: shard_rows(batches, limit, most), SHARDS), "shard", "phrase_shards", dealt=True)
-    total = shards.groupBy("lang").agg(F.sum("n").alias("n"))
+    total = common.staged(shards.groupBy("lang").agg(F.sum("n").alias("n")), "phrase_totals")
+    parts = PARTS * (1 + (total.agg(F.sum("n")).first()[0] or 0) // WORDS_A_ROUND)
     local = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "of")).select("shard", "lang", "place", F.col("of.words").alias("word"), F.col("of.counts").alias("c"))
-    words = _named(local.groupBy("lang", "word").agg(F.sum("c").alias("a")), least, "phrase_words")
+    words = _named(local.groupBy("lang", "word").agg(F.sum("c").alias("a")).where(F.col("a") >= least), "phrase_words")
     none = F.array().cast("array<long>")
     levels = [words.select("id", "lang", F.col("word").alias("phrase"), "word", "a", F.lit(None).cast("long").alias("p"), F.lit(None).cast("long").alias("q"), none.alias("heads"), none.alias("tails"))]
-    depth = max(longest - 1, 2)
-    at = shards.select("shard", "ids", F.size("words").alias("n_words")).join(_met(local, words, ["lang", "word"]).hint("shuffle_hash"), "shard")
-    with common.row_by_row(docs.sparkSession):
-        index = common.bucketed(at.select("shard", "ids", "n_words", "places", "names").mapInArrow(_indexed(depth), INDEX), "shard", "phrase_index", dealt=True)
-    total = common.staged(total, "phrase_totals")
-    common.drop_bucketed(shards)
-    level, tables = index, []
-    for size in range(2, longest + 1):
-        counted = _named(_local(level).groupBy("p", "q").agg(F.sum("c").alias("a")), least, "phrase_pairs")
-        first = levels[-1].select(F.col("id").alias("p"), "lang", F.col("phrase").alias("start"), F.col("heads").alias("before"), F.col("a").alias("p_a"))
-        second = levels[-1].select(F.col("id").alias("q"), "word", F.col("tails").alias("after"), F.col("a").alias("q_a"))
-        levels.append(
-            common.staged(
-                counted.join(first, "p").join(second, "q").select(
-                    "id", "lang", F.concat_ws(" ", "start", "word").alias("phrase"), "word", "a", "p", "q",
-                    F.concat("before", F.array("p_a")).alias("heads"), F.concat(F.array("q_a"), "after").alias("tails"),
-                ),
-                "phrase_level",
-            )
-        )
-        if size < longest:
-            left = size % 2 == 1
-            symbols = index.select("shard", F.col("forward" if left else "backward").alias("symbols"))
-            nodes = level.select("shard", *NODE[:5], "p", "q")
-            met = _met(_local(level), counted, ["p", "q"]).hint("shuffle_hash")
-            grow = symbols.join(nodes, "shard").join(met, "shard").mapInArrow(_grown(left, size + 1 == longest), NODES)
-            with common.row_by_row(docs.sparkSession):
-                level = common.bucketed(grow, "shard", "phrase_nodes", dealt=True)
-            tables.append(level)
-    common.drop_bucketed(index, *tables)
+    with common.small_batches(docs.sparkSession):
+        at = shards.select("shard", "ids", F.size("words").alias("n_words")).join(_met(local, words, ["lang", "word"]).hint("shuffle_hash"), "shard")
+        index = common.bucketed(at.select("shard", "ids", "n_words", "places", F.col("names_met").alias("names")).mapInArrow(_indexed(max(longest - 1, 2)), INDEX), "shard", "phrase_index", dealt=True)
+        common.drop_bucketed(shards)
+        level, tables = index, []
+        for size in range(2, longest + 1):
+            held = level.select("names", "forward") if level is index else level
+            counted = _named(held.mapInArrow(_packets(parts), PACKETS).groupBy("part").applyInArrow(_summed(least), SUMS), "phrase_sums")
+            first = levels[-1].select(F.col("id").alias("p"), "lang", F.col("phrase").alias("start"), F.col("heads").alias("before"), F.col("a").alias("p_a"))
+            second = levels[-1].select(F.col("id").alias("q"), "word", F.col("tails").alias("after"), F.col("a").alias("q_a"))
+            phrase, heads, tails = F.concat_ws(" ", "start", "word"), F.concat("before", F.array("p_a")), F.concat(F.array("q_a"), "after")
+            told = counted.join(first, "p").join(second, "q").select("id", "lang", phrase.alias("phrase"), "word", "a", "p", "q", heads.alias("heads"), tails.alias("tails"))
+            levels.append(common.staged(told, "phrase_level"))
+            if size < longest:
+                level = common.bucketed(_longer(index, level, counted, size, longest), "shard", "phrase_nodes", dealt=True)
+                tables.append(level)
+        common.drop_bucketed(index, *tables)
     return total, levels
 
 

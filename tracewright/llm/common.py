@@ -48,17 +48,25 @@ def bucketed(df: DataFrame, key: str, name: str, dealt: bool = False) -> DataFra
 
 
 @contextmanager
-def row_by_row(spark: SparkSession) -> Iterator[None]:
-    """Tables written inside send their rows, each some megabytes large, to Python one at a time."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     before = spark.conf.get(name)
-    spark.conf.set(name, "1")
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
+def row_by_row(spark: SparkSession):
+    """Tables written inside send their rows, each some megabytes large, to Python one at a time."""
+    return _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+
+
+def small_batches(spark: SparkSession):
+    """Tables written inside send rows to Python by some four megabytes: large rows alone, small ones together."""
+    return _setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def drop_bucketed(*tables: DataFrame) -> None:
     """Drop tables made by ``bucketed`` that nothing reads any more, with their folders."""
     for df in tables:
