@@ -87,6 +87,27 @@ def attach(rows: DataFrame, id_column: str, before: str, after: str, depth: int
     return joined.withColumn("changes", F.coalesce("changes", F.array().cast(CHANGE))).withColumn("change_count", F.size("changes"))
 
 
+def state_matches(rows: DataFrame, id_column: str, before: str, after: str, predicted: str, depth: int | None = None) -> DataFrame:
+    """id, by_path, strict for each row: whether every true change (before to after) stands in the predicted state, and whether the
+    predicted state is the true one.
+
+    The first asks only for the true changes' paths, so further wrong changes do not count against it, and a removed part
+    counts as found only where the predicted state holds null. States that are no objects count as empty ones.
+    ``id_column`` must be unique and not null.
+    """
+    if depth is None:
+        depth = rows.agg(F.greatest(*[F.max(nesting(F.col(c))) for c in (before, after, predicted)])).first()[0] or 0
+    true = changes(rows.select(id_column, before, after), before, after, depth).select(id_column, "steps", F.coalesce("after", F.lit("null")).alias("want"))
+    held = facts.described(facts.flattened(rows.select(id_column, _object(F.col(predicted)).alias("s")), "s", depth, arrays=False)).select(id_column, F.col("path").alias("steps"), "text", "kind")
+    met = true.join(held, [id_column, "steps"], "left").withColumn("want_kind", facts.kind_of(F.try_parse_json("want")))
+    numbers = _number("kind", "text"), _number("want_kind", "want")
+    same = F.when(numbers[0].isNotNull() & numbers[1].isNotNull(), numbers[0] == numbers[1]).otherwise(F.col("text") == F.col("want"))
+    found = met.groupBy(id_column).agg(F.bool_and(F.coalesce(same, F.lit(False))).alias("by_path"))
+    wrong = changes(rows.select(id_column, after, predicted), after, predicted, depth).select(id_column).distinct().withColumn("wrong", F.lit(True))
+    joined = rows.select(id_column).join(found, id_column, "left").join(wrong, id_column, "left")
+    return joined.select(id_column, F.coalesce("by_path", F.lit(True)).alias("by_path"), F.col("wrong").isNull().alias("strict"))
+
+
 def spaced(text: Column) -> Column:
     """JSON text with a space after each comma and colon that is not inside a string."""
     return F.regexp_replace(text, r'((?:"(?:[^"\\]++|\\.)*+"|[^",:])*+[,:])', "$1 ")

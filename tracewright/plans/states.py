@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.operators import checks, differences
+from tracewright.operators import checks, class_facts, differences
 from tracewright.operators.shared import shared_folder
 from tracewright.plans.catalogue import query, table
 from tracewright.sources import json_io, typed_json
@@ -117,3 +117,34 @@ def q59_unwrapped_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = json_io.unwrapped(listed.union(keyed).union(plain))
     k = F.coalesce(F.get_json_object("record", "$.k"), F.get_json_object("record", "$.trajectory.k")).cast("long")
     return found.groupBy("user_id", "key").agg(F.count("*").alias("n"), F.coalesce(F.sum(k), F.lit(0)).alias("total"))
+
+
+@query("""with k as (select *, cast(json_extract_string(props, '$.k') as bigint) as k from events),
+ t as (select user_id, event_type, count(*) filter (event_id % 3 = 0) as n0, count(*) as n1, count(*) filter (event_id % 10 > 0) as n2,
+   max(value) filter (event_id % 3 = 0) as top0, max(value) as top1, max(value) filter (event_id % 10 > 0) as top2,
+   list_sort(list_distinct(list(k) filter (event_id % 3 = 0))) as keys0, list_sort(list_distinct(list(k))) as keys1, list_sort(list_distinct(list(k) filter (event_id % 10 > 0))) as keys2 from k group by all),
+ l as (select user_id, arg_max(event_type, event_id) filter (event_id % 3 = 0) as e0, arg_max(event_type, event_id) as e1, arg_max(event_type, event_id) filter (event_id % 10 > 0) as e2,
+   arg_max(k, event_id) filter (event_id % 3 = 0) as k0, arg_max(k, event_id) as k1, arg_max(k, event_id) filter (event_id % 10 > 0) as k2 from k group by user_id having count(*) filter (event_id % 3 = 0) > 0 and count(*) filter (event_id % 10 > 0) > 0),
+ u as (select user_id, bool_and(coalesce(n2 = n1 and top2 = top1 and keys2 = keys1, false)) as same,
+   bool_and(case when n0 = 0 then coalesce(n2 = n1 and top2 = top1 and keys2 = keys1, false) else (n0 = n1 or coalesce(n2 = n1, false)) and (top0 = top1 or coalesce(top2 = top1, false)) and (keys0 = keys1 or coalesce(keys2 = keys1, false)) end) as found from t group by user_id)
+ select user_id, found and (e0 = e1 or e2 = e1) and (k0 = k1 or k2 = k1) as by_path, same and e2 = e1 and k2 = k1 as strict from u join l using (user_id)""")
+def q60_state_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted states of all users against the true ones: by the true changes' paths, and in full."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props")
+    states = user_states(events.where("event_id % 3 = 0"), "before").join(user_states(events, "after"), "user_id").join(user_states(events.where("event_id % 10 > 0"), "predicted"), "user_id")
+    return differences.state_matches(states, "user_id", "before", "after", "predicted")
+
+
+@query("""with s as (select s_suppkey, s_suppkey % 3 as kind from supplier)
+ select cast(s_suppkey as bigint) as s_suppkey, 'stock' as state, 'Dict[str, int]' as type, case when kind = 2 then 'look ' else '' end || 'take_' || s_suppkey as used_by, 'take_' || s_suppkey as modified_by,
+ case kind when 0 then 'PASS' when 1 then 'FAIL' else 'WARN' end as verdict from s""")
+def q61_class_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes written for every supplier: the state's type, who reads and changes it, and the verdict on a method's return."""
+    key = F.col("s_suppkey").cast("long")
+    answer = F.element_at(F.array(F.lit('{"success": True}'), F.lit('{"ok": 1}'), F.lit("found")), (key % 3 + 1).cast("int"))
+    more = F.when(key % 3 == 2, "\n    def look(self):\n        return self.stock\n").otherwise("")
+    source = F.format_string("class Shop%d:\n    def __init__(self, stock):\n        self.stock: Dict[str, int] = stock\n\n    def take_%d(self, name: str):\n        found = self.stock.pop(name)\n        return %s\n%s", key, key, answer, more)
+    found = class_facts.facts(table(spark, sf_dir, "supplier").select(key.alias("s_suppkey"), source.alias("src")), "s_suppkey", "src")
+    states = class_facts.states(found, "s_suppkey").select("s_suppkey", "state", "type", F.array_join("used_by", " ").alias("used_by"), F.array_join("modified_by", " ").alias("modified_by"))
+    verdicts = class_facts.returns(found, "s_suppkey").where("function like 'take%'").select("s_suppkey", F.col("status").alias("verdict"))
+    return states.join(verdicts, "s_suppkey")
