@@ -1,15 +1,16 @@
 """Visible text of HTML pages, laid out: block spacing, list markers and aligned table cells.
 
 A page is cut into tags and text, a tree is built with the end tags that HTML implies, and the tree is rendered:
-elements that are not shown are skipped, inline text flows with white space collapsed, block elements start new lines
+elements that are not shown are skipped (what is only invisible may hold visible parts), inline text flows with white space collapsed, block elements start new lines
 (paragraph-like ones with a blank line around), lists get markers and indents, preformatted text is kept, and the cells
-of a table are padded to common column widths. All of this holds at any depth: the tree is walked with a stack of its own.
+of a table, which may span columns and rows, are padded to common column widths. All of this holds at any depth: the tree is walked with a stack of its own.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>", re.S)
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _OPEN_COMMENT = re.compile(r"<!--.*\Z", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 # Fixed values of the HTML standard: void elements, raw text elements, implied ends, and default display.
@@ -31,25 +32,33 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
 
 
-class Node:
-    __slots__ = ("tag", "shown", "start", "children")
-
-    def __init__(self, tag: str, shown: bool = True, start: int = 1):
-        self.tag, self.shown, self.start, self.children = tag, shown, start, []
+_VISIBILITY = re.compile(r"visibility:(visible|hidden|collapse)")
+MOST_COLUMNS, MOST_ROWS = 1000, 65534  # that a cell may span, by the standard
 
 
-def _shown(tag: str, attributes: str) -> tuple[bool, int]:
-    if tag in HIDDEN:
-        return False, 1
-    start = 1
-    for name, value in _ATTRIBUTE.findall(attributes) if attributes else ():
-        name, value = name.lower(), value.strip("\"'").lower()
-        style = value.replace(" ", "") if name == "style" else ""
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or "display:none" in style or "visibility:hidden" in style:
-            return False, 1
-        if name == "start" and re.fullmatch(r"-?\d{1,9}", value):
-            start = int(value)
-    return True, start
+class Node:
+    __slots__ = ("tag", "shown", "visible", "start", "columns", "rows", "children")
+
+    def __init__(self, tag: str):
+        self.tag, self.shown, self.visible, self.start, self.columns, self.rows, self.children = tag, tag not in HIDDEN, True, 1, 1, 1, []
+
+    def read(self, attributes: str) -> None:
+        """Take over what attributes say about display, numbering and spans."""
+        for name, value in _ATTRIBUTE.findall(attributes) if attributes else ():
+            name, value = name.lower(), value.strip("\"'").lower()
+            if name == "hidden" or (name == "aria-hidden" and value == "true"):
+                self.shown = False
+            elif name == "style":
+                style = re.sub(r"\s+", "", value)
+                self.shown &= "display:none" not in style
+                for word in _VISIBILITY.findall(style):
+                    self.visible = word == "visible"
+            elif name == "start" and re.fullmatch(r"-?\d{1,9}", value):
+                self.start = int(value)
+            elif name == "colspan" and re.fullmatch(r"\d{1,9}", value):
+                self.columns = min(max(int(value), 1), MOST_COLUMNS)
+            elif name == "rowspan" and re.fullmatch(r"\d{1,9}", value):
+                self.rows = min(int(value), MOST_ROWS) or MOST_ROWS  # 0: down to the end
 
 
 def _cut(stack: list[Node], count: Counter, at: int) -> None:
@@ -86,7 +95,7 @@ def parse(page: str) -> Node:
             return root
         at = m.end()
         if m.re is _OPEN_COMMENT or m[2] is None:
-            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+            if m[0].startswith("<!--") and not m[0].endswith(">"):
                 at = len(page)  # a comment without an end takes the rest
             continue
         tag = m[2].lower()
@@ -102,7 +111,9 @@ def parse(page: str) -> Node:
             _close(stack, count, ENDS[tag], SCOPE.get(tag, set()))
         if tag in CLOSES_P:
             _close(stack, count, {"p"}, {"table", "td", "th", "button"})
-        node = Node(tag, *_shown(tag, m[3]))
+        node = Node(tag)
+        node.visible = stack[-1].visible
+        node.read(m[3])
         stack[-1].children.append(node)
         if tag in RAW:
             lower = lower if lower is not None else page.lower()
@@ -156,6 +167,8 @@ def _walk(first: Iterator) -> None:
 def _render(node: Node, page: _Page, pre: bool = False) -> Iterator:
     for child in node.children:
         if isinstance(child, str):
+            if not node.visible:
+                continue
             if not pre:
                 page.text(child)
                 continue
@@ -185,7 +198,7 @@ def _element(node: Node, page: _Page, pre: bool) -> Iterator:
         number = node.start
         for child in node.children:
             if isinstance(child, str):
-                page.text(child)
+                page.text(child if node.visible else "")
             elif child.shown and child.tag == "li":
                 page.end_line()
                 kept = page.indent
@@ -228,31 +241,60 @@ def _rows(node: Node) -> Iterator[Node]:
 
 
 def _table(node: Node, page: _Page) -> Iterator:
-    """Cells of a column padded to its widest, two spaces between; text of the table outside cells comes first."""
+    """Cells in their columns, each column as wide as the widest of its own cells, two spaces between; text of the table outside cells
+    comes first. A cell that spans columns has the room of all of them, and widens the last where that is too little; below a
+    cell that spans rows its place stays empty."""
     for child in node.children:
         if isinstance(child, str):
-            page.text(child)
+            page.text(child if node.visible else "")
         elif child.shown and child.tag not in ("tr", "thead", "tbody", "tfoot", "colgroup"):
             yield _element(child, page, False)
     page.end_line()
-    rows = []
+    rows: list[list[tuple[int, int, str]]] = []  # first column, column after the last, text
+    taken: list[tuple[int, int, int]] = []  # first column, column after the last, rows left, of cells from rows above
     for row in _rows(node):
-        cells = []
+        cells, at, above = [], 0, sorted(taken)
         for child in row.children:
             if isinstance(child, str) or not child.shown:
-                if isinstance(child, str) and child.strip():
+                if isinstance(child, str) and child.strip() and row.visible:
                     page.text(child)
                 continue
+            while above and above[0][0] <= at:  # a cell from above stands here
+                at = max(at, above.pop(0)[1])
             inner = _Page()
             yield _render(child, inner)
             inner.end_line()
-            cells.append(" ".join(x.strip() for x in inner.lines if x))
-        if any(cells):
-            rows.append(cells)
+            cells.append((at, at + child.columns, " ".join(x.strip() for x in inner.lines if x)))
+            if child.rows > 1:
+                taken.append((at, at + child.columns, child.rows))
+            at += child.columns
+        taken = [(a, e, left - 1) for a, e, left in taken if left > 1]
+        rows.append(cells)
     page.end_line()
-    widths = [max(len(r[i]) for r in rows if i < len(r)) for i in range(max(map(len, rows), default=0))]
-    for r in rows:
-        page.put("  ".join(c.ljust(w) for c, w in zip(r, widths, strict=False)).rstrip())
+    for line in _aligned([r for r in rows if any(text for _, _, text in r)]):
+        page.put(line)
+
+
+def _aligned(rows: list[list[tuple[int, int, str]]]) -> Iterator[str]:
+    """Lines of a table; columns in which no cell begins take no room."""
+    begins = sorted({a for r in rows for a, _, _ in r})
+    widths = [0] * len(begins)
+    spans = [[(bisect_left(begins, a), bisect_left(begins, e), text) for a, e, text in r] for r in rows]
+    for cells in spans:
+        for a, e, text in cells:
+            if e - a == 1:
+                widths[a] = max(widths[a], len(text))
+    for cells in spans:
+        for a, e, text in cells:
+            if e - a > 1:
+                widths[e - 1] += max(0, len(text) - sum(widths[a:e]) - 2 * (e - a - 1))
+    for cells in spans:
+        line, at = [], 0
+        for a, e, text in cells:
+            line += [" " * w for w in widths[at:a]]
+            line.append(text.ljust(sum(widths[a:e]) + 2 * (e - a - 1)))
+            at = e
+        yield "  ".join(line).rstrip()
 
 
 def visible_text(page: str | None) -> str:
@@ -268,7 +310,8 @@ def visible_text(page: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text.
 
-    A null or empty page has an empty text. Nulls in page_id or url stay; repeated rows each have a result; an empty
+    A null or empty page has an empty text; very long pages are read whole, in time that grows with their length (of a table, with its rows times
+    the cells that reach down into them). Nulls in page_id or url stay; repeated rows each have a result; an empty
     table gives an empty result; other columns are ignored.
     """
 
