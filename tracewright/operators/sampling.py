@@ -16,11 +16,13 @@ def coverage_sample(candidates: DataFrame, env: str, id_column: str, quota: int,
     """
     turn = F.md5(F.concat_ws(":", F.lit(seed), F.col(id_column).cast("string")))
     unit = F.coalesce(F.col(env).cast("string"), F.lit("unknown"))
-    fresh = ~unit.isin([str(u) for u in used]) if used else F.lit(True)
-    ranked = candidates.withColumn("__turn", turn).withColumn("__fresh", fresh)
-    ranked = ranked.withColumn("__nth", F.row_number().over(Window.partitionBy(unit).orderBy("__turn")))
-    later = F.when((F.col("__nth") == 1) & F.col("__fresh"), 0).otherwise(1)
-    return ranked.withColumn("__later", later).orderBy("__later", "__turn").limit(quota).drop("__turn", "__fresh", "__nth", "__later")
+    rows = candidates.withColumn("__turn", turn).withColumn("__env", unit)
+    fresh = rows.where(~F.col("__env").isin([str(u) for u in used])) if used else rows
+    # The first row of an environment is a minimum, and no more rows than the quota are ever put in order together.
+    first = fresh.groupBy("__env").agg(F.min("__turn").alias("__turn")).orderBy("__turn").limit(quota).select("__turn")
+    later = rows.orderBy("__turn").limit(2 * quota).join(first, "__turn", "left_anti")
+    both = rows.join(first, "__turn", "left_semi").withColumn("__later", F.lit(0)).unionByName(later.withColumn("__later", F.lit(1)))
+    return both.orderBy("__later", "__turn").limit(quota).select(*[f"`{c}`" for c in candidates.columns])
 
 
 def strata(candidates: DataFrame, env: str, id_column: str, quotas: list[tuple[str, Column, int]], seed: str) -> DataFrame:
