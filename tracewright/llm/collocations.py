@@ -34,7 +34,7 @@ from tracewright.llm.subwords import runs_of
 
 SHARD_BYTES = 4 << 20  # text of one language under one index; a longer document is indexed alone
 HELD_BYTES = 12 << 20  # text of all languages that a task holds back
-MOST_SENT = 300_000  # frequent words or phrases of a level that are broadcast to the shards' lists (some 10 MB); above, they meet by a shuffle
+MOST_SENT = 300_000  # frequent words, or phrases of a level, that go to every task (some 10 MB); more of them meet their shards by a shuffle
 PARTS = 1024  # of the hash space of phrases, for each WORDS_A_ROUND words of the corpus
 WORDS_A_ROUND = 10**10
 SALTS = 16  # parts in which a language's phrases are ranked before the parts' best are ranked together
@@ -235,15 +235,36 @@ def _listed(cell: pa.Scalar) -> np.ndarray:
     return cell.values.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _indexed(depth: int):
+def _indexed(depth: int, known: pa.Table | None):
+    """Indexes of shards, whose frequent words are those of their language in ``known`` (lang, word, id), or else at their ``places``."""
+
     def run(batches):
+        of: dict[str, pa.Table] = {}
         for row in _rows(batches):
-            found = transforms(_numbers(row["ids"]), _listed(row["places"]), _listed(row["names"]), row["n_words"].as_py(), depth)
+            if known is None:
+                places, names = _listed(row["places"]), _listed(row["names_met"])
+            else:
+                lang = row["lang"].as_py()
+                if lang not in of:
+                    of[lang] = known.filter(pc.equal(known.column("lang"), lang)).combine_chunks()
+                at = pc.index_in(row["words"].values, value_set=of[lang].column("word").combine_chunks())
+                places = np.flatnonzero(pc.is_valid(at).to_numpy(zero_copy_only=False))
+                names = of[lang].column("id").to_numpy()[at.drop_null().to_numpy(zero_copy_only=False)]
+            found = transforms(_numbers(row["ids"]), places, names, row["n_words"].as_py(), depth)
             yield _binary_row(row["shard"].as_py(), list(zip(found, ("<i8", "<i4", "<i4"), strict=True)), INDEX)
 
     return run
 
 
+def _indexes(shards: DataFrame, local: DataFrame, words: DataFrame, depth: int) -> DataFrame:
+    """The index of each shard. Few frequent words go to every task; many meet their shards by a shuffle of places."""
+    if words.count() <= MOST_SENT:
+        known = words.select("lang", "word", "id").toArrow()
+        return shards.select("shard", "lang", "words", "ids", F.size("words").alias("n_words")).mapInArrow(_indexed(depth, known), INDEX)
+    met = _met(local, words, ["lang", "word"]).hint("shuffle_hash")
+    return shards.select("shard", "ids", F.size("words").alias("n_words")).join(met, "shard").mapInArrow(_indexed(depth, None), INDEX)
+
+
 def _nodes_of(row: dict[str, pa.Scalar]) -> dict[str, np.ndarray]:
     """A shard's nodes of a level: as they were kept, or those of two words out of its index."""
     if "near" in row:
@@ -332,8 +353,7 @@ def _named(counted: DataFrame, name: str) -> DataFrame:
 
 def _met(local: DataFrame, frequent: DataFrame, on: list[str]) -> DataFrame:
     """Per shard, the places of its frequent entries and their ids."""
-    few = frequent.select(*on, "id")
-    met = local.select("shard", "place", *on).join(F.broadcast(few) if frequent.count() <= MOST_SENT else few, on)
+    met = local.select("shard", "place", *on).join(frequent.select(*on, "id"), on)
     return met.groupBy("shard").agg(F.collect_list(F.struct("place", "id")).alias("met")).select("shard", F.col("met.place").alias("places"), F.col("met.id").alias("names_met"))
 
 
@@ -368,8 +388,7 @@ def phrase_levels(docs: DataFrame, least: int = 100, longest: int = 5) -> tuple[
     none = F.array().cast("array<long>")
     levels = [words.select("id", "lang", F.col("word").alias("phrase"), "word", "a", F.lit(None).cast("long").alias("p"), F.lit(None).cast("long").alias("q"), none.alias("heads"), none.alias("tails"))]
     with common.small_batches(docs.sparkSession):
-        at = shards.select("shard", "ids", F.size("words").alias("n_words")).join(_met(local, words, ["lang", "word"]).hint("shuffle_hash"), "shard")
-        index = common.bucketed(at.select("shard", "ids", "n_words", "places", F.col("names_met").alias("names")).mapInArrow(_indexed(max(longest - 1, 2)), INDEX), "shard", "phrase_index", dealt=True)
+        index = common.bucketed(_indexes(shards, local, words, max(longest - 1, 2)), "shard", "phrase_index", dealt=True)
         common.drop_bucketed(shards)
         level, tables = index, []
         for size in range(2, longest + 1):
