@@ -124,6 +124,19 @@ def test_a_failed_job_leaves_the_target_as_it_was(spark, tmp_path):
     assert path.read_text() == "[1]" and sorted(p.name for p in tmp_path.iterdir()) == ["all.json"]
 
 
+def test_a_task_that_outlives_its_failed_job_leaves_nothing(tmp_path, monkeypatch):
+    class Task:
+        partitionId = staticmethod(lambda: 0)
+        taskAttemptId = staticmethod(lambda: 1)
+
+    monkeypatch.setattr(array_sink.TaskContext, "get", staticmethod(Task))
+    writer = array_sink.ArrayWriter({"path": str(tmp_path / "a.json")})
+    writer.abort([])
+    with pytest.raises(FileNotFoundError):
+        writer.write(iter([('{"n": 0}',)]))
+    assert not list(tmp_path.iterdir())
+
+
 def test_parts_of_failed_attempts_are_left_out(tmp_path, monkeypatch):
     class Task:
         part, attempt = 0, 0

@@ -9,6 +9,7 @@ names and counts go to the driver; it copies bytes block by block, as one file h
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -20,6 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 from pyspark.sql.types import StructType
 
 _BLOCK = 4 << 20
+_TRIES = 20
 
 
 @dataclass
@@ -33,6 +35,8 @@ class ArrayWriter(DataSourceWriter):
     def __init__(self, options: dict[str, str]):
         self.path, self.indent = options["path"], int(options.get("indent", 2))
         self.folder = f"{self.path.rstrip('/')}.parts-{uuid.uuid4().hex}"
+        system, folder = self._at(self.folder)
+        system.create_dir(folder, recursive=True)  # here and not by tasks, as one that outlives its job's end would bring the folder back
 
     def _at(self, path: str) -> tuple[fs.FileSystem, str]:
         return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
@@ -42,7 +46,6 @@ class ArrayWriter(DataSourceWriter):
         task = TaskContext.get()
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}"
         system, folder = self._at(self.folder)
-        system.create_dir(folder, recursive=True)
         rows = 0
         with system.open_output_stream(f"{folder}/{name}") as out:
             for row in iterator:
@@ -54,7 +57,6 @@ class ArrayWriter(DataSourceWriter):
 
     def commit(self, messages: list[Part | None]) -> None:
         system, folder = self._at(self.folder)
-        system.create_dir(folder, recursive=True)
         whole, filled = f"{folder}/whole", False
         with system.open_output_stream(whole) as out:
             out.write(b"[")
@@ -70,8 +72,15 @@ class ArrayWriter(DataSourceWriter):
 
     def abort(self, messages: list[Part | None]) -> None:
         system, folder = self._at(self.folder)
-        if system.get_file_info(folder).type == fs.FileType.Directory:
-            system.delete_dir(folder)
+        for left in range(_TRIES, -1, -1):  # a task that still runs may put its part in while the folder is emptied
+            if system.get_file_info(folder).type != fs.FileType.Directory:
+                return
+            try:
+                system.delete_dir(folder)
+            except OSError:
+                if not left:
+                    raise
+                time.sleep(0.05)
 
 
 class ArraySink(DataSource):
