@@ -260,6 +260,34 @@ def test_block_max_pruning_is_exact():
         assert [(-s, d) for s, d in index.top(np.arange(m), weight, k)] == expected
 
 
+def test_many_queries_at_once_are_exact():
+    """Frequent and rare terms, copies, floors from other shards, and many queries of one chunk against sums in plain loops."""
+    import random
+
+    import numpy as np
+
+    random.seed(5)
+    for n in (1, 40, 700):
+        held = [sorted(random.sample(range(n), max(1, n // random.choice([1, 2, 5, 40, 400])))) for _ in range(60)]
+        held = [x if n < 40 else sorted({*x, *range(20, 36)}) for x in held[:30]] + held[30:]  # rows 20 to 35 are copies in half of the terms
+        row = np.array([r for x in held for r in x], np.int32)
+        score = np.array([1.25 if 20 <= r < 36 else random.random() for r in row])
+        ids = np.array(random.sample(range(10_000), n))
+        index = search.ShardIndex(ids, np.arange(60).astype(np.uint64), np.cumsum([0, *map(len, held)]), row, score)
+        asks = [sorted(random.sample(range(60), random.randint(0, 30))) for _ in range(90)]
+        weight = [np.array([random.choice([0.1, 1.0, 3.0]) for _ in a]) for a in asks]
+        floor, expected = np.array([random.choice([0, 0, 2_000_000, 9_000_000]) for _ in asks]), []
+        for a, w, least in zip(asks, weight, floor, strict=True):
+            total = {}
+            for t, x in zip(a, w, strict=True):
+                for p in range(index.cut[t], index.cut[t + 1]):
+                    total.setdefault(int(ids[row[p]]), []).append(score[p] * x)
+            best = sorted((-round(math.fsum(v) * 1e6), d) for d, v in total.items())[:10]
+            expected.append([(-s, d) for s, d in best if -s >= least])
+        found = index.best(np.array([t for a in asks for t in a], np.int64), np.concatenate(weight), np.cumsum([0, *map(len, asks)]), 10, floor)
+        assert [[x for x in f if x[0] >= least] for f, least in zip(found, floor, strict=True)] == expected
+
+
 def test_quality_learns_and_calibrates(spark):
     clean = [" ".join(f"w{(i * j) % 83}ing" for j in range(1, 40)) for i in range(1, 150)]
     junk = [" ".join(f"W{(i * j) % 83}ING###" for j in range(1, 40)) for i in range(1, 80)]
