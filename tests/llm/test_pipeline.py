@@ -1,15 +1,18 @@
 """Each stage of the pipeline against a plain version, on documents with awkward rows and columns that carry the operators' own names."""
 
 import random
+import zlib
 from itertools import combinations
 
 import corpus_pipeline as P
+import numpy as np
 import pytest
 from cases import PASSAGE, TEXTS, words
+from pyspark.sql import functions as F
 from test_operators import _lines_kept
 from test_wide_cases import _greedy_tiles
 
-from tracewright.llm import common
+from tracewright.llm import common, quality
 
 SF = "/root/testdata/sf0.001"
 #: Names that the stages' operators use themselves.
@@ -116,3 +119,20 @@ def test_pieces(spark):
 @pytest.mark.parametrize("stage", [f for _, f in P.STAGES], ids=[n for n, _ in P.STAGES])
 def test_tables_without_rows(spark, stage):
     assert stage(spark, table(spark, AWKWARD).where("false"), SF).count() == 0
+
+
+def test_quality_is_fitted_in_a_task(spark, monkeypatch):
+    """The driver takes the model, not the labelled texts."""
+    n = 60
+    docs = spark.createDataFrame([(i, ("good text of words " if i % 2 else "xq zzv qqk ") * (1 + i % 5)) for i in range(n)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(n)], "doc_id long, quality int")
+    known = [(r["turn"], i, r["text"], i % 2) for i, r in enumerate(docs.select("text", F.xxhash64("doc_id").alias("turn")).orderBy("doc_id").collect()) if zlib.crc32(str(i).encode()) % 5]
+    plain = quality.fit([r[2] for r in sorted(known)], np.array([r[3] for r in sorted(known)], np.int64))
+
+    def here(*_):
+        raise AssertionError("fitted in the driver")
+
+    monkeypatch.setattr(quality, "fit", here)
+    model = quality.fitted(docs, labels)
+    for name in ("word_vectors", "form_vectors", "w1", "w2"):
+        assert np.allclose(getattr(model, name), getattr(plain, name), atol=1e-4)

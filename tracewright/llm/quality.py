@@ -6,12 +6,13 @@ index vectors of its neighbours in the fitting texts, shifted by their distance,
 vectors with a few counts beside them. The network is trained with Adam in numpy and its logits are divided by a
 temperature chosen on rows that training did not see.
 
-The classifier is fitted on at most ``max_rows`` labelled rows, those of the smallest hashes, taken over all files; scoring
-covers every row. Only the text is an input of a score.
+The classifier is fitted in one task on at most ``max_rows`` labelled rows, those of the smallest hashes, taken over all files;
+scoring covers every row. Only the text is an input of a score.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -200,8 +201,13 @@ def fitted(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_chars:
             rows = rows.where(F.col("turn") <= last)
             break
         last = r["turn"]
-    found = sorted(rows.collect(), key=lambda r: (r["turn"], r["doc_id"], r["text"]))
-    return fit([r["text"] for r in found], np.array([r["quality"] for r in found], np.int64))
+    model = rows.groupBy(F.lit(0).alias("all")).applyInArrow(_fit_rows, "model binary").first()  # in a task, as the bounded sample's words need more room than the driver should give
+    return pickle.loads(model["model"]) if model else fit([], np.zeros(0, np.int64))
+
+
+def _fit_rows(table: pa.Table) -> pa.Table:
+    found = sorted(zip(*(table[c].to_pylist() for c in ("turn", "doc_id", "text", "quality")), strict=True))
+    return pa.table({"model": pa.array([pickle.dumps(fit([r[2] for r in found], np.array([r[3] for r in found], np.int64)))], pa.binary())})
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
