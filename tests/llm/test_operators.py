@@ -288,6 +288,38 @@ def test_many_queries_at_once_are_exact():
         assert [[x for x in f if x[0] >= least] for f, least in zip(found, floor, strict=True)] == expected
 
 
+def test_a_lot_keeps_its_best_across_shards(monkeypatch):
+    """Only k documents a query leave a chain of shards, however many it meets, in whatever chunks; like queries ask once."""
+    import random
+
+    import numpy as np
+
+    random.seed(11)
+    monkeypatch.setattr(search, "HITS", 50)
+    monkeypatch.setattr(search, "CELLS", 2000)
+    asks = [sorted(random.sample(range(80), random.randint(1, 30))) for _ in range(12)]
+    asks.append(asks[3])
+    df = np.arange(80) + 1
+    start = np.cumsum([0, *map(len, asks)]).astype(np.int32)
+    lot = search.Lot(np.arange(13) * 20, start, np.array([t for a in asks for t in a], np.int32), np.arange(80).astype(np.uint64), df, 1000, 10)
+    weight, total = search._idf(1000, df), [{} for _ in asks]
+    for shard in range(9):
+        n = random.randint(1, 200)
+        held = [sorted(random.sample(range(n), max(1, n // random.choice([1, 5, 40])))) for _ in range(80)]
+        row = np.array([r for x in held for r in x], np.int32)
+        score = np.array([random.choice([0.5, random.random()]) for _ in row])
+        ids = np.array(random.sample(range(shard * 1000, shard * 1000 + 1000), n))
+        cut = np.cumsum([0, *map(len, held)])
+        lot.search(search.ShardIndex(ids, np.arange(80).astype(np.uint64), cut, row, score))
+        for a, sums in zip(asks, total, strict=True):
+            for t in a:
+                for p in range(cut[t], cut[t + 1]):
+                    sums.setdefault(int(ids[row[p]]), []).append(score[p] * weight[t])
+    expected = {(q * 20, d, m) for q, sums in enumerate(total) for m, d in [(-x, d) for x, d in sorted((-search.micro(math.fsum(v)), d) for d, v in sums.items())[:10]]}
+    found = list(zip(*(x.tolist() for x in lot.found()), strict=True))
+    assert len(found) == 130 and set(found) == expected and len(lot.askers) == 12
+
+
 def test_quality_learns_and_calibrates(spark):
     clean = [" ".join(f"w{(i * j) % 83}ing" for j in range(1, 40)) for i in range(1, 150)]
     junk = [" ".join(f"W{(i * j) % 83}ING###" for j in range(1, 40)) for i in range(1, 80)]
