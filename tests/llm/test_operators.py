@@ -409,6 +409,23 @@ def test_attention_gradients_against_differences():
         assert math.isclose(g[name][at], (up - down) / 2e-5, rel_tol=2e-3, abs_tol=2e-6), name
 
 
+def test_logits_are_bounded_only_where_they_may_pass_the_bound():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    w = language_model.start_weights(np.zeros(language_model.CLASSES, np.float32)) | {"begins": np.ones(language_model.CLASSES, np.float32)}
+    hidden, of = rng.normal(0, 1, (300, language_model.DIM)).astype(np.float32), rng.integers(0, language_model.CLASSES, 300)
+    for size in (0.3, 40.0):
+        w["U"] = rng.normal(0, size, w["U"].shape).astype(np.float32)
+        layer, logits = np.vstack([w["U"], w["b"]]), hidden.astype(np.float64) @ w["U"]
+        assert language_model._may_pass(hidden, layer) == (size > 1) and (logits.max() > 60) == (size > 1)
+        bounded = np.minimum(logits, 60)
+        expected = (bounded[np.arange(300), of] - np.log(np.exp(bounded).sum(1))) / np.log(10)
+        found, begin = language_model.class_log10(w, hidden, of)
+        assert np.isfinite(found).all() and np.abs(begin).max() < 1e-3 and np.allclose(found[expected > -20], expected[expected > -20], atol=1e-3)
+    assert language_model._may_pass(np.full((1, language_model.DIM), np.nan, np.float32), layer)
+
+
 def test_context_lowers_held_out_loss(spark, monkeypatch):
     """Which word follows the eighth "x" is told only by words nine places back."""
     texts = [(i, " ".join(["x"] * 8 + [("apple", "stone", "river")[i % 3]]) + " " + " ".join((["x"] * 8 + [("apple", "stone", "river")[i % 3]]) * 5)) for i in range(600)]

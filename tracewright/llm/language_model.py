@@ -149,13 +149,20 @@ def attend(w: dict[str, np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, ...]
     return x + mixed @ w["O"], x, q, k, v[:, :, :DIM], a, total, mixed
 
 
-AT_ONCE = 48  # hidden states whose class probabilities are at work at once: they stay in cache, and each product is too small for a second BLAS thread
+AT_ONCE = 128  # hidden states whose class probabilities are at work at once: they stay in cache (a Spark worker has one BLAS thread for each of its cores)
 
 
-def _exponentials(wide: np.ndarray, layer: np.ndarray, space: np.ndarray) -> np.ndarray:
-    """exp of the bounded logits of all classes, in ``space``; ``wide`` are hidden states with a last column of ones."""
+def _may_pass(hidden: np.ndarray, layer: np.ndarray) -> bool:
+    """Whether a logit may pass the bound: none is above the product of the longest vectors plus the largest constant."""
+    longest = lambda x, axis: float(np.sqrt(np.square(x).sum(axis).max(initial=0)))
+    return not longest(hidden, 1) * longest(layer[:DIM], 0) + float(layer[DIM].max()) < _MOST
+
+
+def _exponentials(wide: np.ndarray, layer: np.ndarray, space: np.ndarray, bounded: bool) -> np.ndarray:
+    """exp of the logits of all classes, in ``space``; ``wide`` are hidden states with a last column of ones."""
     z = np.matmul(wide, layer, out=space[: len(wide)])
-    np.minimum(z, _MOST, out=z)
+    if bounded:
+        np.minimum(z, _MOST, out=z)
     return np.exp(z, out=z)
 
 
@@ -168,10 +175,10 @@ def _widened(hidden: np.ndarray) -> np.ndarray:
 def class_log10(w: dict[str, np.ndarray], hidden: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """log10 probability of class ``of``, and of any class that begins a word, at each hidden state [m, DIM]."""
     wide, layer = _widened(hidden), np.vstack([w["U"], w["b"]])
-    both = np.stack([np.ones(CLASSES, layer.dtype), w["begins"]], 1)
+    both, bounded = np.stack([np.ones(CLASSES, layer.dtype), w["begins"]], 1), _may_pass(hidden, layer)
     space, parts = np.empty((AT_ONCE, CLASSES), layer.dtype), np.empty((len(wide), 3), layer.dtype)
     for s in range(0, len(wide), AT_ONCE):
-        z = _exponentials(wide[s : s + AT_ONCE], layer, space)
+        z = _exponentials(wide[s : s + AT_ONCE], layer, space, bounded)
         parts[s : s + AT_ONCE, :2] = z @ both
         parts[s : s + AT_ONCE, 2] = z[np.arange(len(z)), of[s : s + AT_ONCE]]
     total, begin, own = np.log10(parts + np.float32(1e-30)).T
@@ -184,10 +191,11 @@ def gradients(w: dict[str, np.ndarray], rows: np.ndarray, of: np.ndarray, valid:
     a = a / sums
     wide, layer, goal = _widened(h[valid]), np.vstack([w["U"], w["b"]]), of[valid]
     back = np.hstack([w["U"].T, np.ones((CLASSES, 1), layer.dtype)])  # the last column sums
+    bounded = _may_pass(wide[:, :DIM], layer)
     space, outer, down = np.empty((AT_ONCE, CLASSES), layer.dtype), np.zeros_like(layer), np.empty((len(wide), DIM), layer.dtype)
     for s in range(0, len(wide), AT_ONCE):
         some, own = wide[s : s + AT_ONCE], goal[s : s + AT_ONCE]
-        z = _exponentials(some, layer, space)
+        z = _exponentials(some, layer, space, bounded)
         both = z @ back
         total = both[:, DIM:] + np.float32(1e-30)
         down[s : s + AT_ONCE] = both[:, :DIM] / total - back[own, :DIM]
@@ -208,7 +216,9 @@ def gradients(w: dict[str, np.ndarray], rows: np.ndarray, of: np.ndarray, valid:
     dx = dh + dq @ w["Q"].T + dk @ w["K"].T + dv @ w["V"].T
     g["P"] = dx.sum(0)
     g["E"] = np.zeros_like(w["E"])
-    np.add.at(g["E"], rows.ravel(), dx.reshape(-1, DIM))
+    order = np.argsort(rows, axis=None)
+    met, head = np.unique(rows.ravel()[order], return_index=True)
+    g["E"][met] = np.add.reduceat(dx.reshape(-1, DIM)[order], head)
     return g
 
 
@@ -219,9 +229,18 @@ def local_steps(w: dict[str, np.ndarray], rows: np.ndarray, of: np.ndarray, vali
     order = np.random.default_rng(seed).permutation(len(rows))
     for step, pick in enumerate(np.array_split(order, max(1, len(rows) // batch)), 1):
         for k, g in gradients(w, rows[pick], of[pick], valid[pick]).items():
-            one[k] += 0.1 * (g - one[k])
-            two[k] += 0.01 * (g * g - two[k])
-            w[k] -= np.float32(rate) * (one[k] / (1 - 0.9**step)) / (np.sqrt(two[k] / (1 - 0.99**step)) + 1e-8)
+            one[k] *= 0.9
+            one[k] += 0.1 * g
+            two[k] *= 0.99
+            g *= g
+            g *= 0.01
+            two[k] += g
+            down = np.sqrt(two[k])
+            down *= (1 - 0.99**step) ** -0.5
+            down += 1e-8
+            np.divide(one[k], down, out=down)
+            down *= rate / (1 - 0.9**step)
+            w[k] -= down
     return w
 
 
