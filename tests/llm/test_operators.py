@@ -426,6 +426,69 @@ def test_logits_are_bounded_only_where_they_may_pass_the_bound():
     assert language_model._may_pass(np.full((1, language_model.DIM), np.nan, np.float32), layer)
 
 
+def test_members_of_classes_gradients_and_probabilities():
+    """Every member counts: gradients of the two-step loss, probabilities that add up to 1, and padding that gives none."""
+    import numpy as np
+
+    lm, rng = language_model, np.random.default_rng(3)
+    w = {k: v.astype(np.float64) for k, v in lm.start_weights(np.zeros(lm.CLASSES, np.float32)).items()}
+    w["U"], w["M"] = rng.normal(0, 0.3, w["U"].shape), rng.normal(0, 0.3, w["M"].shape)
+    last = lm.LENGTH - lm.CONTEXT
+    rows, of, member = rng.integers(0, lm.INPUTS, (2, lm.LENGTH)), rng.integers(0, lm.CLASSES, (2, last)), rng.integers(0, lm.MEMBERS, (2, last))
+    valid = np.ones((2, last), bool)
+    valid[1, 20:] = False
+    of[0, 0], of[1, 20] = lm.OWN, lm.CLASSES - 1
+
+    def parts(h, c):
+        z = h @ w["U"] + w["b"]
+        inner = np.append(h, 1) @ w["M"][c - lm.OWN] if c >= lm.OWN else np.zeros(1)
+        return z - np.log(np.exp(z).sum()), inner - np.log(np.exp(inner).sum())
+
+    def loss():
+        out = []
+        for h, c, m, ok in zip(lm.attend(w, rows)[0][:, lm.CONTEXT :].reshape(-1, lm.DIM), of.ravel(), member.ravel(), valid.ravel(), strict=True):
+            outer, inner = parts(h, c)
+            out += [-outer[c] - (inner[m] if c >= lm.OWN else 0)] if ok else []
+        return np.mean(out)
+
+    g = lm.gradients(w, rows, of, valid, member)
+    for name, at in [("M", (0, 3, member[0, 0])), ("M", (0, lm.DIM, member[0, 0])), ("E", (rows[0, 3], 2)), ("Q", (1, 2)), ("K", (3, 4)), ("V", (5, 6)), ("P", (9, 1)), ("U", (2, of[0, 0]))]:
+        w[name][at] += 1e-5
+        up = loss()
+        w[name][at] -= 2e-5
+        down = loss()
+        w[name][at] += 1e-5
+        assert math.isclose(g[name][at], (up - down) / 2e-5, rel_tol=2e-3, abs_tol=2e-6), name
+    hidden = rng.normal(0, 1, (lm.MEMBERS, lm.DIM))
+    hidden[:] = hidden[0]
+    found = lm.member_log10(w, hidden, np.full(lm.MEMBERS, lm.CLASSES - 1), np.arange(lm.MEMBERS))
+    assert abs((10**found).sum() - 1) < 1e-6 and np.allclose(found, parts(hidden[0], lm.CLASSES - 1)[1] / np.log(10), atol=1e-5)
+
+
+def test_a_thousand_ids_are_members_of_their_own():
+    import numpy as np
+
+    begins = language_model._begins(None)
+    counts = np.random.default_rng(4).zipf(1.3, language_model.VOCABULARY + 1).clip(0, 10**6)
+    classes = language_model.Classes(counts, begins)
+    place = classes.of * language_model.MEMBERS + classes.member
+    assert (np.bincount(place)[place] == 1).sum() > 1000
+    kinds = {(int(c), int(b)) for i, (c, b) in enumerate(zip(classes.of, begins, strict=True)) if i != language_model.END}
+    assert len(kinds) == len({c for c, _ in kinds})  # words begin in all ids of a class or in none
+    total = np.bincount(place, weights=10**classes.share)
+    assert np.allclose(total[total > 0], 1)
+
+
+def test_a_task_of_the_model_has_one_thread_for_products(spark):
+    def threads(_):
+        lib, end = language_model._blas()
+        language_model.one_thread()
+        yield getattr(lib, f"scipy_openblas_get_num_threads{end}")()
+
+    if language_model._blas():
+        assert spark.sparkContext.parallelize([0], 1).mapPartitions(threads).collect() == [1]
+
+
 def test_context_lowers_held_out_loss(spark, monkeypatch):
     """Which word follows the eighth "x" is told only by words nine places back."""
     texts = [(i, " ".join(["x"] * 8 + [("apple", "stone", "river")[i % 3]]) + " " + " ".join((["x"] * 8 + [("apple", "stone", "river")[i % 3]]) * 5)) for i in range(600)]

@@ -3,8 +3,9 @@
 Text is the sequence of its lower-cased words and one end. Words are written as subword ids of a public byte-level
 vocabulary, the leading space included, so a word sequence has one id sequence and a word one run of ids, known by a
 64-bit hash. The network gives each id as the probability of its class, from masked self-attention over the ids before
-it, times the id's share of its class. The most frequent ids are classes of their own; the others share classes by frequency
-and by whether they begin a word.
+it, times that of its member of the class, from the same hidden state (an adaptive softmax: two small products in place of one over
+all members), times the id's share of its member. The most frequent ids are classes of their own; the next ones are members of their
+own of classes by frequency and by whether they begin a word; the others share members by the same.
 
 A word's probability is (1 - x) * c / N + x * n. c of N training tokens are this word, and n is the network's probability of its ids
 and of a beginning after them, given that a word begins there; so words that training never met are spelt by the network alone, and the
@@ -16,7 +17,7 @@ class frequencies, are trained in numpy on the windows of every training documen
 by a hash of doc_id into units of about UNIT_BYTES of text, and units into ROUNDS rounds; a round makes local steps
 in each of its units, whose documents are in order of doc_id, and a Spark aggregation averages the units' weights in whole
 numbers. So the weights depend on the documents only, not on how they are partitioned.
-For scoring, a document is cut into overlapping windows; a window's first ids are context only, so each id is scored
+A document is cut into overlapping windows; a window's first ids are context only (before a document's start, ends), so each id is scored
 once, with ``CONTEXT`` ids before it at least where the document has them. Scores from other partitionings differ by rounding
 of single precision only.
 
@@ -27,8 +28,10 @@ word, and a cogroup brings each block's words and ids together. Inside a block a
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -40,14 +43,16 @@ from tracewright.llm import kernels as K
 from tracewright.llm.subwords import SLICE_BYTES, ByteEncoder, parts_of, runs_of
 
 LENGTH, CONTEXT = 32, 8  # ids of a window, and how many of them a later window repeats
-DIM, CLASSES, OWN, INPUTS = 16, 512, 496, 1024
+DIM, CLASSES, OWN, INPUTS = 16, 64, 48, 1024
+MEMBERS, LEVELS = 64, 8  # members of each class that is not one id; members, of the last class of either kind, that ids share by frequency
+GROUPS = CLASSES - OWN
 VOCABULARY = 50_257
 END = VOCABULARY  # id of a document's end
-BLOCK_BYTES, UNIT_BYTES = 8 << 20, 1 << 20
+BLOCK_BYTES, UNIT_BYTES = 8 << 20, 4 << 20
 SLICE_IDS = 1 << 18
-ROUNDS = 3
+ROUNDS, STEPS = 3, 80
 SCALE = 1 << 20  # weights are averaged in whole numbers of this part
-_SHAPES = {"E": (INPUTS, DIM), "P": (LENGTH, DIM), "Q": (DIM, DIM), "K": (DIM, DIM), "V": (DIM, DIM), "O": (DIM, DIM), "U": (DIM, CLASSES), "b": (CLASSES,)}
+_SHAPES = {"E": (INPUTS, DIM), "P": (LENGTH, DIM), "Q": (DIM, DIM), "K": (DIM, DIM), "V": (DIM, DIM), "O": (DIM, DIM), "U": (DIM, CLASSES), "b": (CLASSES,), "M": (GROUPS, DIM + 1, MEMBERS)}
 _ID = np.random.default_rng(20250301).integers(1, 1 << 63, VOCABULARY, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -89,81 +94,123 @@ def with_ends(ids: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Classes:
-    """Class of each id, log10 share of the id within its class, and the row of the input table that stands for it."""
+    """Class of each id, its member of the class, log10 share of the id within the member, and the row of the input table that stands for it."""
 
     def __init__(self, counts: np.ndarray, begins: np.ndarray):
         counts = counts.astype(np.float64)
         order = np.lexsort((np.arange(len(counts)), -counts))
+        order = order[order != END]
         rank = np.empty(len(counts), np.int64)
-        rank[order] = np.arange(len(counts))
-        level = np.clip(np.floor(np.log2(counts.sum() + 2) - np.log2(counts + 1) - 6), 0, 7).astype(np.int64)
-        self.of = np.where(rank < OWN - 1, rank, OWN + 2 * level + begins)
+        rank[order] = np.arange(len(order))
+        level = np.clip(np.floor(np.log2(counts.sum() + 2) - np.log2(counts + 1) - 6), 0, LEVELS - 1).astype(np.int64)
+        most = GROUPS // 2 * MEMBERS  # members of the classes of one kind
+        self.of, self.member = np.minimum(rank, OWN - 1), np.zeros(len(counts), np.int64)
+        for kind in (0, 1):
+            some = order[OWN - 1 :][begins[order[OWN - 1 :]] == kind]
+            place = np.where(np.arange(len(some)) < most - LEVELS, np.arange(len(some)), most - LEVELS + level[some])
+            self.of[some], self.member[some] = OWN + GROUPS // 2 * kind + place // MEMBERS, place % MEMBERS
         self.of[END] = OWN - 1
-        size = np.bincount(self.of, minlength=CLASSES)
-        total = np.bincount(self.of, weights=counts, minlength=CLASSES)
-        self.share = np.log10((counts + 0.5) / (total + 0.5 * size)[self.of])
+        at = self.of * MEMBERS + self.member
+        size = np.bincount(at, minlength=CLASSES * MEMBERS)
+        total = np.bincount(at, weights=counts, minlength=CLASSES * MEMBERS)
+        self.share = np.log10((counts + 0.5) / (total + 0.5 * size)[at])
         self.row = np.where(rank < INPUTS - CLASSES, rank, INPUTS - CLASSES + self.of)
         self.row[END] = INPUTS - CLASSES + OWN - 1
         flag = np.bincount(self.of, weights=np.append(begins[:-1], 1), minlength=CLASSES)
         self.begins = (flag > 0).astype(np.float32)
-        self.prior = np.log((total + 0.5) / (total + 0.5).sum()).astype(np.float32)
+        whole, inner = np.bincount(self.of, weights=counts, minlength=CLASSES), total.reshape(CLASSES, MEMBERS)[OWN:] + 0.5
+        self.prior = np.log((whole + 0.5) / (whole + 0.5).sum()).astype(np.float32)
+        self.inner = np.log(inner / inner.sum(1, keepdims=True)).astype(np.float32)
 
 
-def start_weights(prior: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
+def start_weights(prior: np.ndarray, inner: np.ndarray | float = 0, seed: int = 5) -> dict[str, np.ndarray]:
+    """``prior`` and ``inner`` are the log frequencies of the classes and, in each that is not one id, of its members."""
     rng = np.random.default_rng(seed)
     out = {k: rng.normal(0, 0.1 if k in "EP" else 0.25, s).astype(np.float32) for k, s in _SHAPES.items()}
-    out["U"][:] = 0
-    out["b"] = prior.copy()
+    out["U"][:], out["M"][:] = 0, 0
+    out["b"], out["M"][:, DIM] = prior.copy(), inner
     return out
 
 
+def _blas():
+    """numpy's own OpenBLAS with the ending of its functions' names, or None."""
+    for path in (Path(np.__file__).parent.parent / "numpy.libs").glob("libscipy_openblas*"):
+        lib = ctypes.CDLL(str(path))
+        for end in ("64_", ""):
+            if hasattr(lib, f"scipy_openblas_set_num_threads{end}"):
+                return lib, end
+    return None
+
+
+def one_thread() -> None:
+    """One thread for this worker's products. Spark sets as many as the executor has cores, and with products as small as these a second one
+    doubles the CPU time and saves none. Without that library nothing changes."""
+    found = _blas()
+    if found:
+        getattr(found[0], f"scipy_openblas_set_num_threads{found[1]}")(1)
+
+
 def flat(weights: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([weights[k].ravel() for k in _SHAPES])
 
 
-def unflat(values: np.ndarray) -> dict[str, np.ndarray]:
+def views(values: np.ndarray) -> dict[str, np.ndarray]:
+    """Weights in ``values``, which change with it."""
     out, at = {}, 0
     for k, s in _SHAPES.items():
         n = int(np.prod(s))
-        out[k] = values[at : at + n].reshape(s).astype(np.float32)
+        out[k] = values[at : at + n].reshape(s)
         at += n
     return out
 
 
 _CAUSAL = np.tri(LENGTH, dtype=np.float32)
 _MOST = np.float32(60)  # bound of a logit, so that exponentials stay finite without a search for the largest
-
-
-def attend(w: dict[str, np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Hidden states of windows of input rows [n, LENGTH]; position i sees the inputs up to i, that is the ids before i."""
-    x = w["E"][rows] + w["P"]
-    q, k = x @ (w["Q"] / np.float32(DIM**0.5)), x @ w["K"]
-    v = np.ones((*rows.shape, DIM + 1), x.dtype)  # the last column sums the weights
-    np.matmul(x, w["V"], out=v[:, :, :DIM])
-    a = q @ k.transpose(0, 2, 1)
-    np.minimum(a, _MOST, out=a)
-    np.exp(a, out=a)
-    a *= _CAUSAL
+_TINY = np.float32(1e-30)
+_LOG10 = np.float32(1 / np.log(10))
+_BOUNDS = np.full(1 << 14, _MOST)  # numpy takes the smaller of two arrays several times faster than that of an array and a number
+
+
+def _bounded_exponentials(z: np.ndarray) -> np.ndarray:
+    """exp of logits, in their place, none above the bound; a part at a time, which stays in cache."""
+    values = z.reshape(-1)
+    for s in range(0, len(values), len(_BOUNDS)):
+        part = values[s : s + len(_BOUNDS)]
+        np.minimum(part, _BOUNDS[: len(part)], out=part)
+        np.exp(part, out=part)
+    return z
+
+
+def attend(w: dict[str, np.ndarray], rows: np.ndarray, last: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """Hidden states of the ``last`` places of windows of input rows [n, LENGTH]; place i sees the inputs up to i, that is the ids before i."""
+    n = len(rows)
+    x = w["E"].take(rows, 0)
+    x += w["P"]
+    every = np.ones((n, LENGTH, 3 * DIM + 1), x.dtype)  # queries, keys, values, and a column that sums the weights
+    np.matmul(x.reshape(-1, DIM), np.hstack([w["Q"] / np.float32(DIM**0.5), w["K"], w["V"]]), out=every.reshape(-1, 3 * DIM + 1)[:, :-1])
+    q, k, v = every[:, LENGTH - last :, :DIM], every[:, :, DIM : 2 * DIM], every[:, :, 2 * DIM :]
+    a = _bounded_exponentials(q @ k.transpose(0, 2, 1))
+    a *= _CAUSAL[LENGTH - last :]
     mixed = a @ v
     mixed, total = mixed[:, :, :DIM] / mixed[:, :, DIM:], mixed[:, :, DIM:]
-    return x + mixed @ w["O"], x, q, k, v[:, :, :DIM], a, total, mixed
+    h = (mixed.reshape(-1, DIM) @ w["O"]).reshape(mixed.shape)
+    h += x[:, LENGTH - last :]
+    return h, x, q, k, v[:, :, :DIM], a, total, mixed
 
 
-AT_ONCE = 128  # hidden states whose class probabilities are at work at once: they stay in cache (a Spark worker has one BLAS thread for each of its cores)
+AT_ONCE = 1024  # hidden states whose class probabilities are at work at once: they stay in cache
 
 
 def _may_pass(hidden: np.ndarray, layer: np.ndarray) -> bool:
     """Whether a logit may pass the bound: none is above the product of the longest vectors plus the largest constant."""
-    longest = lambda x, axis: float(np.sqrt(np.square(x).sum(axis).max(initial=0)))
-    return not longest(hidden, 1) * longest(layer[:DIM], 0) + float(layer[DIM].max()) < _MOST
+    longest = np.sqrt((np.square(hidden) @ np.ones(DIM, hidden.dtype)).max(initial=0))
+    return not float(longest) * float(np.sqrt(np.square(layer[:DIM]).sum(0).max())) + float(layer[DIM].max()) < _MOST
 
 
 def _exponentials(wide: np.ndarray, layer: np.ndarray, space: np.ndarray, bounded: bool) -> np.ndarray:
     """exp of the logits of all classes, in ``space``; ``wide`` are hidden states with a last column of ones."""
     z = np.matmul(wide, layer, out=space[: len(wide)])
-    if bounded:
-        np.minimum(z, _MOST, out=z)
-    return np.exp(z, out=z)
+    return _bounded_exponentials(z) if bounded else np.exp(z, out=z)
 
 
 def _widened(hidden: np.ndarray) -> np.ndarray:
@@ -181,101 +228,144 @@ def class_log10(w: dict[str, np.ndarray], hidden: np.ndarray, of: np.ndarray) ->
         z = _exponentials(wide[s : s + AT_ONCE], layer, space, bounded)
         parts[s : s + AT_ONCE, :2] = z @ both
         parts[s : s + AT_ONCE, 2] = z[np.arange(len(z)), of[s : s + AT_ONCE]]
-    total, begin, own = np.log10(parts + np.float32(1e-30)).T
-    return own - total, begin - total
+    parts += _TINY
+    np.log(parts, out=parts)
+    parts *= _LOG10
+    return parts[:, 2] - parts[:, 0], parts[:, 1] - parts[:, 0]
+
+
+def _by_group(of: np.ndarray, deep: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The places ``deep``, whose class has members, in order of class, and the run of each class that is there: (group, first, end)."""
+    group = of[deep] - OWN
+    deep = deep[np.argsort(group.astype(np.uint8), kind="stable")]
+    ends = np.cumsum(np.bincount(group, minlength=GROUPS)).tolist()
+    return deep, [(g, s, e) for g, (s, e) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if e > s]
+
+
+def _member_exponentials(w: dict[str, np.ndarray], wide: np.ndarray, runs: list[tuple[int, int, int]]) -> np.ndarray:
+    """exp of the logits of all members of its class at each hidden state; ``wide`` in order of class, with a last column of ones."""
+    z, layers = np.empty((len(wide), MEMBERS), wide.dtype), w["M"]
+    for g, s, e in runs:
+        np.matmul(wide[s:e], layers[g], out=z[s:e])
+    return _bounded_exponentials(z)
+
+
+def member_log10(w: dict[str, np.ndarray], hidden: np.ndarray, of: np.ndarray, member: np.ndarray) -> np.ndarray:
+    """log10 probability of each ``member`` of class ``of`` at each hidden state [m, DIM]; 0 in classes of one id."""
+    out = np.zeros(len(of), hidden.dtype)
+    deep, runs = _by_group(of, np.flatnonzero(of >= OWN))
+    z = _member_exponentials(w, _widened(hidden[deep]), runs)
+    own, total = z[np.arange(len(deep)), member[deep]] + _TINY, z @ np.ones(MEMBERS, z.dtype) + _TINY
+    out[deep] = (np.log(own) - np.log(total)) * _LOG10
+    return out
 
 
-def gradients(w: dict[str, np.ndarray], rows: np.ndarray, of: np.ndarray, valid: np.ndarray) -> dict[str, np.ndarray]:
-    """Gradient of the mean cross-entropy over the valid places of windows."""
-    h, x, q, k, v, a, sums, mixed = attend(w, rows)
-    a = a / sums
-    wide, layer, goal = _widened(h[valid]), np.vstack([w["U"], w["b"]]), of[valid]
+def gradients(w: dict[str, np.ndarray], rows: np.ndarray, of: np.ndarray, valid: np.ndarray, member: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Gradient of the mean cross-entropy over the valid ones of the last places of windows, that of the members included if they are given."""
+    last = of.shape[1]
+    h, x, q, k, v, a, sums, mixed = attend(w, rows, last)
+    a /= sums
+    wide, layer, goal, ok = _widened(h.reshape(-1, DIM)), np.vstack([w["U"], w["b"]]), of.ravel(), valid.ravel()
     back = np.hstack([w["U"].T, np.ones((CLASSES, 1), layer.dtype)])  # the last column sums
     bounded = _may_pass(wide[:, :DIM], layer)
-    space, outer, down = np.empty((AT_ONCE, CLASSES), layer.dtype), np.zeros_like(layer), np.empty((len(wide), DIM), layer.dtype)
+    share = ok * layer.dtype.type(1 / max(1, np.count_nonzero(ok)))
+    space, outer, down = np.empty((min(AT_ONCE, len(wide)), CLASSES), layer.dtype), np.zeros_like(layer), -back.take(goal, 0)[:, :DIM] * share[:, None]
     for s in range(0, len(wide), AT_ONCE):
-        some, own = wide[s : s + AT_ONCE], goal[s : s + AT_ONCE]
+        some = wide[s : s + AT_ONCE]
         z = _exponentials(some, layer, space, bounded)
         both = z @ back
-        total = both[:, DIM:] + np.float32(1e-30)
-        down[s : s + AT_ONCE] = both[:, :DIM] / total - back[own, :DIM]
-        z[np.arange(len(z)), own] -= total[:, 0]
-        outer += (some / total).T @ z
-    share = np.float32(1 / max(1, len(wide)))
-    g = {"U": outer[:DIM] * share, "b": outer[DIM] * share}
-    dh = np.zeros_like(h)
-    dh[valid] = down * share
-    g["O"] = mixed.reshape(-1, DIM).T @ dh.reshape(-1, DIM)
-    dm = dh @ w["O"].T
-    da = dm @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dm
-    ds = a * (da - (da * a).sum(2, keepdims=True))
-    dq, dk = ds @ k / np.float32(DIM**0.5), ds.transpose(0, 2, 1) @ q
-    xt = x.reshape(-1, DIM).T
-    g["Q"], g["K"], g["V"] = xt @ dq.reshape(-1, DIM), xt @ dk.reshape(-1, DIM), xt @ dv.reshape(-1, DIM)
-    dx = dh + dq @ w["Q"].T + dk @ w["K"].T + dv @ w["V"].T
+        total = both[:, DIM] + _TINY
+        part = (share[s : s + AT_ONCE] / total)[:, None]
+        both *= part
+        down[s : s + AT_ONCE] += both[:, :DIM]
+        z[np.arange(len(z)), goal[s : s + AT_ONCE]] -= total
+        outer += (some * part).T @ z
+    g = {"U": outer[:DIM], "b": outer[DIM], "M": np.zeros_like(w["M"])}
+    if member is not None:
+        deep, runs = _by_group(goal, np.flatnonzero((goal >= OWN) & ok))
+        some, more, inner = wide[deep], np.empty((len(deep), DIM), layer.dtype), w["M"]
+        z = _member_exponentials(w, some, runs)
+        own, total = (np.arange(len(z)), member.ravel()[deep]), z @ np.ones(MEMBERS, z.dtype) + _TINY
+        z[own] -= total
+        some *= (share[deep] / total)[:, None]
+        for i, s, e in runs:
+            np.matmul(some[s:e].T, z[s:e], out=g["M"][i])
+            np.matmul(z[s:e], inner[i, :DIM].T, out=more[s:e])
+        more *= some[:, DIM:]
+        down[deep] += more
+    dh = down.reshape(h.shape)
+    g["O"] = mixed.reshape(-1, DIM).T @ down
+    dm = (down @ w["O"].T).reshape(h.shape)
+    ds = dm @ v.transpose(0, 2, 1)
+    ds -= ((dm * mixed).reshape(-1, DIM) @ np.ones(DIM, h.dtype)).reshape(*of.shape, 1)
+    ds *= a
+    each = np.zeros((*rows.shape, 3 * DIM), h.dtype)  # gradients of queries (scaled like them), keys and values
+    np.matmul(ds, k, out=each[:, LENGTH - last :, :DIM])
+    np.matmul(ds.transpose(0, 2, 1), q, out=each[:, :, DIM : 2 * DIM])
+    np.matmul(a.transpose(0, 2, 1), dm, out=each[:, :, 2 * DIM :])
+    each, scale = each.reshape(-1, 3 * DIM), np.float32(DIM**-0.5)
+    both = x.reshape(-1, DIM).T @ each
+    g["Q"], g["K"], g["V"] = both[:, :DIM] * scale, both[:, DIM : 2 * DIM], both[:, 2 * DIM :]
+    dx = (each @ np.hstack([w["Q"] * scale, w["K"], w["V"]]).T).reshape(x.shape)
+    dx[:, LENGTH - last :] += dh
     g["P"] = dx.sum(0)
     g["E"] = np.zeros_like(w["E"])
-    order = np.argsort(rows, axis=None)
-    met, head = np.unique(rows.ravel()[order], return_index=True)
-    g["E"][met] = np.add.reduceat(dx.reshape(-1, DIM)[order], head)
+    np.add.at(g["E"].ravel(), (rows.reshape(-1, 1) * DIM + np.arange(DIM)).ravel(), dx.ravel())
     return g
 
 
-def local_steps(w: dict[str, np.ndarray], rows: np.ndarray, of: np.ndarray, valid: np.ndarray, seed: int, rate: float, batch: int = 32) -> dict[str, np.ndarray]:
-    """One pass of Adam over the windows."""
-    w = {k: v.copy() for k, v in w.items()}
-    one, two = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
+def local_steps(w: dict[str, np.ndarray], rows: np.ndarray, of: np.ndarray, valid: np.ndarray, member: np.ndarray, seed: int, rate: float, batch: int = 32) -> dict[str, np.ndarray]:
+    """One pass of Adam over the windows, ``batch`` at a step, or up to four times as many where STEPS steps remain."""
+    values = flat(w)
+    w, one, two, down = views(values), np.zeros_like(values), np.zeros_like(values), np.empty_like(values)
     order = np.random.default_rng(seed).permutation(len(rows))
+    batch = min(4 * batch, max(batch, len(rows) // STEPS))
     for step, pick in enumerate(np.array_split(order, max(1, len(rows) // batch)), 1):
-        for k, g in gradients(w, rows[pick], of[pick], valid[pick]).items():
-            one[k] *= 0.9
-            one[k] += 0.1 * g
-            two[k] *= 0.99
-            g *= g
-            g *= 0.01
-            two[k] += g
-            down = np.sqrt(two[k])
-            down *= (1 - 0.99**step) ** -0.5
-            down += 1e-8
-            np.divide(one[k], down, out=down)
-            down *= rate / (1 - 0.9**step)
-            w[k] -= down
+        g = flat(gradients(w, rows[pick], of[pick], valid[pick], member[pick]))
+        one *= 0.9  # ten times the mean of the gradients
+        one += g
+        two *= 0.99  # a hundred times that of their squares
+        g *= g
+        two += g
+        np.sqrt(two, out=down)
+        size = 0.1 * (1 - 0.99**step) ** -0.5
+        down += 1e-8 / size
+        np.divide(one, down, out=down)
+        down *= 0.1 * rate / (1 - 0.9**step) / size
+        values -= down
     return w
 
 
 def windows(offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places [n, LENGTH] in the id stream, whether a place is scored there, and each window's row; every id is scored once."""
-    n = np.diff(offs)
+    """Places [n, LENGTH] in the id stream, whether a place is scored there, and each window's row; every id is scored once, and
+    CONTEXT places come before its first window's first one: those are before its row."""
     stride = LENGTH - CONTEXT
-    count = 1 + np.maximum(0, -(-(n - LENGTH) // stride))
-    row = np.repeat(np.arange(len(n)), count)
+    count = np.maximum(1, -(-np.diff(offs) // stride))
+    row = np.repeat(np.arange(len(count)), count)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    start = offs[row] + nth * stride
-    place = start[:, None] + np.arange(LENGTH)
-    scored = (place < offs[row + 1][:, None]) & ((nth == 0)[:, None] | (np.arange(LENGTH) >= CONTEXT))
-    return place, scored, row
+    place = (offs[row] + nth * stride)[:, None] + np.arange(-CONTEXT, stride)
+    return place, (place < offs[row + 1][:, None]) & (np.arange(LENGTH) >= CONTEXT), row
 
 
-def inputs(classes: Classes, ids: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Input row before each id: that of the id before it, or of an end at a document's start."""
+def inputs(classes: Classes, ids: np.ndarray, offs: np.ndarray, place: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Input row at each place of windows: that of the id before it, or of an end at a document's start and before it."""
     rows = classes.row[ids]
-    before = np.concatenate([rows[-1:], rows[:-1]])
-    before[offs[:-1]] = classes.row[END]
-    return before
+    return np.where(place <= offs[row][:, None], classes.row[END], rows[np.clip(place - 1, 0, len(ids) - 1)])
 
 
 def stream_scores(w: dict[str, np.ndarray], classes: Classes, ids: np.ndarray, offs: np.ndarray, at_once: int = 128) -> tuple[np.ndarray, np.ndarray]:
     """log10 probability of each id, and of a word's beginning at its place."""
-    place, scored, _ = windows(offs)
-    before, of = inputs(classes, ids, offs), classes.of[ids]
+    place, scored, row = windows(offs)
+    before, of, member = inputs(classes, ids, offs, place, row), classes.of[ids], classes.member[ids]
     w = w | {"begins": classes.begins}
     score, begin = np.empty(len(ids)), np.empty(len(ids))
-    last = len(ids) - 1
     for s in range(0, len(place), at_once):
-        p, ok = np.minimum(place[s : s + at_once], last), scored[s : s + at_once]
-        at = p[ok]
-        score[at], begin[at] = class_log10(w, attend(w, before[p])[0][ok], of[at])
+        ok = np.flatnonzero(scored[s : s + at_once, CONTEXT:])
+        at = place[s : s + at_once, CONTEXT:].ravel()[ok]
+        hidden = attend(w, before[s : s + at_once], LENGTH - CONTEXT)[0].reshape(-1, DIM)
+        hidden = hidden if len(ok) == len(hidden) else hidden[ok]
+        found, begin[at] = class_log10(w, hidden, of[at])
+        score[at] = found + member_log10(w, hidden, of[at], member[at])
     return score + classes.share[ids], begin
 
 
@@ -373,14 +463,15 @@ def _unit_steps(now: dict[str, np.ndarray], classes: Classes, turn: int):
     """Local steps over one unit's documents in order of doc_id, and of their ids where it repeats."""
 
     def run(key, table):
+        one_thread()
         again = np.array([zlib.crc32(x) for x in table["ids"].to_pylist()], np.int64)
         table = table.take(pa.array(np.lexsort((again, table["doc_id"].to_numpy()))))
         w, seen = now, 0
         for _, _, ids, offs in id_slices(table["ids"]):
             ids, offs = with_ends(ids, offs)
-            place, scored, _ = windows(offs)
-            place = np.minimum(place, len(ids) - 1)
-            w = local_steps(w, inputs(classes, ids, offs)[place], classes.of[ids][place], scored, turn, 0.02 / (1 + turn))
+            place, scored, row = windows(offs)
+            goal = ids[np.minimum(place[:, CONTEXT:], len(ids) - 1)]
+            w = local_steps(w, inputs(classes, ids, offs, place, row), classes.of[goal], scored[:, CONTEXT:], classes.member[goal], turn, 0.02 / (1 + turn))
             seen += len(ids)
         whole = np.rint(flat(w).astype(np.float64) * SCALE).astype(np.int64)
         return pa.table([pa.array(np.arange(len(whole), dtype=np.int32)), pa.array(whole), pa.array(np.full(len(whole), seen))], names=["i", "v", "n"])
@@ -390,7 +481,7 @@ def _unit_steps(now: dict[str, np.ndarray], classes: Classes, turn: int):
 
 def _trained(lists: DataFrame, classes: Classes, units: int) -> dict[str, np.ndarray]:
     """Weights after ROUNDS rounds of local steps; ``lists`` has doc_id and ids of all training documents."""
-    weights = start_weights(classes.prior)
+    weights = start_weights(classes.prior, classes.inner)
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(units)).cast("int")
     for turn in range(ROUNDS):
         part = lists.withColumn("unit", unit).where(F.col("unit") % ROUNDS == turn).select("unit", "doc_id", "ids")
@@ -398,7 +489,7 @@ def _trained(lists: DataFrame, classes: Classes, units: int) -> dict[str, np.nda
         mean = each.groupBy("i").agg(F.sum((F.col("v").cast("decimal(20,0)") * F.col("n").cast("decimal(18,0)")).cast("decimal(38,0)")).alias("v"), F.sum("n").alias("n"))
         found = sorted(mean.collect())  # one row per weight
         if found:
-            weights = unflat(np.array([int(r["v"]) / int(r["n"]) for r in found]) / SCALE)
+            weights = views((np.array([int(r["v"]) / int(r["n"]) for r in found]) / SCALE).astype(np.float32))
     return weights
 
 
@@ -457,6 +548,7 @@ def score(docs: DataFrame, tokenizer_file: str | None = None) -> DataFrame:
         return words, np.add.reduceat((every > 0).astype(np.int64), heads), base, mixed_log10(counted, spelt, heads), mixed_log10(without, spelt, heads)
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        one_thread()
         known = right["hash"].to_numpy().view(np.uint64)
         order = np.argsort(known)
         known, count = known[order], right["c"].to_numpy()[order]
