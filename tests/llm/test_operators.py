@@ -288,6 +288,41 @@ def test_many_queries_at_once_are_exact():
         assert [[x for x in f if x[0] >= least] for f, least in zip(found, floor, strict=True)] == expected
 
 
+def test_queries_of_other_words_leave_a_shard_unsearched(monkeypatch):
+    """Queries whose terms cannot reach their floor in a shard, each at its highest, cost no product there; the others find what they did."""
+    import numpy as np
+
+    held = [list(range(t % 3, 300, 3)) for t in range(20)]
+    row = np.array([r for x in held for r in x], np.int32)
+    index = search.ShardIndex(np.arange(300), np.arange(20).astype(np.uint64), np.cumsum([0, *map(len, held)]), row, np.ones(len(row)))
+    asks, floor = [[0, 3, 6, 9], [1], [2, 5], [], [4, 7]], np.array([0, 1_000_100, 2_000_000, 0, 9_000_000])
+    at, first = np.array([t for a in asks for t in a], np.int64), np.cumsum([0, *map(len, asks)])
+    searched, best = [], search.ShardIndex._best
+    monkeypatch.setattr(search.ShardIndex, "_best", lambda self, at, weight, first, k, floor: searched.append(len(floor)) or best(self, at, weight, first, k, floor))
+    found = index.best(at, np.ones(len(at)), first, 2, floor)
+    assert sum(searched) == 2 and found == [[(4_000_000, 0), (4_000_000, 3)], [], [(2_000_000, 2), (2_000_000, 5)], [], []]
+
+
+def test_search_in_many_shards_and_lots(spark, monkeypatch):
+    """Texts of two languages and many lengths, copies, and one doc_id with a row in each language, dealt to small shards and lots."""
+    monkeypatch.setattr(search, "SHARD_BYTES", 3000)
+    monkeypatch.setattr(search, "QUERY_TERMS", 60)
+    text = lambda i: " ".join(f"{'ab'[i % 2]}{(i * i * j) % (11 + i % 5)}" if j % 3 else ("the", "der")[i % 2] for j in range(1, 4 + i % 90))
+    rows = [(i, text(i)) for i in range(240)] + [(1000 + i, text(40)) for i in range(25)] + [(2000, text(88)), (2000, text(89)), (2020, None), (2040, "")]
+    docs = [(i, Counter(words(t))) for i, t in rows]
+    df = Counter(w for _, c in docs for w in c)
+    n, mean = len(docs), sum(sum(c.values()) for _, c in docs) / len(docs)
+    score = lambda w, c: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean))
+    expected = set()
+    for q in {i for i, _ in docs if i % 20 == 0} - {2000}:
+        asked = {w for i, c in docs if i == q for w in c}
+        best = sorted((-round(math.fsum(score(w, c) for w in asked & c.keys()) * 1e6), i) for i, c in docs if asked & c.keys())[:10]
+        expected |= {(q, r, i, -s) for r, (s, i) in enumerate(best, 1)}
+    found = {tuple(r) for r in search.more_like_this(spark.createDataFrame(rows, "doc_id long, text string")).select("query_id", "rank", "doc_id", "score_micro").collect()}
+    assert {r for r in found if r[0] != 2000} == expected
+    assert sorted(r[1] for r in found if r[0] == 2000) == list(range(1, 11))  # asks as one, whatever lots its rows are dealt to
+
+
 def test_a_lot_keeps_its_best_across_shards(monkeypatch):
     """Only k documents a query leave a chain of shards, however many it meets, in whatever chunks; like queries ask once."""
     import random
